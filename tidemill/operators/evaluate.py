@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.metrics import met_mae, met_mape, met_me, met_mse, met_r2, met_rmse
@@ -79,13 +79,8 @@ def chart_pred_frame(actual: DataFrame, pred: DataFrame, s: Sequence[str], date_
     return truth.unionByName(lines)
 
 
-def chart_mape_frame(horizon_metrics: DataFrame, dates: DataFrame, model: str | None = None) -> DataFrame:
-    """Error by date ``(model, date, ape)``; horizons without a date fall out."""
+def chart_mape_frame(horizon_metrics: DataFrame, dates: DataFrame, s: Sequence[str] = (), model: str | None = None) -> DataFrame:
+    """Error by date ``(series.., model, date, ape)``; horizons without a date fall out."""
     if model is not None:
         horizon_metrics = horizon_metrics.filter(F.col("model") == model)
-    return horizon_metrics.join(dates, "horizon").select("model", "ts", "horizon", "ape")
-
-
-def first_of(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return horizon_metrics.join(dates, [*s, "horizon"]).select(*s, "model", "ts", "horizon", "ape")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.layout import LEN, POS, fill_forward, join_null_safe, number_rows
+from tidemill.operators.layout import LEN, POS, CutPoints, fill_forward, join_null_safe, number_rows, plan_cut
 
 
 def join_week_inner(frames: Sequence[DataFrame], key: str | Sequence[str] = "year_week") -> DataFrame:
@@ -38,12 +38,14 @@ def reindex_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def asof_positions(origins: DataFrame, readings: DataFrame, s: Sequence[str], o: str,
-                   origin_col: str = "origin", max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                   origin_col: str = "origin", max_rows: int | CutPoints | None = None) -> tuple[DataFrame, DataFrame]:
     """Numbered readings, and per origin the place of the last reading at or before it.
 
     Origins are merged into the readings and pick up the place of the row before them, which needs
     one ordered pass instead of a range join.
     """
+    if isinstance(max_rows, int):
+        max_rows = plan_cut(readings, s, o, max_rows)
     numbered = number_rows(readings, s, o, max_rows).drop(LEN)
     marks = numbered.select(*s, o, F.lit(0).alias("_mark"), F.col(POS).alias("_at"))
     asked = origins.select(*s, F.col(origin_col).cast(readings.schema[o].dataType).alias(o), F.lit(1).alias("_mark"),
@@ -54,7 +56,7 @@ def asof_positions(origins: DataFrame, readings: DataFrame, s: Sequence[str], o:
 
 
 def join_asof_last_n(origins: DataFrame, readings: DataFrame, s: Sequence[str], o: str, value: str,
-                     n: int = 100, origin_col: str = "origin", max_rows: int | None = None) -> DataFrame:
+                     n: int = 100, origin_col: str = "origin", max_rows: int | CutPoints | None = None) -> DataFrame:
     """For each origin, the last ``n`` non-null readings at or before it, newest first.
 
     Origins with fewer than ``n`` readings give no row. Each origin asks for ``n`` places, joined on

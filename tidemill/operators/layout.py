@@ -6,7 +6,7 @@ a third of all rows. Operators that take ``max_rows`` then cut every series long
 equal-depth pieces of time and work per piece:
 
 * look-back / look-ahead windows get the rows they need from the neighbouring blocks (`with_neighbours`);
-* running values take the total of all earlier pieces from a small table (`running`, `fill_forward`).
+* running values take the total of all earlier pieces from a small table (`running`, `fill`).
 
 Both give exactly the rows of the ordinary window. Rows of a series must be told apart by the order
 columns; the first of them sets the cut.
@@ -52,6 +52,18 @@ def long_series(df: DataFrame, s: Sequence[str], max_rows: int) -> DataFrame:
     return df.groupBy(*s).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
 
 
+@dataclass(frozen=True)
+class CutPoints:
+    """Split points of the long series: settled, so every use cuts the same way.
+
+    May be passed for ``max_rows`` to operators that run one after the other on the same series.
+    """
+
+    max_rows: int
+    points: DataFrame | None
+    fits: bool
+
+
 @dataclass(frozen=True)
 class Cut:
     """Rows with ``_piece`` (-1 for ordinary series) and whether per-piece tables fit a broadcast."""
@@ -67,21 +79,28 @@ class Cut:
         return self.df.filter(F.col(PIECE) >= 0).groupBy(*s, PIECE).agg(*aggs)
 
 
-def cut_series(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int) -> Cut:
-    """Cut long series into increasing pieces of time holding about equally many rows."""
+def plan_cut(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int) -> CutPoints:
+    """Find the long series and the times that split them into about equally many rows."""
     first = names(o)[0]
     hot = settle(long_series(df, s, max_rows))
     n_hot = hot.count()
     if n_hot == 0:
-        return Cut(df.withColumn(PIECE, F.lit(-1)), True)
+        return CutPoints(max_rows, None, True)
     fits = n_hot * PIECES * 32 <= BROADCAST_BYTES
-    levels = [i / PIECES for i in range(1, PIECES)]
+    levels = ",".join(f"{i / PIECES!r}D" for i in range(1, PIECES))
     hot_rows = join_null_safe(df.select(*s, first), F.broadcast(hot) if fits else hot, s)
-    # Settled: approximate split points must be the same wherever the pieces are used.
     points = settle(hot_rows.groupBy(*s).agg(
-        F.percentile_approx(first, levels, 10 * PIECES).alias("_points")))
-    joined = join_null_safe(df, F.broadcast(points) if fits else points, s, "left")
-    value, pts = F.col(first), F.col("_points")
+        F.expr(f"percentile_approx(`{first}`, array({levels}), {10 * PIECES})").alias("_points")))
+    return CutPoints(max_rows, points, fits)
+
+
+def cut_series(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int | CutPoints) -> Cut:
+    """Cut long series into increasing pieces of time."""
+    plan = max_rows if isinstance(max_rows, CutPoints) else plan_cut(df, s, o, max_rows)
+    if plan.points is None:
+        return Cut(df.withColumn(PIECE, F.lit(-1)), True)
+    joined = join_null_safe(df, F.broadcast(plan.points) if plan.fits else plan.points, s, "left")
+    value, pts = F.col(names(o)[0]), F.col("_points")
     strides = F.array(*[F.lit(FAN**level) for level in reversed(range(LEVELS))])
     passed = F.aggregate(
         strides,
@@ -91,14 +110,14 @@ def cut_series(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows
             lambda i: F.get(pts, found + i * stride - 1) <= value)),
     )
     piece = F.when(pts.isNull(), -1).when(value.isNull(), PIECES).otherwise(passed)
-    return Cut(joined.withColumn(PIECE, piece.cast("int")).drop("_points"), fits)
+    return Cut(joined.withColumn(PIECE, piece.cast("int")).drop("_points"), plan.fits)
 
 
 def _piece_window(s: Sequence[str], start: int, end: int) -> WindowSpec:
     return Window.partitionBy(*s).orderBy(PIECE).rowsBetween(start, end)
 
 
-def number_rows(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int | CutPoints | None = None) -> DataFrame:
     """Add ``_pos`` (0-based place in the series) and ``_len`` (rows in the series)."""
     if max_rows is None:
         return df.withColumns({
@@ -134,7 +153,7 @@ def with_neighbours(
     back: int,
     ahead: int,
     build: Callable[[Neighbourhood], dict[str, Column]],
-    max_rows: int | None = None,
+    max_rows: int | CutPoints | None = None,
 ) -> DataFrame:
     """Add columns that look at most ``back`` rows back and ``ahead`` rows on.
 
@@ -144,7 +163,8 @@ def with_neighbours(
         w = series_window(s, o)
         near = Neighbourhood(w, F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy(*s)))
         return _add(df, build(near))
-    rows = max(max_rows, back + ahead + 1)
+    limit = max_rows.max_rows if isinstance(max_rows, CutPoints) else max_rows
+    rows = max(limit, back + ahead + 1)
     numbered = number_rows(df, s, o, max_rows)
     own = F.floor(F.col(POS) / rows)
     first = F.floor(F.greatest(F.col(POS) - ahead, F.lit(0)) / rows)
@@ -168,7 +188,7 @@ def running(
     s: Sequence[str],
     o: str | Sequence[str],
     sums: dict[str, Column],
-    max_rows: int | None = None,
+    max_rows: int | CutPoints | None = None,
 ) -> DataFrame:
     """Add running totals (current row included) of the given columns."""
     if max_rows is None:
@@ -192,7 +212,7 @@ def fill(
     o: str | Sequence[str],
     values: dict[str, Column],
     forward: bool = True,
-    max_rows: int | None = None,
+    max_rows: int | CutPoints | None = None,
 ) -> DataFrame:
     """Add, per value, the nearest non-null at or before (``forward``) or at or after the row."""
     pick = F.last if forward else F.first

@@ -14,12 +14,14 @@ from tidemill.functions.scalars import pct_change
 from tidemill.operators.layout import (
     LEN,
     POS,
+    CutPoints,
     fill,
     fill_backward,
     fill_forward,
     join_null_safe,
     names,
     number_rows,
+    plan_cut,
     running,
     with_neighbours,
 )
@@ -30,6 +32,11 @@ def _total(cols: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
+def _planned(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int | CutPoints | None):
+    """Cut once for operators that take several passes over the same series."""
+    return plan_cut(df, s, o, max_rows) if isinstance(max_rows, int) else max_rows
+
+
 def shift(col: str | Column, by: int, near) -> Column:
     """Value ``by`` rows on (negative: back)."""
     return F.lead(col, by).over(near.window) if by > 0 else F.lag(col, -by).over(near.window) if by < 0 else (
@@ -37,7 +44,7 @@ def shift(col: str | Column, by: int, near) -> Column:
 
 
 def win_lag_features(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], lag: int,
-                     dropna: bool = True, max_rows: int | None = None) -> DataFrame:
+                     dropna: bool = True, max_rows: int | CutPoints | None = None) -> DataFrame:
     """Columns ``{c}-1 .. {c}-lag``; ``dropna`` drops every row that holds a null."""
     cols = names(cols)
     out = with_neighbours(df, s, o, lag, 0, lambda near: {
@@ -46,14 +53,14 @@ def win_lag_features(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str
 
 
 def win_multistep(df: DataFrame, s: Sequence[str], o: str, target: str, n_steps: int,
-                  dropna: bool = True, max_rows: int | None = None) -> DataFrame:
+                  dropna: bool = True, max_rows: int | CutPoints | None = None) -> DataFrame:
     out = with_neighbours(df, s, o, 0, n_steps, lambda near: {
         f"{target}_step_{i}": F.lead(target, i).over(near.window) for i in range(1, n_steps + 1)}, max_rows)
     return out.dropna("any") if dropna else out
 
 
 def win_expanding_mean(df: DataFrame, s: Sequence[str], o: str, col: str, include_current: bool = True,
-                       out: str = "past_values", max_rows: int | None = None) -> DataFrame:
+                       out: str = "past_values", max_rows: int | CutPoints | None = None) -> DataFrame:
     """Running mean. ``include_current=False`` is the form that does not leak the current value."""
     sums = {"_sum": F.col(col).cast("double"), "_cnt": F.when(F.col(col).isNotNull(), 1).otherwise(0)}
     summed = running(df, s, o, sums, max_rows)
@@ -66,14 +73,14 @@ def win_expanding_mean(df: DataFrame, s: Sequence[str], o: str, col: str, includ
 
 
 def win_ma(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], w: int, suffix: str = "_MA",
-           max_rows: int | None = None) -> DataFrame:
+           max_rows: int | CutPoints | None = None) -> DataFrame:
     """Moving average over up to ``w`` rows, from the first row on."""
     return with_neighbours(df, s, o, w - 1, 0, lambda near: {
         f"{c}{suffix}": F.avg(c).over(near.window.rowsBetween(-(w - 1), 0)) for c in names(cols)}, max_rows)
 
 
 def win_wma(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], w: int = 20, suffix: str = "_WMA",
-            dropna: bool = True, max_rows: int | None = None) -> DataFrame:
+            dropna: bool = True, max_rows: int | CutPoints | None = None) -> DataFrame:
     """Weights 1..w, newest heaviest; only full windows without nulls count."""
     cols, weight = names(cols), w * (w + 1) / 2
 
@@ -90,7 +97,7 @@ def ewm_reach(span: int) -> int:
 
 
 def win_ewm(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], span: int, suffix: str = "_EW",
-            max_rows: int | None = None) -> DataFrame:
+            max_rows: int | CutPoints | None = None) -> DataFrame:
     """Exponentially weighted mean with bias-corrected weights; nulls keep their place in time."""
     keep, reach = 1 - 2 / (span + 1), ewm_reach(span)
     start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
@@ -120,7 +127,7 @@ def savgol_rows(window: int, order: int) -> np.ndarray:
 
 def win_savgol(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], window: int = 5, order: int = 2,
                backfill: bool = True, suffix: str = "", short: str = "error",
-               max_rows: int | None = None) -> DataFrame:
+               max_rows: int | CutPoints | None = None) -> DataFrame:
     """Savitzky-Golay filter, edges by the fit of the first and last window.
 
     A centred filter: row ``t`` sees ``window // 2`` later rows.
@@ -128,6 +135,7 @@ def win_savgol(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], win
     if window % 2 == 0 or order >= window:
         raise ValueError("window must be odd and larger than order")
     cols, half, fit = names(cols), window // 2, savgol_rows(window, order)
+    max_rows = _planned(df, s, o, max_rows)
     if backfill:
         df = fill_backward(df, s, o, {f"_f_{c}": F.col(c).cast("double") for c in cols}, max_rows)
     else:
@@ -156,8 +164,9 @@ def win_savgol(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], win
 
 
 def win_smooth_compare(df: DataFrame, s: Sequence[str], o: str, col: str, lo: str, hi: str, window: int = 5,
-                       wma_window: int = 20, max_rows: int | None = None) -> DataFrame:
+                       wma_window: int = 20, max_rows: int | CutPoints | None = None) -> DataFrame:
     """Original and four smoothers side by side; smoothing runs before the date range is cut."""
+    max_rows = _planned(df, s, o, max_rows)
     out = win_ma(df, s, o, [col], window, max_rows=max_rows)
     out = win_wma(out, s, o, [col], wma_window, dropna=False, max_rows=max_rows)
     out = win_ewm(out, s, o, [col], window, max_rows=max_rows)
@@ -166,8 +175,9 @@ def win_smooth_compare(df: DataFrame, s: Sequence[str], o: str, col: str, lo: st
 
 
 def win_pct_change(df: DataFrame, s: Sequence[str], o: str, col: str, out: str = "pct_change",
-                   max_rows: int | None = None) -> DataFrame:
+                   max_rows: int | CutPoints | None = None) -> DataFrame:
     """Change against the row before; gaps take the last known value first."""
+    max_rows = _planned(df, s, o, max_rows)
     padded = fill_forward(df, s, o, {"_pad": F.col(col)}, max_rows)
     return with_neighbours(padded, s, o, 1, 0, lambda near: {
         out: pct_change("_pad", F.lag("_pad", 1).over(near.window))}, max_rows).drop("_pad")
@@ -182,7 +192,7 @@ def win_ffill(df, s, o, cols, max_rows=None):
 
 
 def win_interpolate(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], step: str = "W-MON",
-                    anchors: str = "grid", max_rows: int | None = None) -> DataFrame:
+                    anchors: str = "grid", max_rows: int | CutPoints | None = None) -> DataFrame:
     """Series on a regular grid, gaps filled on the straight line between known neighbours.
 
     ``anchors='grid'`` knows only values whose time is itself a grid point (month starts that are
@@ -204,6 +214,7 @@ def win_interpolate(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str]
     unit = F.unix_date(F.col(o)) if step in GRID_START or step == "D" else F.unix_seconds(F.col(o).cast("timestamp"))
     known = {c: F.when(F.col(c).isNotNull(), F.struct(unit.cast("double").alias("t"), F.col(c).alias("v")))
              for c in cols}
+    max_rows = _planned(both, s, o, max_rows)
     both = fill(both, s, o, {f"_p_{c}": k for c, k in known.items()}, True, max_rows)
     both = fill(both, s, o, {f"_n_{c}": k for c, k in known.items()}, False, max_rows)
     out = []
@@ -215,14 +226,14 @@ def win_interpolate(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str]
 
 
 def win_week_counter(df: DataFrame, s: Sequence[str], o: str, start: int = 5, out: str = "week",
-                     max_rows: int | None = None) -> DataFrame:
+                     max_rows: int | CutPoints | None = None) -> DataFrame:
     """Cyclic 1..52 counter by place, beginning at ``start``."""
     numbered = number_rows(df, s, o, max_rows)
     return numbered.withColumn(out, (F.pmod(F.col(POS) + start - 1, F.lit(52)) + 1).cast("int")).drop(POS, LEN)
 
 
 def win_acf(df: DataFrame, s: Sequence[str], o: str, col: str, max_lag: int = 40,
-            max_rows: int | None = None) -> DataFrame:
+            max_rows: int | CutPoints | None = None) -> DataFrame:
     """Rows ``(series, lag, acf, n)`` for lags 0..max_lag, with the overall mean in both factors.
 
     All lags come from one window pass; no self-join.
@@ -272,7 +283,7 @@ def win_optimum_lag(acf: DataFrame, s: Sequence[str], max_lag: int = 40) -> Data
 
 
 def win_decompose(df: DataFrame, s: Sequence[str], o: str, col: str, period: int = 12,
-                  max_rows: int | None = None) -> DataFrame:
+                  max_rows: int | CutPoints | None = None) -> DataFrame:
     """Additive split into trend (centred average), seasonal (phase means, centred) and residual."""
     half = period // 2
 
@@ -292,7 +303,7 @@ def win_decompose(df: DataFrame, s: Sequence[str], o: str, col: str, period: int
     return joined.withColumn("resid", F.col("_detrended") - F.col("seasonal")).drop("_detrended", "_phase")
 
 
-def win_infer_freq(df: DataFrame, s: Sequence[str], o: str, max_rows: int | None = None) -> DataFrame:
+def win_infer_freq(df: DataFrame, s: Sequence[str], o: str, max_rows: int | CutPoints | None = None) -> DataFrame:
     """Most frequent gap between neighbouring times, in seconds; the smaller one on a tie."""
     secs = F.unix_seconds(F.col(o).cast("timestamp"))
     gaps = with_neighbours(df.select(*s, o), s, o, 1, 0, lambda near: {
@@ -302,7 +313,7 @@ def win_infer_freq(df: DataFrame, s: Sequence[str], o: str, max_rows: int | None
 
 
 def win_last_n_vector(df: DataFrame, s: Sequence[str], o: str, col: str, n: int = 100, out: str = "history",
-                      max_rows: int | None = None) -> DataFrame:
+                      max_rows: int | CutPoints | None = None) -> DataFrame:
     """Last ``n`` non-null values newest first; rows with fewer are dropped."""
     known = df.filter(F.col(col).isNotNull())
     seen = with_neighbours(known, s, o, n - 1, 0, lambda near: {
@@ -311,7 +322,7 @@ def win_last_n_vector(df: DataFrame, s: Sequence[str], o: str, col: str, n: int
 
 
 def rolling_apply(df: DataFrame, s: Sequence[str], o: str, col: str, w: int, fn: Callable[[Column], Column],
-                  out: str, max_rows: int | None = None) -> DataFrame:
+                  out: str, max_rows: int | CutPoints | None = None) -> DataFrame:
     """User function over a full rolling window, given as an array column oldest first."""
     seen = with_neighbours(df, s, o, w - 1, 0, lambda near: {
         "_cells": F.collect_list(col).over(near.window.rowsBetween(-(w - 1), 0))}, max_rows)

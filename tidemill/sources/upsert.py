@@ -38,6 +38,11 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
     return None if stored is None else stored.drop(PART)
 
 
+def read_recent(spark: SparkSession, path: str, from_day) -> DataFrame:
+    """Rows of the days from ``from_day`` on; earlier days are not read."""
+    return _stored(spark, path).filter(F.col(PART) >= F.lit(from_day)).drop(PART)
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.option("basePath", path).parquet(path)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def sink_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
-               mode: str = "overwrite") -> None:
+               mode: str = "overwrite", **options) -> None:
     """Write a stage. Rebalancing on the partition columns keeps files few and splits hot ones."""
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    df.write.mode(mode).format(fmt).partitionBy(*partition_by).save(path)
+    df.write.mode(mode).format(fmt).options(**options).partitionBy(*partition_by).save(path)
 
 
 def sink_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("target", "model"),

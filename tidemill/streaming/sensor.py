@@ -18,7 +18,7 @@ from tidemill.functions.calendar import calendar_features, shift_time
 from tidemill.operators.joins import join_asof_last_n
 from tidemill.operators.layout import with_neighbours
 from tidemill.ml.models import MultiOutput, fit_multi_output
-from tidemill.sources.upsert import merge_keyed, read_keyed
+from tidemill.sources.upsert import merge_keyed, read_keyed, read_recent
 
 HISTORY = 100
 STEPS_AHEAD = 24
@@ -144,14 +144,30 @@ def st_retrain(readings: DataFrame, s: Sequence[str], o: str, value: str, lo: da
     return fit_multi_output(rows, FEATURES, [f"t{i}" for i in range(STEPS_AHEAD)], "ridge", alpha=alpha)
 
 
+def recent_readings(spark: SparkSession, path: str, touched: DataFrame, s: Sequence[str], from_day, value: str = ACTUAL,
+                    n: int = HISTORY) -> DataFrame:
+    """Stored rows holding the last ``n`` readings of the touched series.
+
+    Only days from ``from_day`` on are read; series too sparse to have ``n`` readings there are read
+    whole.
+    """
+    recent = read_recent(spark, path, from_day).join(touched, list(s), "left_semi")
+    enough = recent.filter(F.col(value).isNotNull()).groupBy(*s).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+    sparse = touched.join(enough, list(s), "left_anti")
+    if sparse.isEmpty():
+        return recent
+    whole = read_keyed(spark, path).join(sparse, list(s), "left_semi")
+    return recent.join(sparse, list(s), "left_anti").unionByName(whole)
+
+
 def run_rolling_forecast(stream: DataFrame, path: str, checkpoint: str, model: MultiOutput, s: Sequence[str],
-                         available_now: bool = False, max_rows: int | None = None):
+                         available_now: bool = False, reach_days: int = 14, max_rows: int | None = None):
     """The whole loop: readings ``(series.., time, elec_prices_metric)`` are merged; after each batch the
     last 100 readings of the touched series give 24 forecasts, merged into the same table."""
     def after(df: DataFrame, batch_id: int) -> None:
-        stored = read_keyed(df.sparkSession, path)
+        first = df.agg(F.date_sub(F.to_date(F.min("time")), reach_days)).first()[0]
         touched = df.select(*s).distinct()
-        readings = stored.join(touched, list(s), "left_semi") if s else stored
+        readings = recent_readings(df.sparkSession, path, touched, s, first)
         out = st_forecast(readings, latest_origins(readings, s, "time", ACTUAL), model, s, "time", ACTUAL, max_rows)
         rows = out.select(*s, "time", F.lit(None).cast("double").alias(ACTUAL), FORECAST)
         merge_keyed(rows, path, [*s, "time"], [ACTUAL, FORECAST], "time")
