@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from tidemill.operators.layout import join_null_safe, names
 
 
-def imp_mean(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | Column | None = None) -> DataFrame:
+def imp_mean(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | Column | None = None,
+             by: Sequence[str] = ()) -> DataFrame:
     """Column means in place of nulls.
 
     ``fit_on`` is the frame, or the row condition on ``df``, that the means come from (a train
-    part, so that test rows do not leak). The means are one scalar subquery, so nothing is collected.
+    part, so that test rows do not leak); ``by`` takes them per group. Nothing is collected.
     """
     cols = names(cols)
     base = df if fit_on is None else df.filter(fit_on) if isinstance(fit_on, Column) else fit_on
+    if by:
+        means = base.groupBy(*by).agg(*[F.avg(f"`{c}`").alias(f"_m{i}") for i, c in enumerate(cols)])
+        joined = join_null_safe(df, means, by, "left")
+        filled = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"_m{i}")) for i, c in enumerate(cols)}
+        return joined.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
     means = base.agg(F.struct(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
     filled = {c: F.coalesce(F.col(f"`{c}`").cast("double"), means.getField(f"m{i}")) for i, c in enumerate(cols)}
     return df.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])

@@ -89,8 +89,8 @@ def fn_calendar_features(spark, d):
     return table(spark, d, "events").select("event_id", *[c.alias(n) for n, c in cal.calendar_features("ts").items()])
 
 
-@query("fn_epoch_ms", """SELECT event_id, epoch_ms(ts) AS ms, date_trunc('millisecond', ts) AS back,
-epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS day_ms FROM events""")
+@query("fn_epoch_ms", """SELECT event_id, epoch_us(ts) // 1000 AS ms, date_trunc('millisecond', ts) AS back,
+epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) // 1000 AS day_ms FROM events""")
 def fn_epoch_ms(spark, d):
     events = table(spark, d, "events").select("event_id", cal.to_epoch_ms("ts").alias("ms"), F.date_format("ts", "yyyy/MM/dd").alias("text"))
     return events.select("event_id", "ms", cal.from_epoch_ms("ms").cast("timestamp_ntz").alias("back"),
