@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.layout import complete_rows
+
 
 @dataclass(frozen=True)
 class Gram:
@@ -66,7 +68,7 @@ def gram_blocks(df: DataFrame, features: Sequence[str], y: str, block_col: str =
     cols = [*features, y]
     d = len(cols)
     cast = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
-    rows = df.select(F.col(block_col).cast("int").alias("block"), *cast).dropna("any")
+    rows = complete_rows(df.select(F.col(block_col).cast("int").alias("block"), *cast))
     origin_row = rows.agg(*[F.avg(f"x{i}") for i in range(d)]).first()
     origin = np.array([v or 0.0 for v in origin_row], dtype=float)
     size = d + 1

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.layout import complete_rows
 from tidemill.operators.reshape import set_union_results
 from tidemill.session import settle
 
@@ -38,8 +39,8 @@ class NearestNeighbours:
         n = asked.count()
         chunks = max(1, -(-n // chunk_rows))
         placed = asked.withColumn("_chunk", F.pmod(F.xxhash64("_key"), F.lit(chunks)))
-        rows = self.train.select(F.col(self.key).alias("_tk"), F.col(f"`{self.y}`").cast("double").alias("_y"),
-                                 *[f.alias(f"x{i}") for i, f in enumerate(feats)]).dropna("any")
+        rows = complete_rows(self.train.select(F.col(self.key).alias("_tk"), F.col(f"`{self.y}`").cast("double").alias("_y"),
+                                 *[f.alias(f"x{i}") for i, f in enumerate(feats)]))
         found = [_nearest(rows, placed.filter(F.col("_chunk") == c), self.k, self.p) for c in range(chunks)]
         best = F.slice(F.sort_array(F.collect_list(F.struct("_d", "_tk", "_y"))), 1, self.k)
         # At most k candidates a query and task reach this group.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.ml.gram import LinearFit, fit_from_gram, gram_blocks
-from tidemill.operators.layout import LEN, POS, number_rows
+from tidemill.operators.layout import LEN, POS, complete_rows, number_rows
 
 MAX_TREE_DEPTH = 30
 
@@ -46,7 +46,7 @@ def _inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def _fit(train: DataFrame, features: Sequence[str], y: str, estimator) -> Fitted:
     rows = _inputs(train, features).select(*_safe(features), F.col(f"`{y}`").cast("double").alias("_y"))
-    rows = rows.dropna("any")
+    rows = complete_rows(rows)
     assembler = VectorAssembler(inputCols=_safe(features), outputCol="_x", handleInvalid="keep")
     model = estimator.setFeaturesCol("_x").setLabelCol("_y").setPredictionCol("prediction").fit(assembler.transform(rows))
     return Fitted(PipelineModel(stages=[assembler, model]), tuple(features))
@@ -56,24 +56,33 @@ def fit_linear(train: DataFrame, features: Sequence[str], y: str) -> Fitted:
     return _fit(train, features, y, LinearRegression(regParam=0.0, solver="normal"))
 
 
+def _target_spread(train: DataFrame, features: Sequence[str], y: str) -> tuple[int, float]:
+    """Complete rows and the target's spread; MLlib's L2 penalty is relative to that spread."""
+    n, sd = complete_rows(train, [*features, y]).agg(F.count(F.lit(1)), F.stddev_pop(f"`{y}`")).first()
+    return max(n, 1), float(sd or 0.0)
+
+
 def fit_ridge(train: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> Fitted:
     """L2 penalty ``alpha * |b|^2`` against the sum of squares; MLlib penalises the mean."""
-    cols = [*features, y]
-    n, sd = train.dropna("any", subset=cols).agg(F.count(F.lit(1)), F.stddev_pop(f"`{y}`")).first()
-    reg = float(alpha) * float(sd or 0.0) / max(n, 1)
+    n, sd = _target_spread(train, features, y)
     return _fit(train, features, y, LinearRegression(
-        regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal"))
+        regParam=float(alpha) * sd / n, elasticNetParam=0.0, standardization=False, solver="normal"))
 
 
 def fit_lasso(train: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, tol: float = 1e-10,
               max_iter: int = 1000) -> Fitted:
-    return fit_elasticnet(train, features, y, alpha, 1.0, tol, max_iter)
+    return _fit(train, features, y, LinearRegression(
+        regParam=float(alpha), elasticNetParam=1.0, standardization=False, tol=tol, maxIter=max_iter))
 
 
 def fit_elasticnet(train: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, l1_ratio: float = 0.5,
                    tol: float = 1e-10, max_iter: int = 1000) -> Fitted:
+    """``alpha * (l1_ratio * |b| + (1 - l1_ratio) / 2 * b^2)`` against half the mean square."""
+    _, sd = _target_spread(train, features, y)
+    l1, l2 = float(alpha) * l1_ratio, float(alpha) * (1 - l1_ratio) * sd
+    total = l1 + l2
     return _fit(train, features, y, LinearRegression(
-        regParam=float(alpha), elasticNetParam=float(l1_ratio), standardization=False, tol=tol, maxIter=max_iter))
+        regParam=total, elasticNetParam=l1 / total if total else 0.0, standardization=False, tol=tol, maxIter=max_iter))
 
 
 def fit_bayesridge(train: DataFrame, features: Sequence[str], y: str, **params) -> LinearFit:
@@ -142,7 +151,8 @@ def fit_seasonal_naive(train: DataFrame, s: Sequence[str], o: str, y: str, horiz
     phase = F.col(POS) - (F.col(LEN) - season) + 1
     tail = numbered.withColumns({"_phase": phase, "_season": season}).filter(F.col("_phase").between(1, horizon))
     served = F.sequence(F.col("_phase"), F.lit(horizon).cast("long"), F.col("_season").cast("long"))
-    return tail.select(*s, F.explode(served).cast("int").alias("horizon"), F.col(y).alias("prediction"))
+    out = tail.select(*s, F.explode(served).alias("horizon"), F.col(y).alias("prediction"))
+    return out.withColumn("horizon", F.col("horizon").cast("int"))
 
 
 def fit_expsmooth(train: DataFrame, s: Sequence[str], o: str, y: str, horizon: int, max_points: int = 1_000_000,

@@ -11,28 +11,30 @@ import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.metrics import met_mae, met_mape, met_me, met_mse, met_r2, met_rmse
-from tidemill.functions.scalars import abs_error
+from tidemill.functions.metrics import met_mse, met_r2
 from tidemill.ml import registry
 from tidemill.ml.gram import Gram, LinearFit, correlations, errors, fit_from_gram, gram_blocks
-from tidemill.operators.quantiles import exact_quantiles
+from tidemill.operators.evaluate import score_pairs
+from tidemill.operators.layout import join_null_safe
 from tidemill.operators.reshape import set_union_results
-from tidemill.operators.scale import ScalerParams, apply_scaler, fit_scaler
+from tidemill.operators.scale import ScalerParams, apply_scaler, fit_scaler, scaled
 from tidemill.operators.split import topk_features
 
 SUM_SCALERS = ("none", "minmax", "standard")
 SUM_SCORERS = ("F_regression", "Pearson Correlation", "No scoring")
 
-RESULT_SCHEMA = (
+RECORD_SCHEMA = (
     "target string, model string, lag int, scaler string, scorer string, execution_time double, "
-    "mean_train_mse double, mean_test_mse double, cv_r2 double, mape double, mae double, medae double, me double, "
-    "mse double, rmse double, r2 double, selected array<string>, params map<string,string>, error string")
+    "mean_train_mse double, mean_test_mse double, cv_r2 double, "
+    "selected array<string>, params map<string,string>, error string")
+TEST_ERRORS = ["mape", "mae", "medae", "me", "mse", "rmse", "r2"]
 
 
 @dataclass
@@ -109,6 +111,8 @@ class Outcome:
     test_mse: float
     selected: list[str]
     predict: Callable[[DataFrame], DataFrame]
+    # The fit on raw features, where the model is linear in them.
+    fit: LinearFit | None = None
 
 
 def _gram_fit(folds: Folds, spec: registry.ModelSpec, kind: str, scorer: str, fold: int | None, params: dict) -> LinearFit:
@@ -144,14 +148,13 @@ def search_linear(folds: Folds, spec: registry.ModelSpec, scaler: str, scorer: s
             return final.transform(df, "y_pred")
         # The fit stands on scaled features; the raw ones stay in the frame under their names.
         params = folds.scaler(kind, None)
-        from tidemill.operators.scale import scaled
-
         moved = df.select("*", *[scaled(params, f).alias(f"_q_{f}") for f in final.features])
         column = LinearFit(tuple(f"_q_{f}" for f in final.features), final.coef, final.intercept).column()
         return moved.withColumn("y_pred", column).drop(*[f"_q_{f}" for f in final.features])
 
     selected = [] if registry.SCORERS[scorer] is None else list(final.features)
-    return Outcome(best["params"], best["r2"], best["train_mse"], best["test_mse"], selected, predict), records
+    return Outcome(best["params"], best["r2"], best["train_mse"], best["test_mse"], selected, predict,
+                   final if kind != "quantile" else None), records
 
 
 def _fit_any(spec: registry.ModelSpec, rows: DataFrame, features: list[str], y: str, params: dict, key: str | None):
@@ -239,48 +242,56 @@ def cv_report(predictions: DataFrame, y: str, by: str = "block") -> DataFrame:
                                        met_r2(y, "y_pred").alias("r2"))
 
 
-def _test_scores(pred: DataFrame, y: str) -> dict[str, float]:
-    pairs = pred.select(F.col(y).alias("y"), F.col("y_pred").alias("p"), abs_error(y, "y_pred").alias("e"))
-    row = pairs.agg(met_mape("y", "p").alias("mape"), met_mae("y", "p").alias("mae"), met_me("y", "p").alias("me"),
-                    met_mse("y", "p").alias("mse"), met_rmse("y", "p").alias("rmse"), met_r2("y", "p").alias("r2")).first()
-    got = row.asDict()
-    med = exact_quantiles(pairs, ["e"], [0.5]).select(F.col("quantiles")[0]).first()
-    return {**got, "medae": med[0] if med else None}
+CONFIG = ["model", "lag", "scaler", "scorer"]
+
+
+def _linear_predictions(test: DataFrame, y: str, keys: Sequence[str], found: list[tuple[tuple, LinearFit]]) -> DataFrame:
+    """All linear configurations of a lag from one scan of its test rows."""
+    cells = [F.struct(F.lit(name).alias("model"), F.lit(lag).alias("lag"), F.lit(scaler).alias("scaler"),
+                      F.lit(scorer).alias("scorer"), fit.column().alias("y_pred"))
+             for (name, lag, scaler, scorer), fit in found]
+    return test.select(*keys, F.col(y).alias("y_true"), F.inline(F.array(*cells)))
 
 
 def search_matrix(frames: dict[int, tuple[DataFrame, DataFrame]], features: dict[int, list[str]], y: str,
                   models: Sequence[str], scalers: Sequence[str], scorers: Sequence[str], keys: Sequence[str],
                   n_iter: int = 30, n_splits: int = 5, seed: int = 42, key: str | None = None,
-                  n_quantiles: int = 1000) -> tuple[DataFrame, DataFrame]:
+                  n_quantiles: int = 1000) -> tuple[DataFrame, DataFrame | None]:
     """Every model x lag x scaler x scorer.
 
     ``frames`` holds a train frame (with ``block``) and a test frame per lag. A failing configuration
-    becomes a record with its error. Returns the records and the test predictions in long form.
+    becomes a record with its error. Returns the records and the test predictions in long form; the
+    test errors of all configurations come from one aggregation over those.
     """
-    records, predictions = [], []
+    records, parts = [], []
     spark = next(iter(frames.values()))[0].sparkSession
     for lag, (train, test) in frames.items():
         folds = Folds(train, features[lag], y, n_splits, n_quantiles)
-        for name in models:
-            spec = registry.MODELS[name]
-            for scaler in scalers:
-                for scorer in scorers:
-                    head = (y, name, lag, scaler, scorer)
-                    start = time.monotonic()
-                    try:
-                        draws = registry.draw_params(spec.space, n_iter, seed)
-                        args = () if spec.gram else (key,)
-                        outcome, _ = (search_linear if spec.gram else search_fitted)(folds, spec, scaler, scorer, draws, *args)
-                        took = time.monotonic() - start
-                        pred = outcome.predict(test)
-                        t = _test_scores(pred, y)
-                        records.append((*head, took, outcome.train_mse, outcome.test_mse, outcome.r2, t["mape"], t["mae"],
-                                        t["medae"], t["me"], t["mse"], t["rmse"], t["r2"], outcome.selected,
-                                        {k: str(v) for k, v in outcome.params.items()}, None))
-                        predictions.append(pred.select(
-                            F.lit(name).alias("model"), F.lit(lag).alias("lag"), F.lit(scaler).alias("scaler"),
-                            F.lit(scorer).alias("scorer"), *keys, F.col(y).alias("y_true"), "y_pred"))
-                    except Exception as e:  # noqa: BLE001 - any failure of a configuration is a record
-                        records.append((*head, None, *[None] * 10, None, None, str(e)[:2000]))
-    results = spark.createDataFrame(records, RESULT_SCHEMA)
-    return results, (set_union_results(predictions) if predictions else None)
+        linear: list[tuple[tuple, LinearFit]] = []
+        for name, scaler, scorer in product(models, scalers, scorers):
+            spec, config = registry.MODELS[name], (name, lag, scaler, scorer)
+            start = time.monotonic()
+            try:
+                draws = registry.draw_params(spec.space, n_iter, seed)
+                if spec.gram:
+                    outcome, _ = search_linear(folds, spec, scaler, scorer, draws)
+                else:
+                    outcome, _ = search_fitted(folds, spec, scaler, scorer, draws, key)
+                if outcome.fit is not None:
+                    linear.append((config, outcome.fit))
+                else:
+                    parts.append(outcome.predict(test).select(
+                        *keys, F.col(y).alias("y_true"), *[F.lit(v).alias(n) for n, v in zip(CONFIG, config)], "y_pred"))
+                records.append((y, *config, time.monotonic() - start, outcome.train_mse, outcome.test_mse, outcome.r2,
+                                outcome.selected, {k: str(v) for k, v in outcome.params.items()}, None))
+            except Exception as e:  # noqa: BLE001 - any failure of a configuration is a record
+                records.append((y, *config, None, None, None, None, None, None, str(e)[:2000]))
+        if linear:
+            parts.append(_linear_predictions(test, y, keys, linear))
+    results = spark.createDataFrame(records, RECORD_SCHEMA)
+    predictions = set_union_results(parts) if parts else None
+    if predictions is None:
+        empty = [F.lit(None).cast("double").alias(c) for c in TEST_ERRORS]
+        return results.select("*", *empty), None
+    scores = score_pairs(predictions, CONFIG).select(*CONFIG, *TEST_ERRORS)
+    return join_null_safe(results, scores, CONFIG, "left"), predictions

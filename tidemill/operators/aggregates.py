@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.calendar import sunday_on_or_after
 from tidemill.operators.clean import suffix_columns
-from tidemill.operators.layout import join_null_safe, names
+from tidemill.operators.layout import complete_rows, join_null_safe, names
 from tidemill.operators.reshape import series_grid
 from tidemill.operators.timeseries import win_pct_change
 
@@ -86,7 +86,7 @@ def agg_gram(df: DataFrame, features: Sequence[str], y: str, block_col: str) ->
     terms = ["1", *features, y]
     cell = {"1": F.lit(1.0), **{c: F.col(f"`{c}`").cast("double") for c in [*features, y]}}
     pairs = list(combinations_with_replacement(terms, 2))
-    complete = df.dropna("any", subset=[*features, y])
+    complete = complete_rows(df, [*features, y])
     sums = complete.groupBy(block_col).agg(*[F.sum(cell[a] * cell[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"s{i}").alias("v"))
                      for i, (a, b) in enumerate(pairs)])

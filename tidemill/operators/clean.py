@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.calendar import as_column
-from tidemill.operators.layout import names
+from tidemill.operators.layout import complete_rows, names
 
 
 def suffix_columns(df: DataFrame, suffixes: Sequence[str]) -> list[str]:
@@ -74,7 +74,7 @@ def filter_month_string(df: DataFrame, col: str, lo: str, hi: str) -> DataFrame:
 
 
 def filter_dropna(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    return df.dropna("any", subset=list(cols) if cols else None)
+    return complete_rows(df, cols)
 
 
 def column_flags(df: DataFrame, cols: Sequence[str], test) -> dict[str, bool]:

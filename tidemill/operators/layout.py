@@ -47,6 +47,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(marked, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def complete_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Rows without nulls, one test a column.
+
+    ``dropna`` puts all columns into one expression; where the columns are renamed later, Catalyst
+    derives a constraint for every subset of them, which on wide feature frames never ends.
+    """
+    tests = [F.col(f"`{c}`").isNotNull() for c in (df.columns if cols is None else cols)]
+    return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
+
+
 def long_series(df: DataFrame, s: Sequence[str], max_rows: int) -> DataFrame:
     """Series holding more than ``max_rows`` rows; at most ``rows / max_rows`` of them exist."""
     return df.groupBy(*s).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)

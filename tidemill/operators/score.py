@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.layout import complete_rows
 from tidemill.operators.split import topk_features
 
 Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
@@ -17,7 +18,7 @@ Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
 def _correlations(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     """``(feature, r, n)`` from one aggregation over complete rows."""
-    complete = df.dropna("any", subset=[*features, y])
+    complete = complete_rows(df, [*features, y])
     one = complete.agg(F.count(F.lit(1)).alias("n"),
                        *[F.corr(f"`{f}`", f"`{y}`").alias(f"r{i}") for i, f in enumerate(features)])
     cells = [F.struct(F.lit(f).alias("feature"), F.col(f"r{i}").alias("r"), F.col("n").alias("n"))
@@ -45,7 +46,7 @@ def score_mi(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
     aggregated count is tiny.
     """
     cols = [*features, y]
-    complete = df.dropna("any", subset=cols)
+    complete = complete_rows(df, cols)
     ends = complete.agg(F.struct(*[f(F.col(f"`{c}`").cast("double")).alias(f"{n}{i}") for i, c in enumerate(cols)
                                    for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
 
@@ -68,7 +69,7 @@ def score_importance(df: DataFrame, features: Sequence[str], y: str, seed: int =
     """Random forest importance; one number a feature comes back to the driver."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
     rows = assembler.transform(df.select(*features, F.col(f"`{y}`").cast("double").alias("_y")))
-    options = {"numTrees": 100, "maxDepth": 10, **forest}
+    options = {"numTrees": 20, "maxDepth": 5, **forest}
     model = RandomForestRegressor(featuresCol="_x", labelCol="_y", seed=seed, **options).fit(rows)
     got = model.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, got)], "feature string, score double")

@@ -15,6 +15,7 @@ from tidemill.operators.layout import (
     LEN,
     POS,
     CutPoints,
+    complete_rows,
     fill,
     fill_backward,
     fill_forward,
@@ -49,14 +50,14 @@ def win_lag_features(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str
     cols = names(cols)
     out = with_neighbours(df, s, o, lag, 0, lambda near: {
         f"{c}-{i}": F.lag(c, i).over(near.window) for c in cols for i in range(1, lag + 1)}, max_rows)
-    return out.dropna("any") if dropna else out
+    return complete_rows(out) if dropna else out
 
 
 def win_multistep(df: DataFrame, s: Sequence[str], o: str, target: str, n_steps: int,
                   dropna: bool = True, max_rows: int | CutPoints | None = None) -> DataFrame:
     out = with_neighbours(df, s, o, 0, n_steps, lambda near: {
         f"{target}_step_{i}": F.lead(target, i).over(near.window) for i in range(1, n_steps + 1)}, max_rows)
-    return out.dropna("any") if dropna else out
+    return complete_rows(out) if dropna else out
 
 
 def win_expanding_mean(df: DataFrame, s: Sequence[str], o: str, col: str, include_current: bool = True,
@@ -88,7 +89,7 @@ def win_wma(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], w: int
         return {f"{c}{suffix}": _total([shift(c, j - w, near) * j for j in range(1, w + 1)]) / weight for c in cols}
 
     out = with_neighbours(df, s, o, w - 1, 0, build, max_rows)
-    return out.dropna("any", subset=[f"{c}{suffix}" for c in cols]) if dropna else out
+    return complete_rows(out, [f"{c}{suffix}" for c in cols]) if dropna else out
 
 
 def ewm_reach(span: int) -> int:

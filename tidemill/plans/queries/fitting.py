@@ -342,17 +342,27 @@ def cv_report(spark, d):
     return report.select("block", "n", half_up(F.col("mse") / 1e6, 2).alias("mse"), half_up("r2", 6).alias("r2"))
 
 
-@query("search_matrix")
-def search_matrix(spark, d):
-    """Two linear models x two lags x all scalers x all scorers; error records would show in ``error``."""
+def _matrix(spark, d, lags, models, scalers, scorers):
     from tidemill.plans.forecast import evaluate
     from tidemill.settings import Settings
 
     panel = weekly_panel(spark, d).withColumnRenamed("week", "Week")
-    settings = Settings(lags=(1, 2), search_draws=3)
-    done = evaluate(panel, S, O, Y, settings, models=["Ridge", "Lasso"], n_quantiles=50)
-    out = done.results
-    return out.select("model", "lag", "scaler", "scorer", half_up("mape", 4).alias("mape"), half_up("cv_r2", 4).alias("cv_r2"),
-                      F.size("selected").alias("n_selected"), "error")
+    settings = Settings(lags=lags, search_draws=3)
+    return evaluate(panel, S, O, Y, settings, models, scalers, scorers, n_quantiles=50)
 
 
+@query("search_matrix")
+def search_matrix(spark, d):
+    """Three linear models x two lags x four scalers x three scorers; errors would show in ``error``."""
+    done = _matrix(spark, d, (1, 2), ["Ridge", "Lasso", "LinearRegression"],
+                   ["MinMaxScaler", "StandardScaler", "RobustScaler", "No scaling"], ["F_regression", "Pearson Correlation", "No scoring"])
+    return done.results.select("model", "lag", "scaler", "scorer", half_up("mape", 4).alias("mape"), half_up("cv_r2", 4).alias("cv_r2"),
+                               F.size("selected").alias("n_selected"), "error")
+
+
+@query("forecast_evaluation")
+def forecast_evaluation(spark, d):
+    """The whole evaluation down to the leaderboard (less the run time, which differs every time)."""
+    done = _matrix(spark, d, (1,), ["Ridge", "DecisionTreeRegressor"], ["QuantileTransformer"], ["Mutual_info_regression"])
+    return done.board.select("model", half_up("mape", 4).alias("mape"), half_up("mape_last", 4).alias("mape_last"),
+                             half_up("mape_first", 4).alias("mape_first"), "scaler", "scorer", "lag")

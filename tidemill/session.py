@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and go on from a table in the checkpoint folder.
+
+    The stored table survives the loss of executors and is read back by column. Unlike a checkpoint
+    it also leaves behind the constraints Catalyst carries along, which on wide feature frames grow
+    faster than the plan.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tidemill/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

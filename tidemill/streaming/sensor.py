@@ -16,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemill.functions.calendar import calendar_features, shift_time
 from tidemill.operators.joins import join_asof_last_n
-from tidemill.operators.layout import with_neighbours
+from tidemill.operators.layout import complete_rows, with_neighbours
 from tidemill.ml.models import MultiOutput, fit_multi_output
 from tidemill.sources.upsert import merge_keyed, read_keyed, read_recent
 
@@ -130,7 +130,7 @@ def training_rows(readings: DataFrame, s: Sequence[str], o: str, value: str, max
         return out | {f"t{i}": (F.lead(value, i).over(w) if i else F.col(value)) for i in range(STEPS_AHEAD)}
 
     wide = with_neighbours(known, s, o, HISTORY - 1, STEPS_AHEAD - 1, build, max_rows)
-    return wide.withColumns(calendar_features(o)).dropna("any", subset=["h100", f"t{STEPS_AHEAD - 1}"])
+    return complete_rows(wide.withColumns(calendar_features(o)), ["h100", f"t{STEPS_AHEAD - 1}"])
 
 
 def st_retrain(readings: DataFrame, s: Sequence[str], o: str, value: str, lo: datetime, hi: datetime,
