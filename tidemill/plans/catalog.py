@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("sources", "rows", "joins", "aggregates", "windows", "shaping", "scalars", "results", "fitting")
+_MODULES = ("sources", "rows", "joins", "aggregates", "windows", "shaping", "scalars", "results", "fitting", "rolling", "whole")
 
 
 def half_up(x: Column | str, digits: int) -> Column:
