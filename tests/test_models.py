@@ -103,3 +103,19 @@ def test_parameter_draws():
     draws = registry.draw_params(space, 30, 1)
     assert len(draws) == 30 and len({tuple(d.items()) for d in draws}) == 30 and draws == registry.draw_params(space, 30, 1)
     assert len(registry.draw_params({"alpha": [1, 2]}, 30, 1)) == 2 and registry.draw_params({}, 30, 1) == [{}]
+
+
+def test_quantile_scaler_and_binned_scorer_in_the_search(data):
+    df, x, y = data
+    outcome, records = search.search_grid(df, FEATS, "y", "Ridge", {"alpha": [0.1]}, n_splits=1, scaler="QuantileTransformer",
+                                          scorer="Mutual_info_regression")
+    assert outcome.selected == FEATS and 0.3 < records.first().cv_r2 < 1
+    pred = outcome.predict(df).select("y", "y_pred").toPandas()
+    assert np.corrcoef(pred.y, pred.y_pred)[0, 1] > 0.9
+
+
+def test_out_of_fold_predictions_of_a_tree(data):
+    df, _, y = data
+    out = search.cv_predict(df, FEATS, "y", "DecisionTreeRegressor", {"max_depth": 3})
+    assert out.count() == 200
+    assert search.cv_report(out, "y").count() == 5

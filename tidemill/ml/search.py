@@ -26,6 +26,7 @@ from tidemill.operators.layout import join_null_safe
 from tidemill.operators.reshape import set_union_results
 from tidemill.operators.scale import ScalerParams, apply_scaler, fit_scaler, scaled
 from tidemill.operators.split import topk_features
+from tidemill.session import settle
 
 SUM_SCALERS = ("none", "minmax", "standard")
 SUM_SCORERS = ("F_regression", "Pearson Correlation", "No scoring")
@@ -204,6 +205,9 @@ def search_grid(train: DataFrame, features: Sequence[str], y: str, model: str, s
     """Best draw by mean R2 over the folds in ``train.block``, refitted on all rows; and all records."""
     spec = registry.MODELS[model]
     draws = registry.draw_params(spec.space if space is None else space, n_iter, seed)
+    if not spec.gram:
+        # Every fit reads the rows several times.
+        train = settle(train)
     folds = Folds(train, list(features), y, n_splits)
     run = search_linear if spec.gram else search_fitted
     args = () if spec.gram else (key,)
@@ -229,7 +233,7 @@ def cv_predict(train: DataFrame, features: Sequence[str], y: str, model: str, pa
         for i, fit in fits.items():
             pred = F.when(F.col("block") == i, fit.column()).otherwise(pred)
         return train.filter(F.col("block") >= 1).withColumn("y_pred", pred)
-    parts = []
+    train, parts = settle(train), []
     for i in fold_ids:
         fitted = _fit_any(spec, train.filter(F.col("block") < i), features, y, params or {}, key)
         parts.append(_apply(fitted, train.filter(F.col("block") == i), key))
