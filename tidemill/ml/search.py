@@ -249,12 +249,26 @@ def cv_report(predictions: DataFrame, y: str, by: str = "block") -> DataFrame:
 CONFIG = ["model", "lag", "scaler", "scorer"]
 
 
-def _linear_predictions(test: DataFrame, y: str, keys: Sequence[str], found: list[tuple[tuple, LinearFit]]) -> DataFrame:
-    """All linear configurations of a lag from one scan of its test rows."""
-    cells = [F.struct(F.lit(name).alias("model"), F.lit(lag).alias("lag"), F.lit(scaler).alias("scaler"),
-                      F.lit(scorer).alias("scorer"), fit.column().alias("y_pred"))
-             for (name, lag, scaler, scorer), fit in found]
-    return test.select(*keys, F.col(y).alias("y_true"), F.inline(F.array(*cells)))
+def _linear_predictions(test: DataFrame, features: Sequence[str], y: str, keys: Sequence[str],
+                        found: list[tuple[tuple, LinearFit]]) -> DataFrame:
+    """All linear configurations of a lag from one scan of its test rows.
+
+    Coefficients are one literal matrix (0 for features a configuration left out), so the plan stays
+    small however many configurations there are.
+    """
+    def numbers(values: Sequence[float]) -> str:
+        return "array(" + ",".join(f"{float(v)!r}D" for v in values) + ")"
+
+    matrix = []
+    for _, fit in found:
+        coef = dict(zip(fit.features, fit.coef))
+        matrix.append(numbers([coef.get(f, 0.0) for f in features]))
+    inputs = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    values = F.zip_with(F.expr(f"array({','.join(matrix)})"), F.expr(numbers([fit.intercept for _, fit in found])),
+                        lambda coef, start: F.aggregate(F.zip_with(inputs, coef, lambda x, c: x * c), start, lambda s, v: s + v))
+    heads = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(CONFIG, config)]) for config, _ in found])
+    rows = F.zip_with(heads, values, lambda h, v: F.struct(*[h[n].alias(n) for n in CONFIG], v.alias("y_pred")))
+    return test.select(*keys, F.col(y).alias("y_true"), F.inline(rows))
 
 
 def search_matrix(frames: dict[int, tuple[DataFrame, DataFrame]], features: dict[int, list[str]], y: str,
@@ -291,9 +305,10 @@ def search_matrix(frames: dict[int, tuple[DataFrame, DataFrame]], features: dict
             except Exception as e:  # noqa: BLE001 - any failure of a configuration is a record
                 records.append((y, *config, None, None, None, None, None, None, str(e)[:2000]))
         if linear:
-            parts.append(_linear_predictions(test, y, keys, linear))
+            parts.append(_linear_predictions(test, features[lag], y, keys, linear))
     results = spark.createDataFrame(records, RECORD_SCHEMA)
-    predictions = set_union_results(parts) if parts else None
+    # Settled: the errors, the best choice and the horizons all read them.
+    predictions = settle(set_union_results(parts)) if parts else None
     if predictions is None:
         empty = [F.lit(None).cast("double").alias(c) for c in TEST_ERRORS]
         return results.select("*", *empty), None
