@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemill.llm.crf import finder
 from tidemill.llm.langid import identify
 from tidemill.llm.pieces import digest, encoder
 from tidemill.llm.registry import query, table
+from tidemill.llm.sliced import near_duplicates
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -30,3 +32,16 @@ def language_id(spark, sf_dir):
     classify = identify(docs, ~held)
     return docs.select("doc_id", held.alias("held_out"), classify("text").alias("p")) \
         .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+@query("op5_simhash_near_dedup")
+def simhash_near_dedup(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op8_personal_data")
+def personal_data(spark, sf_dir):
+    find = finder(spark, mask=False)
+    return table(spark, sf_dir, "documents").select("doc_id", find("text").alias("p")) \
+        .select("doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone", "p.base_sha256", "p.spans")
