@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int,
 
 
 def mix(docs: DataFrame, row: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", cell_rows: int = 100_000) -> DataFrame:
+        weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", cell_rows: int = 2_000) -> DataFrame:
     """Columns: row (a struct of the named columns), size, source_size, target, times, taken."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), F.col(id_col).cast("string").alias("_id"),
                         F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"))
@@ -103,7 +103,7 @@ targets AS (
 celled AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS draw,
-         ceil(t.n_docs / 100000) AS cells
+         ceil(t.n_docs / 2000) AS cells
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.s),
 placed AS (
   SELECT *, CAST(floor(draw * cells) AS BIGINT) AS cell FROM celled),
