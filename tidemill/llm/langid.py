@@ -10,7 +10,7 @@ Text is lower-cased; everything that is not a letter is a blank, and blanks run
 ``ALPHABET - 2`` most frequent letters of the learning texts have a symbol each, other letters share one.
 
 The model is fitted on a bounded sample (``per_lang`` texts of at most ``max_chars`` characters for each
-language, chosen by the hash of the id); every text is scored, and whole.
+language, chosen by the hash of the id, for at most ``MAX_LANGS`` languages); every text is scored, and whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text where
 nothing could be learned; with one language learned, every other text is that; repeated rows are judged
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 ALPHABET = 64
 SIZE = ALPHABET ** 3 + ALPHABET ** 2 + ALPHABET
 UND = "und"
+MAX_LANGS = 2_000
 
 
 @dataclass
@@ -88,9 +89,13 @@ def labelled_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("lang|"), key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     usable = learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars) & F.rlike(text_col, F.lit(r"\p{L}"))
-    rows = docs.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), key.alias("key"))
-    rates = docs.where(usable).groupBy(F.col(lang_col).alias("l")).agg((F.lit(2.0 * per_lang + 50) / F.count(F.lit(1))).alias("rate"))
-    near = rows.join(rates, F.col("lang") == F.col("l")).where(F.col("draw") < F.col("rate"))
+    n = {r["l"]: r["count"] for r in docs.where(usable).groupBy(F.col(lang_col).alias("l")).count().take(MAX_LANGS + 1)}
+    if len(n) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: the model has a column for each")
+    if not n:
+        return docs.sparkSession.createDataFrame([], "lang string, text string, n int")
+    rate = F.element_at(F.create_map(*[x for lang, c in sorted(n.items()) for x in (F.lit(lang), F.lit((2.0 * per_lang + 50) / c))]), F.col(lang_col))
+    near = docs.where(usable & (draw < rate)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), key.alias("key"))
     first = Window.partitionBy("lang").orderBy("draw", "key", "text")
     return near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("lang", "text", "n")
 
