@@ -7,8 +7,8 @@ model gets its merges from them (every split of a piece into two known pieces, i
 No piece of such a model holds a word marker after another character, so words with their leading
 blanks can be encoded one by one (this is checked; a model with other pieces is encoded text by text).
 Only words not seen before go to the tokenizer, in multithreaded batches; the memo of known words is
-bounded. Every text is encoded by the ``sentencepiece`` library as well, and ``parity`` says whether
-the two agree.
+bounded. What goes to the tokenizer goes to the ``sentencepiece`` library as well, and ``parity`` says
+whether the two agreed on all of a text's words (on the text itself where it is encoded whole).
 
 Defined cases: a null or empty text has no tokens and is lossless; texts are never cut; repeated rows
 are encoded one by one; an empty table gives no rows.
@@ -16,23 +16,29 @@ are encoded one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MEMO_WORDS = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the file format
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
-SCHEMA = "ids array<int>, n_tokens long, decoded string, lossless boolean, parity boolean"
+CHARS_AT_ONCE = 1_000_000
+WORDS_A_TEXT = 500
+SCHEMA = "ids array<int>, n_tokens long, decoded_sha256 string, lossless boolean, parity boolean, decoded string"
+NAMES = ["ids", "n_tokens", "decoded_sha256", "lossless", "parity", "decoded"]
 
 
 @dataclass
@@ -130,8 +136,15 @@ def splits_at_words(model: Model) -> bool:
         kind == USER or inside.search(p) for p, _, kind in model.pieces)
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[starts[0]:][:sizes[0]], flat[starts[1]:][:sizes[1]], ... one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class Codec:
-    """One model in one Python worker."""
+    """One model in one Python worker. Token ids of a batch are one flat array and the texts' lengths in it."""
 
     def __init__(self, raw: bytes, threads: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -143,40 +156,75 @@ class Codec:
         self.tokenizer = build(self.model)
         self.check = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.words = re.compile(" *[^ ]+| +") if splits_at_words(self.model) else None
-        self.memo: dict[str, list[int]] = {}
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode()
-                      for p, _, kind in self.model.pieces]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.forget()
+        self.heads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode()
+                  for p, _, kind in self.model.pieces]
+        self.piece_bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.piece_sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.ids, self.starts, self.agree = array("i"), array("q", [0]), array("b")
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words with both libraries.
+
+        Those with one leading blank and no other marker go to the tokenizer joined to texts, since each of
+        them begins with the only pieces that begin with a marker; the tokenizer puts the first marker itself.
+        """
+        plain, other = [], []
+        for w in words:
+            (plain if w[:1] == " " and w[1:2] != " " and len(w) > 1 and MARK not in w else other).append(w)
+        lots = [plain[k:k + WORDS_A_TEXT] for k in range(0, len(plain), WORDS_A_TEXT)] + [[w] for w in other]
+        texts = ["".join(lot)[1:] for lot in lots]
+        ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for lot, e, theirs in zip(lots, ours, self.check.encode(texts, num_threads=self.threads)):
+            ids = np.array(e.ids, dtype=np.int32)
+            cuts = np.flatnonzero(self.heads[ids]) if len(lot) > 1 else np.zeros(1, dtype=np.int64)
+            if len(cuts) != len(lot):
+                raise AssertionError("words and their first pieces do not agree")
+            same = e.ids == theirs
+            start = len(self.ids)
+            self.ids.frombytes(ids.tobytes())
+            self.starts.extend((start + np.append(cuts[1:], len(ids))).tolist())
+            self.agree.extend([same] * len(lot))
+            self.memo.update(zip(lot, range(len(self.memo), len(self.memo) + len(lot))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, each text's number of them, and whether the other library's ids are the same."""
         if self.words is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            same = [a == b for a, b in zip(found, self.check.encode(texts, num_threads=self.threads))]
+            return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64), np.array(same)
         cut = [self.words.findall(" " + t) if t else [] for t in texts]
-        new = list({w for words in cut for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            new = list({w for words in cut for w in words})
-            self.memo = {}
-        # The tokenizer puts a marker in front itself, in place of the first blank.
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w[1:] for w in new], add_special_tokens=False)):
-            self.memo[word] = e.ids
-        memo = self.memo
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += memo[w]
-            out.append(ids)
-        return out
-
-    def decode(self, batch: list[list[int]]) -> list[str]:
+        new = set(chain.from_iterable(cut)).difference(self.memo)
+        if new and len(self.memo) + len(new) > MEMO_WORDS:
+            self.forget()
+            new = set(chain.from_iterable(cut))
+        self.learn(list(new))
+        places = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        starts = np.array(self.starts, dtype=np.int64)
+        sizes = np.diff(starts)[places]
+        ids = gather(np.array(self.ids, dtype=np.int32), starts[places], sizes)
+        bounds = np.cumsum([0] + [len(words) for words in cut])
+        wrong = np.concatenate(([0], np.cumsum(np.array(self.agree, dtype=np.int64)[places] == 0)))
+        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[bounds]), np.diff(wrong[bounds]) == 0
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """Pieces joined and the marker's blank taken off; texts with broken bytes go to the library's own decoder."""
+        lengths = self.piece_sizes[ids]
+        joined = gather(self.piece_bytes, self.piece_starts[ids], lengths).tobytes()
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
         out = []
-        for ids in batch:
-            joined = b"".join([self.bytes[i] for i in ids])
-            joined = joined[1:] if self.model.dummy_prefix and joined[:1] == b" " else joined
+        for k, (s, e) in enumerate(zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist())):
+            part = joined[s + 1:e] if self.model.dummy_prefix and joined[s:s + 1] == b" " and e > s else joined[s:e]
             try:
-                out.append(joined.decode())
+                out.append(part.decode())
             except UnicodeDecodeError:
-                out.append(self.tokenizer.decode(ids, skip_special_tokens=False))
+                out.append(self.tokenizer.decode(ids[bounds[k]:bounds[k + 1]].tolist(), skip_special_tokens=False))
         return out
 
 
@@ -186,35 +234,38 @@ def _codec(name: str, threads: int) -> Codec:
         return Codec(f.read(), threads)
 
 
-def encoder(spark, model_path: str, threads: int = 2, keep_text: bool = True):
-    """A function from a text column to a struct of ids, n_tokens, decoded, lossless, parity.
+def encoder(spark, model_path: str, threads: int = 2, keep_text: bool = False):
+    """A function from a text column to a struct of ids, n_tokens, decoded_sha256, lossless, parity, decoded.
 
     The model file is added to the session, so every executor gets it, also one that starts later."""
     spark.sparkContext.addFile(model_path)
     name = os.path.basename(model_path)
 
-    @F.pandas_udf(SCHEMA)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(SCHEMA)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(name, threads)
-        for texts in batches:
-            rows = []
-            values = [t or "" for t in texts.tolist()]
-            # a bounded number of characters at a time; a single text is never cut
-            start = size = 0
-            for end, t in enumerate(values, 1):
-                size += len(t)
-                if size < 2_000_000 and end < len(values):
-                    continue
-                part = values[start:end]
-                ids = codec.encode(part)
-                decoded = codec.decode(ids)
-                theirs = codec.check.encode(part, num_threads=threads)
-                rows += [(i, len(i), d if keep_text else None, d == t, i == p) for i, d, p, t in zip(ids, decoded, theirs, part)]
-                start, size = end, 0
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded", "lossless", "parity"])
+        for batch in batches:
+            for part in parts(batch.to_pylist()):
+                ids, sizes, same = codec.encode(part)
+                decoded = codec.decode(ids, sizes)
+                bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                yield pa.StructArray.from_arrays([
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids)), pa.array(sizes),
+                    pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]),
+                    pa.array(list(map(str.__eq__, decoded, part))), pa.array(same),
+                    pa.array(decoded if keep_text else [None] * len(part), pa.string())], names=NAMES)
 
     return encode.asNondeterministic()
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+def parts(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of texts with a bounded number of characters; one text is never cut."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text or "")
+        size += len(run[-1])
+        if size >= CHARS_AT_ONCE:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run

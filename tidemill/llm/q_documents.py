@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.crf import finder
 from tidemill.llm.langid import identify
-from tidemill.llm.pieces import digest, encoder
+from tidemill.llm.pieces import encoder
 from tidemill.llm.registry import query, table
 from tidemill.llm.sliced import near_duplicates
 
@@ -22,7 +22,7 @@ def sentencepiece(spark, sf_dir, model_path: str = TOKENIZER):
     """doc_id, n_tokens, ids, decoded_sha256, lossless (decoded text is the text), parity (ids equal the other library's)."""
     encode = encoder(spark, model_path)
     done = table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("e"))
-    return done.select("doc_id", "e.n_tokens", "e.ids", digest(F.col("e.decoded")).alias("decoded_sha256"), "e.lossless", "e.parity")
+    return done.select("doc_id", "e.n_tokens", "e.ids", "e.decoded_sha256", "e.lossless", "e.parity")
 
 
 @query("op9_language_id")
