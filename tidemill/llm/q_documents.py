@@ -8,6 +8,7 @@ from tidemill.llm.crf import finder
 from tidemill.llm.langid import identify
 from tidemill.llm.pieces import encoder
 from tidemill.llm.registry import query, table
+from tidemill.llm.repeats import remove_repeats
 from tidemill.llm.sliced import near_duplicates
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +35,11 @@ def language_id(spark, sf_dir):
         .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
+@query("op4_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
