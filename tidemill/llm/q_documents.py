@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemill.llm.bilinear import score
 from tidemill.llm.crf import finder
 from tidemill.llm.langid import identify
 from tidemill.llm.pieces import encoder
@@ -35,6 +36,12 @@ def language_id(spark, sf_dir):
         .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
+@query("op3_lm_scoring")
+def lm_scoring(spark, sf_dir):
+    found = score(table(spark, sf_dir, "documents"), id_hash(7) != 2)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op4_substring_dedup")
 def substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
