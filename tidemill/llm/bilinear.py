@@ -41,7 +41,7 @@ BUCKETS = 256
 DIM = 24
 HEAD = 1_000_000
 NOISE = 32
-BATCH = 8_192
+BATCH = 1_024
 WORDS_AT_ONCE = 262_144
 MEMO_WORDS = 300_000
 COUNTED = 200_000
