@@ -33,6 +33,9 @@ ALPHABET = 64
 SIZE = ALPHABET ** 3 + ALPHABET ** 2 + ALPHABET
 UND = "und"
 MAX_LANGS = 2_000
+PER_LANG = 300
+MAX_CHARS = 20_000
+LANDMARKS = 96
 
 
 @dataclass
@@ -84,7 +87,8 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def labelled_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, max_chars: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> DataFrame:
     """At most ``per_lang`` rows a language: those with the smallest hash. A first cut by hash alone keeps the sort small."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("lang|"), key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
@@ -100,7 +104,7 @@ def labelled_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     return near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("lang", "text", "n")
 
 
-def fit(sample: DataFrame, landmarks: int = 96, ridge: float = 0.1) -> LanguageModel | None:
+def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = 0.1) -> LanguageModel | None:
     rows = sorted((r["lang"], r["n"], r["text"]) for r in sample.collect())
     if not rows:
         return None
@@ -172,7 +176,6 @@ def classifier(spark, model: LanguageModel | None):
     return classify.asNondeterministic()
 
 
-def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             per_lang: int = 300, max_chars: int = 20_000, landmarks: int = 96):
+def identify(docs: DataFrame, learn: Column):
     """Fits on the rows where ``learn`` holds; returns the function to apply to a text column."""
-    return classifier(docs.sparkSession, fit(labelled_sample(docs, learn, id_col, text_col, lang_col, per_lang, max_chars), landmarks))
+    return classifier(docs.sparkSession, fit(labelled_sample(docs, learn)))
