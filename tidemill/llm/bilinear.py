@@ -38,7 +38,7 @@ from tidemill.session import settle
 
 VOCABULARY = 512
 BUCKETS = 256
-DIM = 24
+DIM = 16
 HEAD = 1_000_000
 NOISE = 32
 BATCH = 1_024
@@ -111,20 +111,21 @@ class Coder(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.classes, self.logs = array("i"), array("d")
+        self.classes, self.logs, self.words = array("i"), array("d"), []
 
     def __missing__(self, word: bytes) -> int:
         slot = self[word] = len(self.classes)
         own = self.own.get(word)
         self.classes.append(len(self.own) + bucket(word) if own is None else own)
         self.logs.append(self.known.get(word, -1.0))
+        self.words.append(word)
         return slot
 
-    def code(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self) > MEMO_WORDS:
             self.forget()
         slots = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return np.array(self.classes, dtype=np.int32)[slots], np.array(self.logs)[slots]
+        return slots, np.array(self.classes, dtype=np.int32)[slots], np.array(self.logs)[slots]
 
 
 def bucket(word: bytes) -> int:
@@ -133,7 +134,10 @@ def bucket(word: bytes) -> int:
 
 def flat(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     """All tokens with an end after each text, and where each text starts."""
-    words = [w for t in texts for w in (*t, END)]
+    words: list[bytes] = []
+    for t in texts:
+        words += t
+        words.append(END)
     return words, np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
 
 
@@ -238,7 +242,7 @@ def train(learning: DataFrame, words: Vocabulary) -> Bilinear:
         coder, model, seen = Coder(shared.value), Bilinear(shared.value.prior), 0
         for _, texts in document_batches(frames, []):
             all_words, starts = flat(texts)
-            classes, _ = coder.code(all_words)
+            _, classes, _ = coder.code(all_words)
             one, two = contexts(classes, starts)
             mixed = model.rng.permutation(len(classes))
             for a in range(0, len(mixed), BATCH):
@@ -282,7 +286,7 @@ def score_texts(docs: DataFrame, words: Vocabulary, model: Bilinear, z: np.ndarr
         coder = Coder(words)
         for rows, texts in document_batches(frames, ["row", "doc_id", "learned"]):
             all_words, starts = flat(texts)
-            classes, logs = coder.code(all_words)
+            slots, classes, logs = coder.code(all_words)
             one, two = contexts(classes, starts)
             rare = logs < 0
             outside = classes >= len(words.top)
@@ -293,12 +297,11 @@ def score_texts(docs: DataFrame, words: Vocabulary, model: Bilinear, z: np.ndarr
             yield pd.DataFrame({"row": ids, "doc_id": [r[1] for r in rows], "learned": [r[2] for r in rows], "tok": [END + b"%d" % i for i in ids.tolist()], "tf": 0, "n": sizes,
                                 "head": np.add.reduceat(given, starts), "score": np.add.reduceat(score, starts),
                                 "known": np.add.reduceat((~rare).astype(np.int64), starts)})
-            place = np.repeat(np.arange(len(rows)), sizes)
-            at = np.flatnonzero(rare)
-            tail = Counter(zip(place[at].tolist(), [all_words[k] for k in at.tolist()]))
-            if tail:
-                where, toks = zip(*tail)
-                yield pd.DataFrame({"row": ids[list(where)], "doc_id": None, "learned": 0, "tok": list(toks), "tf": list(tail.values()), "n": 0, "head": 0.0, "score": 0.0, "known": 0})
+            if rare.any():
+                place = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)[rare]
+                pairs, tf = np.unique(place << 32 | slots[rare], return_counts=True)
+                toks = [coder.words[k] for k in (pairs & 0xFFFFFFFF).tolist()]
+                yield pd.DataFrame({"row": ids[pairs >> 32], "doc_id": None, "learned": 0, "tok": toks, "tf": tf, "n": 0, "head": 0.0, "score": 0.0, "known": 0})
 
     return docs.mapInPandas(run, SCORED)
 
