@@ -155,7 +155,7 @@ class Codec:
         self.model = parse_model(raw)
         self.tokenizer = build(self.model)
         self.check = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.words = re.compile(" *[^ ]+| +") if splits_at_words(self.model) else None
+        self.words = re.compile(r" *[^ ]+(?: +\Z)?| +") if splits_at_words(self.model) else None
         self.forget()
         self.heads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode()
@@ -176,7 +176,7 @@ class Codec:
         """
         plain, other = [], []
         for w in words:
-            (plain if w[:1] == " " and w[1:2] != " " and len(w) > 1 and MARK not in w else other).append(w)
+            (plain if w[0] == " " and w[1:2] != " " and w[-1] != " " and MARK not in w else other).append(w)
         lots = [plain[k:k + WORDS_A_TEXT] for k in range(0, len(plain), WORDS_A_TEXT)] + [[w] for w in other]
         texts = ["".join(lot)[1:] for lot in lots]
         ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
