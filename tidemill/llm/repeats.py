@@ -4,7 +4,7 @@ A window is ``width`` consecutive words. Blocks of half a window, cut without ov
 are the index; any window then holds one whole block of the document that it starts in. Every rolling
 half-window of every document probes the index, and a probe is a hit where the block's smallest document
 is below its own. A hit is extended to all windows around it: those of the prober and those of the block's
-owner. Equal windows meet again by a 96-bit hash of their words, and a window is repeated where one of
+owner. Equal windows meet again by an 80-bit hash of their words, and a window is repeated where one of
 them starts in a document with a smaller id; neighbouring repeated windows make up the maximal repeat.
 
 All hashes are polynomials over 64-bit word hashes, so every window of a batch comes from one running
@@ -39,7 +39,8 @@ U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)  # odd, so that powers can be divided out
 MIX = U64(0xD6E8FEB86659FD93)
 PROBES = "part long, kind int, ids binary, tags binary, ends binary, at binary, marks binary"
-WINDOWS = "part long, doc_id long, tag long, sure boolean, starts binary, high binary, low binary"
+WINDOWS = "part long, doc_id long, tag long, wide boolean, starts binary, high binary, low binary"
+SLICES = 8
 
 
 class Memo(dict):
@@ -232,20 +233,21 @@ def extend(parts: int, width: int):
                 key.append(np.full(len(at), n))
                 starts.append(at)
                 high.append(rolling(hashes, width, BASES[0])[at])
-                low.append((rolling(hashes, width, BASES[1])[at] >> U64(32)).astype(np.uint32))
+                low.append((rolling(hashes, width, BASES[1])[at] >> U64(48)).astype(np.uint16))
             key, starts, high, low = map(np.concatenate, (key, starts, high, low))
             repeated = smaller_exists(high, low, np.array([d[0] for d in run], dtype=np.int64)[key])
-            # a window seen before in a smaller document of the batch is settled; the smallest one's goes on
-            part = part_of(high, parts).astype(np.int64) + np.where(repeated, parts, 0)
-            order = np.lexsort((starts, part, key))
+            # a window seen in a smaller document of the batch is settled, with no hash to meet others by
+            part = np.where(repeated, -1, part_of(high, parts).astype(np.int64))
+            order = np.lexsort((part, key))
             k, p = key[order], part[order]
-            cuts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]), [True])))
+            cuts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]), [True]))) if len(k) else np.zeros(1, dtype=int)
             out = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                o = order[a:b]
-                sure = p[a] >= parts
-                out.append((p[a] % parts, run[k[a]][0], run[k[a]][1], bool(sure), starts[o].astype(np.uint32).tobytes(),
-                            None if sure else high[o].tobytes(), None if sure else low[o].tobytes()))
+                o, (doc_id, tag, _, words) = order[a:b], run[k[a]]
+                wide = len(words) >= 65_536
+                at = starts[o].astype(np.uint32 if wide else np.uint16).tobytes()
+                settled = p[a] < 0
+                out.append((tag % parts if settled else p[a], doc_id, tag, wide, at, None if settled else high[o].tobytes(), None if settled else low[o].tobytes()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
 
     return widen
@@ -263,18 +265,23 @@ def smaller_exists(high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.nda
 
 
 def decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """All windows of one part to the repeated ones: doc_id, tag, starts."""
-    known, open_ = rows[rows["sure"]], rows[~rows["sure"]]
-    kept = [known[["doc_id", "tag", "starts"]]]
+    """All windows of one part to the repeated ones: doc_id, tag, wide, starts. Hashes are compared a slice at a time."""
+    settled = rows["high"].isna()
+    known, open_ = rows[settled], rows[~settled]
+    kept = [known[["doc_id", "tag", "wide", "starts"]]]
     if len(open_):
         high = np.frombuffer(b"".join(open_["high"]), dtype=U64)
-        low = np.frombuffer(b"".join(open_["low"]), dtype=np.uint32)
-        sizes = open_["low"].str.len().to_numpy() // 4
-        repeated = smaller_exists(high, low, np.repeat(open_["doc_id"].to_numpy(), sizes))
+        low = np.frombuffer(b"".join(open_["low"]), dtype=np.uint16)
+        sizes = open_["low"].str.len().to_numpy() // 2
+        ids = np.repeat(open_["doc_id"].to_numpy(), sizes)
+        repeated = np.zeros(len(high), dtype=bool)
+        for k in range(SLICES):
+            at = np.flatnonzero(high % U64(SLICES) == U64(k))
+            repeated[at] = smaller_exists(high[at], low[at], ids[at])
         bounds = np.concatenate(([0], np.cumsum(sizes)))
-        found = [(i, t, np.frombuffer(s, dtype=np.uint32)[repeated[a:b]].tobytes()) for i, t, s, a, b in
-                 zip(open_["doc_id"], open_["tag"], open_["starts"], bounds[:-1], bounds[1:]) if repeated[a:b].any()]
-        kept.append(pd.DataFrame(found, columns=["doc_id", "tag", "starts"]))
+        found = [(i, t, w, np.frombuffer(s, dtype=np.uint32 if w else np.uint16)[repeated[a:b]].tobytes()) for i, t, w, s, a, b in
+                 zip(open_["doc_id"], open_["tag"], open_["wide"], open_["starts"], bounds[:-1], bounds[1:]) if repeated[a:b].any()]
+        kept.append(pd.DataFrame(found, columns=["doc_id", "tag", "wide", "starts"]))
     return pd.concat(kept)
 
 
@@ -297,7 +304,7 @@ def cut_out(width: int):
                 gone = np.zeros(len(words), dtype=bool)
                 if lists is not None:
                     change = np.zeros(len(words) + 1, dtype=np.int64)
-                    starts = np.frombuffer(b"".join(lists), dtype=np.uint32).astype(np.int64)
+                    starts = np.frombuffer(b"".join(lists), dtype=np.uint32 if len(words) >= 65_536 else np.uint16).astype(np.int64)
                     np.add.at(change, starts, 1)
                     np.add.at(change, starts + width, -1)
                     gone = np.cumsum(change)[:-1] > 0
@@ -314,21 +321,27 @@ def cut_out(width: int):
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """bodies (doc_id, tag, body) and, for those with repeats, doc_id, tag, starts (packed starts of repeated windows)."""
-    rows = docs.select("doc_id", "text")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, ceil(chars / PART_CHARS))
-    probes = rows.where(F.col("doc_id").isNotNull()).mapInPandas(probe(parts, width), PROBES)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts, wide_parts = max(cores, ceil(chars / PART_CHARS)), max(cores, ceil(chars / PART_CHARS / 4))
+    probes = rows.mapInPandas(probe(parts, width), PROBES)
     hits = probes.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInPandas(match, "doc_id long, tag long, pos int")
-    around = hits.groupBy(F.col("doc_id").cast("string").alias("doc_id"), "tag").agg(F.collect_list("pos").alias("pos"))
-    # ids go through pandas as text: a column of longs with nulls would become doubles there
-    bodies = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(body, "doc_id string, tag long, body binary")
-    windows = bodies.join(around, ["doc_id", "tag"]).select("doc_id", "tag", "pos", "body").mapInPandas(extend(parts, width), WINDOWS)
-    found = windows.groupBy("part").applyInPandas(decide, "doc_id long, tag long, starts binary")
-    return bodies, found.groupBy(F.col("doc_id").cast("string").alias("doc_id"), "tag").agg(F.collect_list("starts").alias("starts"))
+    around = hits.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos"))
+    # the filter is what an inner join adds anyway: with it, both joins see the same plan and share one shuffle
+    bodies = rows.mapInPandas(body, "doc_id long, tag long, body binary").where(F.col("doc_id").isNotNull() & F.col("tag").isNotNull())
+    windows = bodies.join(around, ["doc_id", "tag"]).select("doc_id", "tag", "pos", "body").mapInPandas(extend(wide_parts, width), WINDOWS)
+    found = windows.groupBy("part").applyInPandas(decide, "doc_id long, tag long, wide boolean, starts binary")
+    return bodies, found.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row a document."""
-    bodies, found = repeated_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width)
-    return bodies.join(found, ["doc_id", "tag"], "left").select("doc_id", "body", "starts").mapInPandas(
-        cut_out(width), "doc_id string, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bodies, found = repeated_windows(rows, width)
+    result = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    judged = bodies.join(found, ["doc_id", "tag"], "left").select("doc_id", "body", "starts").mapInPandas(cut_out(width), result)
+    # rows without an id take no part; they pass Python with a stand-in, as a column of longs with nulls would become doubles
+    nameless = rows.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text").mapInPandas(body, "doc_id long, tag long, body binary") \
+        .select("doc_id", "body", F.lit(None).cast("array<binary>").alias("starts")).mapInPandas(cut_out(width), result)
+    return judged.union(nameless.withColumn("doc_id", F.lit(None).cast("long")))
