@@ -62,7 +62,7 @@ def cell_udf(least: float):
     @F.pandas_udf("array<int>")
     def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            out = pd.Series([None] * len(vectors), dtype=object)
+            out: list[list[int] | None] = [None] * len(vectors)
             lengths = vectors.map(len)
             for dim in lengths.unique():
                 rows = np.flatnonzero(lengths == dim)
@@ -70,9 +70,9 @@ def cell_udf(least: float):
                 blocks = spans(int(dim))
                 width = np.sqrt([budget(int(dim), b, least) for b in blocks])
                 places = np.floor(turned[:, [b.start for b in blocks]] / width).astype(np.int32)
-                for row, place in zip(rows, places):
-                    out.iloc[row] = place
-            yield out
+                for row, place in zip(rows, places.tolist()):
+                    out[row] = place
+            yield pd.Series(out, dtype=object)
 
     return cells
 
