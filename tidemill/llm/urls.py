@@ -47,7 +47,7 @@ def site_rule(verdict: str, text: str) -> Rule:
     """The host itself or any subdomain, then the path prefix, against ``//host path``."""
     host, slash, path = text.partition("/")
     host = host.lower()
-    regex = r"^//(?:.*\.)?" + re.escape(host) + re.escape(slash + path)
+    regex = r"^//(?:[^/]*\.)?" + re.escape(host) + re.escape(slash + path)
     return Rule(text, verdict, regex, tuple(re.findall(TOKEN, host)), True)
 
 
