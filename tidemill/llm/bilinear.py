@@ -220,7 +220,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     first = counts.where(F.col("tok") != END).orderBy(F.desc("c"), "tok").limit(VOCABULARY - 1).collect()
     top = [END, *(bytes(r["tok"]) for r in first)]
-    frequent = counts.where(F.col("c") * HEAD >= n).toArrow() if n else pa.table({"tok": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
+    frequent = counts.where((F.col("c") * HEAD >= n) | F.col("tok").isin(top)).toArrow() if n else pa.table({"tok": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, frequent.schema) as w:
         w.write_table(frequent)
@@ -317,7 +317,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     numbered = rows.select("text", F.col("doc_id").cast("string").alias("doc_id"), F.col("learned").cast("int").alias("learned"),
                            F.monotonically_increasing_id().alias("row"))
     scored = score_texts(numbered, words, model, z).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rare = counts.where(F.col("c") * HEAD < words.n)
+    rare = counts.where((F.col("c") * HEAD < words.n) & ~F.col("tok").isin(words.top))
     c = F.coalesce("c", F.lit(0))
     sums = scored.join(rare, "tok", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("learned").alias("learned"), F.sum("n").alias("n_tokens"),
