@@ -25,21 +25,27 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.batches import batch, rows
+
 WIDTH = 50
-BATCH_WORDS = 262_144
+BATCH_WORDS = 131_072
 PART_CHARS = 24_000_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)  # odd, so that powers can be divided out
 MIX = U64(0xD6E8FEB86659FD93)
-PROBES = "part long, kind int, ids binary, tags binary, ends binary, at binary, marks binary"
-WINDOWS = "part long, doc_id long, tag long, wide boolean, starts binary, high binary, low binary"
+PROBES = pa.schema([("part", pa.int64()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("ids", "tags", "ends", "at", "marks")])
+HITS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32())])
+BODIES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("body", pa.binary())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("wide", pa.bool_()), ("starts", pa.binary())])
+WINDOWS = pa.schema([("part", pa.int64()), *FOUND, ("high", pa.binary()), ("low", pa.binary())])
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 SLICES = 8
 
 
@@ -96,13 +102,18 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint32), dtype=np.int64)
 
 
-def batches(rows: Iterator[tuple], most: int = BATCH_WORDS) -> Iterator[list[tuple]]:
-    """Runs of (…, words) rows with a bounded number of words; one document is never cut."""
+def ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.string(): "string"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def runs(docs: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Lists of (…, words) rows with a bounded number of words; one document is never cut."""
     run, size = [], 0
-    for row in rows:
+    for row in docs:
         run.append(row)
         size += len(row[-1])
-        if size >= most:
+        if size >= BATCH_WORDS:
             yield run
             run, size = [], 0
     if run:
@@ -113,10 +124,10 @@ def probe(parts: int, width: int):
     """Documents to packed index blocks (kind 0) and probes (kind 1)."""
     half = width // 2
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
-        docs = ((int(i), tag_of(t), words_of(t)) for f in frames for i, t in zip(f["doc_id"], f["text"]))
-        for run in batches(d for d in docs if len(d[2]) >= width):
+        docs = ((i, tag_of(t), words_of(t)) for i, t in rows(batches, ["doc_id", "text"]))
+        for run in runs(d for d in docs if len(d[2]) >= width):
             ids, tags = np.array([d[0] for d in run], dtype=np.int64), np.array([d[1] for d in run], dtype=np.int64)
             sizes = np.array([len(d[2]) for d in run], dtype=np.int64)
             ends = np.cumsum(sizes)
@@ -132,23 +143,27 @@ def probe(parts: int, width: int):
                 cuts = np.searchsorted(owner[order], np.arange(parts + 1))
                 out = [(p, kind, *head, packed(places[order[a:b]]), mine[order[a:b]].astype(np.uint32).tobytes())
                        for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in PROBES.split(", ")])
+                yield batch(PROBES, out)
 
     return pack
 
 
-def read_probes(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Marks of a packed row, and of each the document's place in it and the word's place in the document."""
+def read_probes(ids: bytes, ends: bytes, at: bytes, marks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of a packed row and their places, and the row's ids and ends of documents."""
     undo = zstandard.ZstdDecompressor().decompress
-    ends = np.frombuffer(undo(row.ends), dtype=np.int64)
-    return np.frombuffer(row.marks, dtype=np.uint32), unpacked(row.at), np.frombuffer(undo(row.ids), dtype=np.int64), ends
+    return np.frombuffer(marks, dtype=np.uint32), unpacked(at), np.frombuffer(undo(ids), dtype=np.int64), np.frombuffer(undo(ends), dtype=np.int64)
 
 
 def place(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which document a flat place is in, and where in it."""
     doc = np.searchsorted(ends, flat, side="right")
     return doc, flat - np.where(doc > 0, ends[doc - 1], 0)
 
 
+def hit_batch(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags), pa.array(pos.astype(np.int32))], schema=HITS)
+
+
 class Index:
     """Blocks of one part: for each mark the smallest document that has it, and where."""
 
@@ -156,10 +171,10 @@ class Index:
         self.found: list[tuple[np.ndarray, ...]] = []
         self.ready = False
 
-    def add(self, row) -> None:
-        marks, at, ids, ends = read_probes(row)
-        doc, pos = place(at, ends)
-        self.found.append((marks, ids[doc], np.frombuffer(row.tags, dtype=np.int64)[doc], pos))
+    def add(self, ids: bytes, tags: bytes, ends: bytes, at: bytes, marks: bytes) -> None:
+        mark, flat, doc_ids, stops = read_probes(ids, ends, at, marks)
+        doc, pos = place(flat, stops)
+        self.found.append((mark, doc_ids[doc], np.frombuffer(tags, dtype=np.int64)[doc], pos))
 
     def close(self) -> None:
         self.ready = True
@@ -175,40 +190,41 @@ class Index:
         self.owned = slot[mine], ids[mine], tags[mine], pos[mine]
         self.found = []
 
-    def hits(self, row) -> pd.DataFrame | None:
-        marks, at, ids, ends = read_probes(row)
-        slot = np.minimum(np.searchsorted(self.marks, marks), max(len(self.marks) - 1, 0))
-        same = np.flatnonzero(self.marks[slot] == marks) if len(self.marks) else np.empty(0, dtype=int)
-        doc, pos = place(at[same], ends)
-        above = ids[doc] > self.ids[slot[same]]
+    def hits(self, ids: bytes, tags: bytes, ends: bytes, at: bytes, marks: bytes) -> pa.RecordBatch | None:
+        if not len(self.marks):
+            return None
+        mark, flat, doc_ids, stops = read_probes(ids, ends, at, marks)
+        slot = np.minimum(np.searchsorted(self.marks, mark), len(self.marks) - 1)
+        same = np.flatnonzero(self.marks[slot] == mark)
+        doc, pos = place(flat[same], stops)
+        above = doc_ids[doc] > self.ids[slot[same]]
         if not above.any():
             return None
         self.touched[slot[same[above]]] = True
-        return pd.DataFrame({"doc_id": ids[doc[above]], "tag": np.frombuffer(row.tags, dtype=np.int64)[doc[above]], "pos": pos[above]})
+        return hit_batch(doc_ids[doc[above]], np.frombuffer(tags, dtype=np.int64)[doc[above]], pos[above])
 
-    def owners(self) -> pd.DataFrame:
+    def owners(self) -> pa.RecordBatch:
         slot, ids, tags, pos = self.owned
         hit = self.touched[slot]
-        return pd.DataFrame({"doc_id": ids[hit], "tag": tags[hit], "pos": pos[hit]})
+        return hit_batch(ids[hit], tags[hit], pos[hit])
 
 
-def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by part and kind to hits: doc_id, tag, pos of half-windows to extend."""
-    part, index = None, Index()
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            if row.part != part:
-                if index.ready:
-                    yield index.owners()
-                part, index = row.part, Index()
-            if row.kind == 0:
-                index.add(row)
-                continue
-            if not index.ready:
-                index.close()
-            found = index.hits(row)
-            if found is not None:
-                yield found
+    at_part, index = None, Index()
+    for part, kind, *packed_row in rows(batches, PROBES.names, 20):
+        if part != at_part:
+            if index.ready:
+                yield index.owners()
+            at_part, index = part, Index()
+        if kind == 0:
+            index.add(*packed_row)
+            continue
+        if not index.ready:
+            index.close()
+        found = index.hits(*packed_row)
+        if found is not None:
+            yield found
     if index.ready:
         yield index.owners()
 
@@ -217,10 +233,10 @@ def extend(parts: int, width: int):
     """Documents with hits to the hashes of all windows around them; what the batch itself decides is ``sure``."""
     half = width // 2
 
-    def widen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, undo = Memo(), zstandard.ZstdDecompressor().decompress
-        docs = ((int(i), int(t), p, undo(z).split()) for f in frames for i, t, p, z in zip(f["doc_id"], f["tag"], f["pos"], f["body"]))
-        for run in batches(docs):
+        docs = ((i, t, p, undo(z).split()) for i, t, p, z in rows(batches, ["doc_id", "tag", "pos", "body"]))
+        for run in runs(docs):
             key, starts, high, low = [], [], [], []
             for n, (_, _, hits, words) in enumerate(run):
                 hashes = memo.hashes(words)
@@ -248,7 +264,7 @@ def extend(parts: int, width: int):
                 at = starts[o].astype(np.uint32 if wide else np.uint16).tobytes()
                 settled = p[a] < 0
                 out.append((tag % parts if settled else p[a], doc_id, tag, wide, at, None if settled else high[o].tobytes(), None if settled else low[o].tobytes()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+            yield batch(WINDOWS, out)
 
     return widen
 
@@ -264,84 +280,83 @@ def smaller_exists(high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.nda
     return out
 
 
-def decide(rows: pd.DataFrame) -> pd.DataFrame:
+def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column one after the other, and where each begins and ends; nulls are empty."""
+    parts = [np.frombuffer(v.as_buffer(), dtype=kind) if v.is_valid else np.empty(0, dtype=kind) for chunk in column.chunks for v in chunk]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=kind), np.cumsum([0] + [len(x) for x in parts])
+
+
+def decide(table: pa.Table) -> pa.Table:
     """All windows of one part to the repeated ones: doc_id, tag, wide, starts. Hashes are compared a slice at a time."""
-    settled = rows["high"].isna()
-    known, open_ = rows[settled], rows[~settled]
-    kept = [known[["doc_id", "tag", "wide", "starts"]]]
-    if len(open_):
-        high = np.frombuffer(b"".join(open_["high"]), dtype=U64)
-        low = np.frombuffer(b"".join(open_["low"]), dtype=np.uint16)
-        sizes = open_["low"].str.len().to_numpy() // 2
-        ids = np.repeat(open_["doc_id"].to_numpy(), sizes)
-        repeated = np.zeros(len(high), dtype=bool)
-        for k in range(SLICES):
-            at = np.flatnonzero(high % U64(SLICES) == U64(k))
-            repeated[at] = smaller_exists(high[at], low[at], ids[at])
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        found = [(i, t, w, np.frombuffer(s, dtype=np.uint32 if w else np.uint16)[repeated[a:b]].tobytes()) for i, t, w, s, a, b in
-                 zip(open_["doc_id"], open_["tag"], open_["wide"], open_["starts"], bounds[:-1], bounds[1:]) if repeated[a:b].any()]
-        kept.append(pd.DataFrame(found, columns=["doc_id", "tag", "wide", "starts"]))
-    return pd.concat(kept)
-
-
-def body(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    high, bounds = joined(table["high"], U64)
+    low, _ = joined(table["low"], np.uint16)
+    ids = table["doc_id"].to_numpy()
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
+    repeated = np.zeros(len(high), dtype=bool)
+    for k in range(SLICES):
+        at = np.flatnonzero(high % U64(SLICES) == U64(k))
+        repeated[at] = smaller_exists(high[at], low[at], ids[owner[at]])
+    out, settled = [], table["high"].is_null().to_pylist()
+    for n, (doc_id, tag, wide, starts) in enumerate(zip(*(table[c].to_pylist() for c in FOUND.names))):
+        if settled[n]:
+            out.append((doc_id, tag, wide, starts))
+        elif (hit := repeated[bounds[n]:bounds[n + 1]]).any():
+            out.append((doc_id, tag, wide, np.frombuffer(starts, dtype=np.uint32 if wide else np.uint16)[hit].tobytes()))
+    return pa.Table.from_batches([batch(FOUND, out)])
+
+
+def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compress = zstandard.ZstdCompressor(level=3).compress
-    for f in frames:
-        texts = f["text"].tolist()
-        yield pd.DataFrame({"doc_id": f["doc_id"], "tag": [tag_of(t) for t in texts],
-                            "body": [compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]})
+    for b in batches:
+        for a in range(0, b.num_rows, 1_000):
+            found = rows([b.slice(a, 1_000)], ["doc_id", "text"])
+            yield batch(BODIES, [(i, tag_of(t), compress((t or "").encode("utf-8", "surrogatepass"))) for i, t in found])
 
 
 def cut_out(width: int):
-    """Documents and their repeated windows to doc_id, n_words, n_removed, kept text."""
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents and their repeated windows to doc_id, n_words, n_removed and the digest of the kept words."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         undo = zstandard.ZstdDecompressor().decompress
-        for f in frames:
-            n_words, n_removed, digests = [], [], []
-            for z, lists in zip(f["body"], f["starts"]):
+        for b in batches:
+            out = []
+            for doc_id, z, found in rows([b], ["doc_id", "body", "starts"]):
                 words = undo(z).split()
-                gone = np.zeros(len(words), dtype=bool)
-                if lists is not None:
+                kept, gone = words, 0
+                if found is not None:
                     change = np.zeros(len(words) + 1, dtype=np.int64)
-                    starts = np.frombuffer(b"".join(lists), dtype=np.uint32 if len(words) >= 65_536 else np.uint16).astype(np.int64)
+                    starts = np.frombuffer(b"".join(found), dtype=np.uint32 if len(words) >= 65_536 else np.uint16).astype(np.int64)
                     np.add.at(change, starts, 1)
                     np.add.at(change, starts + width, -1)
-                    gone = np.cumsum(change)[:-1] > 0
-                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    kept = words
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept_sha256": digests})
+                    stays = np.cumsum(change)[:-1] == 0
+                    kept = [w for w, s in zip(words, stays.tolist()) if s]
+                    gone = len(words) - len(kept)
+                out.append((doc_id, len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
+            yield batch(KEPT, out)
 
     return cut
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """bodies (doc_id, tag, body) and, for those with repeats, doc_id, tag, starts (packed starts of repeated windows)."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     parts, wide_parts = max(cores, ceil(chars / PART_CHARS)), max(cores, ceil(chars / PART_CHARS / 4))
-    probes = rows.mapInPandas(probe(parts, width), PROBES)
-    hits = probes.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInPandas(match, "doc_id long, tag long, pos int")
+    probes = texts.mapInArrow(probe(parts, width), ddl(PROBES))
+    hits = probes.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(match, ddl(HITS))
     around = hits.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos"))
     # the filter is what an inner join adds anyway: with it, both joins see the same plan and share one shuffle
-    bodies = rows.mapInPandas(body, "doc_id long, tag long, body binary").where(F.col("doc_id").isNotNull() & F.col("tag").isNotNull())
-    windows = bodies.join(around, ["doc_id", "tag"]).select("doc_id", "tag", "pos", "body").mapInPandas(extend(wide_parts, width), WINDOWS)
-    found = windows.groupBy("part").applyInPandas(decide, "doc_id long, tag long, wide boolean, starts binary")
+    bodies = texts.mapInArrow(body, ddl(BODIES)).where(F.col("doc_id").isNotNull() & F.col("tag").isNotNull())
+    windows = bodies.join(around, ["doc_id", "tag"]).select("doc_id", "tag", "pos", "body").mapInArrow(extend(wide_parts, width), ddl(WINDOWS))
+    found = windows.groupBy("part").applyInArrow(decide, ddl(FOUND))
     return bodies, found.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row a document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bodies, found = repeated_windows(rows, width)
-    result = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    judged = bodies.join(found, ["doc_id", "tag"], "left").select("doc_id", "body", "starts").mapInPandas(cut_out(width), result)
-    # rows without an id take no part; they pass Python with a stand-in, as a column of longs with nulls would become doubles
-    nameless = rows.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text").mapInPandas(body, "doc_id long, tag long, body binary") \
-        .select("doc_id", "body", F.lit(None).cast("array<binary>").alias("starts")).mapInPandas(cut_out(width), result)
-    return judged.union(nameless.withColumn("doc_id", F.lit(None).cast("long")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bodies, found = repeated_windows(texts, width)
+    judged = bodies.join(found, ["doc_id", "tag"], "left").select("doc_id", "body", "starts").mapInArrow(cut_out(width), ddl(KEPT))
+    nameless = texts.where(F.col("doc_id").isNull()).mapInArrow(body, ddl(BODIES)) \
+        .select("doc_id", "body", F.lit(None).cast("array<binary>").alias("starts")).mapInArrow(cut_out(width), ddl(KEPT))
+    return judged.union(nameless)
