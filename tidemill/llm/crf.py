@@ -21,9 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemill.llm.batches import lists
+
 KINDS = ("email", "ip", "card", "phone")  # fixed order of the base kinds
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
 ORDER = {k: n for n, k in enumerate((*KINDS, "secret"))}
@@ -355,20 +357,21 @@ def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
+TYPES = [*[pa.int64()] * 4, *[pa.string()] * 3]
 
 
 def finder(spark, field: Field | None = None, mask: bool = True):
-    """A function from a text column to a struct of counts, digest, spans and the masked text."""
+    """A function from a text column to a struct of counts, digest, spans and the masked text (null where nothing is masked)."""
     shared = spark.sparkContext.broadcast(field or train())
 
-    @F.pandas_udf(SCHEMA)
-    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            values = texts.tolist()
-            rows = []
-            for text, (own, spans) in zip(values, find(shared.value, values)):
+    @F.arrow_udf(SCHEMA)
+    def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in lists(batches):
+            found = []
+            for text, (own, spans) in zip(texts, find(shared.value, texts)):
                 counts = [sum(k == kind for k, _, _ in own) for kind in KINDS]
-                rows.append((*counts, hashlib.sha256(listed(own).encode()).hexdigest(), listed(spans), masked(text, spans) if mask else None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                digest = hashlib.sha256(listed(own).encode()).hexdigest()
+                found.append((*counts, digest, listed(spans), masked(text, spans) if mask and spans else None))
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), TYPES)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return detect.asNondeterministic()

@@ -25,10 +25,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.batches import lists
+
 ALPHABET = 64
 SIZE = ALPHABET ** 3 + ALPHABET ** 2 + ALPHABET
 UND = "und"
@@ -36,6 +38,7 @@ MAX_LANGS = 2_000
 PER_LANG = 300
 MAX_CHARS = 20_000
 LANDMARKS = 96
+BLOCK = 256
 
 
 @dataclass
@@ -138,8 +141,8 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = 0.1) -> La
 def kernel(model: LanguageModel, spectrum: Spectrum, texts: list[str]) -> np.ndarray:
     """Kernel values of texts with the landmarks, in blocks of bounded size."""
     out = np.empty((len(texts), len(model.norms)))
-    for start in range(0, len(texts), 256):
-        block = texts[start:start + 256]
+    for start in range(0, len(texts), BLOCK):
+        block = texts[start:start + BLOCK]
         rows = np.empty((len(block), len(model.grams)), dtype=np.float32)
         own = np.empty(len(block))
         for k, text in enumerate(block):
@@ -166,12 +169,12 @@ def classifier(spark, model: LanguageModel | None):
         return lambda text: F.struct(F.lit(UND).alias("lang"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spectrum = Spectrum(shared.value.letters)
-        for texts in batches:
-            langs, scores = predict(shared.value, spectrum, texts.tolist())
-            yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
+        for texts in lists(batches, BLOCK):
+            langs, scores = predict(shared.value, spectrum, texts)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return classify.asNondeterministic()
 

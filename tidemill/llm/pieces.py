@@ -21,7 +21,7 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
+from tidemill.llm.batches import lists
+
 MARK = "▁"
 MEMO_WORDS = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the file format
@@ -245,7 +247,7 @@ def encoder(spark, model_path: str, threads: int = 2, keep_text: bool = False):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(name, threads)
         for batch in batches:
-            for part in parts(batch.to_pylist()):
+            for part in parts(t for some in lists([batch]) for t in some):
                 ids, sizes, same = codec.encode(part)
                 decoded = codec.decode(ids, sizes)
                 bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
@@ -258,7 +260,7 @@ def encoder(spark, model_path: str, threads: int = 2, keep_text: bool = False):
     return encode.asNondeterministic()
 
 
-def parts(texts: list[str | None]) -> Iterator[list[str]]:
+def parts(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """Runs of texts with a bounded number of characters; one text is never cut."""
     run, size = [], 0
     for text in texts:

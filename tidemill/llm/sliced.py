@@ -24,10 +24,12 @@ from math import ceil, comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.batches import lists
 from tidemill.llm.components import components, forest
 from tidemill.llm.tiles import tiled
 from tidemill.session import settle
@@ -61,11 +63,10 @@ def text_fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprint(width: int = 4):
-    @F.pandas_udf("long")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found = np.array([text_fingerprint(t, width) for t in texts.tolist()], dtype=np.uint64)
-            yield pd.Series(found.view(np.int64))
+    @F.arrow_udf("long")
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in lists(batches):
+            yield pa.array(np.array([text_fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
 
     return sign
 
