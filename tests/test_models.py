@@ -82,7 +82,7 @@ def test_knn_against_brute_force(data, spark):
     train, ask = df.filter("t < 200"), df.filter("t >= 200")
     for weights, p in (("uniform", 2), ("distance", 4)):
         near = knn.fit_knn(train, FEATS, "y", "t", 7, weights, p)
-        found = near.neighbours(ask, "t", chunk_rows=9)
+        found = near.neighbours(ask, "t", block_rows=9)
         assert found.count() == 40 * 7
         got = {r.t: r.prediction for r in near.transform(ask, "t").collect()}
         for t in range(200, 240):
@@ -119,3 +119,26 @@ def test_out_of_fold_predictions_of_a_tree(data):
     out = search.cv_predict(df, FEATS, "y", "DecisionTreeRegressor", {"max_depth": 3})
     assert out.count() == 200
     assert search.cv_report(out, "y").count() == 5
+
+
+def test_knn_in_many_dimensions_with_equal_rows(spark):
+    """Blocks of few rows, a hundred features, and a row that stands in the train set many times."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 100))
+    x[40:90] = x[40]
+    names = [f"f.{i}" for i in range(100)]
+    df = spark.createDataFrame([(i, float(i), *map(float, row)) for i, row in enumerate(x)], ["id", "y", *names])
+    near = knn.fit_knn(df.filter("id % 4 <> 0"), names, "y", "id", 6).neighbours(df.filter("id % 4 = 0"), "id", block_rows=10)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["id"], []).append((r["distance"], r["train_key"]))
+    train = [i for i in range(120) if i % 4]
+    for q in range(0, 120, 4):
+        want = sorted((float(np.sqrt(((x[q] - x[t]) ** 2).sum())), t) for t in train)[:6]
+        assert [t for _, t in sorted(got[q])] == [t for _, t in want]
+
+
+def test_trees_deeper_than_the_library_are_refused():
+    assert models.tree_depth(None) == models.MAX_TREE_DEPTH and models.tree_depth(4) == 4
+    with pytest.raises(ValueError):
+        models.tree_depth(64)

@@ -1,25 +1,33 @@
-"""Exact nearest neighbours: query rows travel, train rows stay where they are.
-
-Each task walks its train batches and keeps the best k for every query row of the current chunk, so
-a task sends ``k`` rows a query and no pair of rows ever becomes a row of a DataFrame. A chunk's
-size is fixed; more query rows mean more chunks, not larger ones.
+"""Exact nearest neighbours between two distributed frames.
+
+Train rows are cut into blocks by their distance from one pivot (the train means). A query first meets
+the block its own pivot distance falls into; its k-th distance there is an upper bound, and by the
+triangle inequality only blocks whose pivot distances lie within that bound of the query's can hold a
+nearer row. It then visits those. Queries and train rows meet in cogroups of bounded size: where a block
+or its queries hold more than ``BLOCK_ROWS`` rows they are dealt into pieces, and every pair of pieces is
+a task. A task hands on at most k rows a query, so no pair of rows becomes a row of a DataFrame. The
+driver sees cut points and counts of blocks only, ``MAX_BLOCKS`` at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.layout import complete_rows
-from tidemill.operators.reshape import set_union_results
 from tidemill.session import settle
 
-CHUNK_ROWS = 4096
+BLOCK_ROWS = 4096
+MAX_BLOCKS = 10_000
+STRIP = 256
+SLACK = 1e-9
 
 
 @dataclass
@@ -32,20 +40,23 @@ class NearestNeighbours:
     weights: str
     p: int
 
-    def neighbours(self, queries: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    def neighbours(self, queries: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
         """Rows ``(key, distance, train_key, y)``: the k nearest of each query row."""
-        feats = [F.col(f"`{f}`").cast("double") for f in self.features]
-        asked = settle(queries.select(F.col(key).alias("_key"), F.array(*feats).alias("_x")))
-        n = asked.count()
-        chunks = max(1, -(-n // chunk_rows))
-        placed = asked.withColumn("_chunk", F.pmod(F.xxhash64("_key"), F.lit(chunks)))
-        rows = complete_rows(self.train.select(F.col(self.key).alias("_tk"), F.col(f"`{self.y}`").cast("double").alias("_y"),
-                                 *[f.alias(f"x{i}") for i, f in enumerate(feats)]))
-        found = [_nearest(rows, placed.filter(F.col("_chunk") == c), self.k, self.p) for c in range(chunks)]
-        best = F.slice(F.sort_array(F.collect_list(F.struct("_d", "_tk", "_y"))), 1, self.k)
-        # At most k candidates a query and task reach this group.
-        merged = set_union_results(found).groupBy("_key").agg(best.alias("_b"))
-        return merged.select(F.col("_key").alias(key), F.inline("_b")).toDF(key, "distance", "train_key", "y")
+        rows = complete_rows(self.train.select(F.col(f"`{self.key}`").alias("_tk"), F.col(f"`{self.y}`").cast("double").alias("_y"), *self._cast()))
+        asked = complete_rows(queries.select(F.col(f"`{key}`").alias("_key"), *self._cast()), [f"x{i}" for i in range(len(self.features))])
+        means = rows.agg(F.count(F.lit(1)), *[F.avg(f"x{i}") for i in range(len(self.features))]).first()
+        pivot = [float(v or 0.0) for v in means[1:]]
+        train, cuts = self._blocks(rows, pivot, max(1, ceil(means[0] / block_rows)))
+        home = settle(_bucketed(self._placed(asked, pivot, "_q"), "_q", cuts, "_b"))
+        first = settle(_best(self._meet(home, train, block_rows), self.k))
+        reach = home.join(first.select(F.col("_key"), F.size("_best").alias("_n"), F.element_at("_best", -1)["_d"].alias("_far")), "_key", "left")
+        bound = F.when(F.col("_n") >= self.k, F.col("_far") * (1 + SLACK) + SLACK).otherwise(F.lit(float("inf")))
+        ranged = reach.withColumn("_lo", F.col("_q") - bound).withColumn("_hi", F.col("_q") + bound)
+        ends = _bucketed(_bucketed(ranged, "_lo", cuts, "_from"), "_hi", cuts, "_to")
+        others = ends.withColumn("_home", F.col("_b")).withColumn("_b", F.explode(F.sequence("_from", "_to"))).where("_b <> _home")
+        second = self._meet(settle(others.select(*home.columns)), train, block_rows)
+        found = first.select("_key", F.inline("_best")).union(second.select("_key", "_d", "_tk", "_y"))
+        return _best(found, self.k).select(F.col("_key").alias(key), F.inline("_best")).toDF(key, "distance", "train_key", "y")
 
     def transform(self, queries: DataFrame, key: str, out: str = "prediction") -> DataFrame:
         near = self.neighbours(queries, key)
@@ -59,49 +70,84 @@ class NearestNeighbours:
             value = F.when(F.max(hit), F.avg(F.when(hit, F.col("y")))).otherwise(weighted)
         return queries.join(near.groupBy(key).agg(value.alias(out)), key, "left")
 
-
-def _nearest(rows: DataFrame, queries: DataFrame, k: int, p: int) -> DataFrame:
-    # Bounded by the chunk size.
-    got = queries.collect()
-    key_type = queries.schema["_key"].dataType.simpleString()
-    tk_type = rows.schema["_tk"].dataType.simpleString()
-    qk = [r["_key"] for r in got]
-    qx = np.array([r["_x"] for r in got], dtype=float).reshape(len(got), -1)
-    shared = rows.sparkSession.sparkContext.broadcast((qk, qx))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, q = shared.value
-        if not keys:
-            return
-        d = np.full((len(keys), k), np.inf)
-        ids = np.empty((len(keys), k), dtype=object)
-        ys = np.full((len(keys), k), np.nan)
-        for pdf in batches:
-            tk = pdf["_tk"].to_numpy(dtype=object)
-            ty = pdf["_y"].to_numpy(dtype=float)
-            x = pdf.iloc[:, 2:].to_numpy(dtype=float)
-            for start in range(0, len(x), 512):
-                part = slice(start, start + 512)
-                near = (np.abs(q[:, None, :] - x[None, part, :]) ** p).sum(axis=2) ** (1.0 / p)
-                width = near.shape[1]
-                all_d = np.hstack([d, near])
-                all_id = np.hstack([ids, np.broadcast_to(tk[part], (len(keys), width))])
-                all_y = np.hstack([ys, np.broadcast_to(ty[part], (len(keys), width))])
-                for i in range(len(keys)):
-                    # Equal distances go to the smaller train key, so the choice does not depend on order.
-                    cut = np.partition(all_d[i], k - 1)[k - 1]
-                    cand = np.flatnonzero((all_d[i] <= cut) & np.isfinite(all_d[i]))
-                    pick = sorted(cand, key=lambda j: (all_d[i, j], all_id[i, j]))[:k]
-                    d[i, :], ids[i, :], ys[i, :] = np.inf, None, np.nan
-                    d[i, :len(pick)], ids[i, :len(pick)], ys[i, :len(pick)] = all_d[i, pick], all_id[i, pick], all_y[i, pick]
-        at = np.argwhere(np.isfinite(d))
-        yield pd.DataFrame({"_key": [keys[i] for i, _ in at], "_d": d[at[:, 0], at[:, 1]],
-                            "_tk": ids[at[:, 0], at[:, 1]], "_y": ys[at[:, 0], at[:, 1]]})
-
-    return rows.mapInPandas(walk, f"_key {key_type}, _d double, _tk {tk_type}, _y double")
+    def _cast(self) -> list[Column]:
+        return [F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(self.features)]
+
+    def _placed(self, df: DataFrame, pivot: Sequence[float], out: str) -> DataFrame:
+        """Features as one array and the distance from the pivot."""
+        xs = [F.col(f"x{i}") for i in range(len(pivot))]
+        total = F.lit(0.0)
+        for x, m in zip(xs, pivot):
+            total = total + F.pow(F.abs(x - m), F.lit(float(self.p)))
+        kept = [c for c in df.columns if c not in {f"x{i}" for i in range(len(pivot))}]
+        return df.select(*kept, F.array(*xs).alias("_x"), F.pow(total, F.lit(1.0 / self.p)).alias(out))
+
+    def _blocks(self, rows: DataFrame, pivot: Sequence[float], wanted: int) -> tuple[DataFrame, list[float]]:
+        placed = self._placed(rows, pivot, "_t")
+        n = min(wanted, MAX_BLOCKS)
+        cuts = sorted(set(placed.approxQuantile("_t", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+        return settle(_bucketed(placed, "_t", cuts, "_b").drop("_t")), cuts
+
+    def _meet(self, queries: DataFrame, train: DataFrame, block_rows: int) -> DataFrame:
+        """Candidates ``(_key, _d, _tk, _y)`` of every query in its block: k at most for each pair of pieces."""
+        counts = {side: {r["_b"]: ceil(r["count"] / block_rows) for r in df.groupBy("_b").count().collect()} for side, df in (("q", queries), ("t", train))}
+        many = {b for side in counts.values() for b, n in side.items() if n > 1}
+
+        def pieces(side: str) -> Column:
+            own = [x for b in sorted(many) for x in (F.lit(b), F.lit(counts[side].get(b, 1)))]
+            return F.coalesce(F.element_at(F.create_map(*own), F.col("_b")), F.lit(1)) if own else F.lit(1)
+
+        def dealt(df: DataFrame, side: str, salt: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64(F.col(salt), F.lit("piece")), pieces(side)).cast("int")
+            other = F.explode(F.sequence(F.lit(0), pieces("t" if side == "q" else "q") - 1))
+            return df.withColumn("_mine", mine).withColumn("_other", other).withColumns(
+                {"_qp": F.col("_mine") if side == "q" else F.col("_other"), "_tp": F.col("_other") if side == "q" else F.col("_mine")}).drop("_mine", "_other")
+
+        left = dealt(queries.select("_key", "_x", "_b"), "q", "_key").groupBy("_b", "_qp", "_tp")
+        right = dealt(train, "t", "_tk").groupBy("_b", "_qp", "_tp")
+        kinds = dict([*queries.dtypes, *train.dtypes])
+        return left.cogroup(right).applyInPandas(nearest(self.k, self.p), f"_key {kinds['_key']}, _d double, _tk {kinds['_tk']}, _y double")
+
+
+def _bucketed(df: DataFrame, col: str, cuts: list[float], out: str) -> DataFrame:
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    cutter = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=col, outputCol="_cut")
+    return cutter.transform(df).withColumn(out, F.col("_cut").cast("int")).drop("_cut")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """``_key`` and its k nearest in order. A group holds k rows for each task that saw the query."""
+    return found.groupBy("_key").agg(F.slice(F.sort_array(F.collect_list(F.struct("_d", "_tk", "_y"))), 1, k).alias("_best"))
+
+
+def nearest(k: int, p: int):
+    def walk(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or train.empty:
+            return pd.DataFrame()
+        # Equal distances go to the smaller train key: rows stand in key order and the sort is stable.
+        train = train.sort_values("_tk", kind="stable")
+        x, keys, ids, ys = (np.stack(train["_x"].to_list()), queries["_key"].to_numpy(dtype=object),
+                            train["_tk"].to_numpy(dtype=object), train["_y"].to_numpy())
+        q, take, out = np.stack(queries["_x"].to_list()), min(k, len(train)), []
+        for a in range(0, len(q), STRIP):
+            total = np.zeros((len(q[a:a + STRIP]), len(x)))
+            for i in range(x.shape[1]):
+                total += np.abs(q[a:a + STRIP, i, None] - x[None, :, i]) ** p
+            distance = total ** (1.0 / p)
+            pick = np.argsort(distance, axis=1, kind="stable")[:, :take]
+            # object columns: text inferred from values would come back in chunks
+            out.append(pd.DataFrame({"_key": pd.Series(np.repeat(keys[a:a + STRIP], take), dtype=object),
+                                     "_d": np.take_along_axis(distance, pick, axis=1).ravel(),
+                                     "_tk": pd.Series(ids[pick.ravel()], dtype=object), "_y": ys[pick.ravel()]}))
+        return pd.concat(out)
+
+    return walk
 
 
 def fit_knn(train: DataFrame, features: Sequence[str], y: str, key: str, n_neighbors: int = 5,
             weights: str = "uniform", p: int = 2) -> NearestNeighbours:
-    """``key`` names the train rows; it settles ties between equal distances."""
+    """``key`` names the train rows; it settles ties between equal distances. ``p`` is the norm, 1 at least."""
+    if p < 1:
+        raise ValueError("below 1 the distance has no triangle inequality")
     return NearestNeighbours(train, tuple(features), y, key, n_neighbors, weights, p)

@@ -16,9 +16,16 @@ from pyspark.sql import functions as F
 from tidemill.ml.gram import LinearFit, fit_from_gram, gram_blocks
 from tidemill.operators.layout import LEN, POS, complete_rows, number_rows
 
+# The library's limit, and the depth that stands for "no limit" (None).
 MAX_TREE_DEPTH = 30
 
 
+def tree_depth(depth: int | None) -> int:
+    if depth is not None and not 0 <= depth <= MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {depth}: trees here are at most {MAX_TREE_DEPTH} deep")
+    return MAX_TREE_DEPTH if depth is None else depth
+
+
 @dataclass
 class Fitted:
     """A fitted pipeline with the plain names of its inputs."""
@@ -94,7 +101,7 @@ def fit_bayesridge(train: DataFrame, features: Sequence[str], y: str, **params)
 def fit_tree(train: DataFrame, features: Sequence[str], y: str, max_depth: int | None = 10,
              min_instances: int = 1, seed: int = 42) -> Fitted:
     return _fit(train, features, y, DecisionTreeRegressor(
-        maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH), minInstancesPerNode=min_instances, seed=seed))
+        maxDepth=tree_depth(max_depth), minInstancesPerNode=min_instances, seed=seed))
 
 
 def fit_extratree(train: DataFrame, features: Sequence[str], y: str, max_depth: int | None = 10,
@@ -102,19 +109,19 @@ def fit_extratree(train: DataFrame, features: Sequence[str], y: str, max_depth:
     """One tree that looks at a random part of the features at each split."""
     return _fit(train, features, y, RandomForestRegressor(
         numTrees=1, bootstrap=False, featureSubsetStrategy=subset,
-        maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH), seed=seed))
+        maxDepth=tree_depth(max_depth), seed=seed))
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], y: str, num_trees: int = 100, max_depth: int | None = 10,
                min_instances: int = 1, subset: str = "all", seed: int = 42) -> Fitted:
     return _fit(train, features, y, RandomForestRegressor(
         numTrees=num_trees, featureSubsetStrategy=subset, minInstancesPerNode=min_instances,
-        maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH), seed=seed))
+        maxDepth=tree_depth(max_depth), seed=seed))
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], y: str, max_iter: int = 50, max_depth: int = 5,
                 step_size: float = 0.1, seed: int = 42) -> Fitted:
-    return _fit(train, features, y, GBTRegressor(maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed))
+    return _fit(train, features, y, GBTRegressor(maxIter=max_iter, maxDepth=tree_depth(max_depth), stepSize=step_size, seed=seed))
 
 
 @dataclass
