@@ -150,3 +150,16 @@ def test_asfreq_takes_the_last_row(spark):
     df = spark.createDataFrame([("a", d, v) for d, v in days], "s string, t date, x double")
     got = {r.t.day: r.x for r in reshape_asfreq(df, S, O).collect()}
     assert got == {7: 6.0, 14: 9.0, 21: 9.0}
+
+
+@pytest.mark.parametrize("span", [1, 2, 5, 400])
+def test_ewm_holds_over_null_runs_of_any_length(spark, span):
+    rng = np.random.default_rng(span)
+    x = [float(v) if rng.random() < 0.5 else None for v in rng.normal(size=5000)]
+    x[:3] = [None, None, 1.5]
+    x[100:700], x[900:4900] = [None] * 600, [None] * 4000
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(x)], "s string, t long, x double")
+    want = pd.Series(x, dtype=float).ewm(span=span).mean()
+    for m in (None, 300):
+        got = ts.win_ewm(df, S, O, ["x"], span, max_rows=m).toPandas().sort_values("t")["x_EW"].to_numpy()
+        np.testing.assert_allclose(got, want.to_numpy(), rtol=1e-9)

@@ -33,8 +33,8 @@ def sentinel_null(col: Column | str, sentinel: str = "c") -> Column:
 
 
 def number_or_null(col: Column | str, sentinel: str = "c") -> Column:
-    """Text cell to double: the missing mark and unreadable text give null."""
-    return sentinel_null(col, sentinel).try_cast("double")
+    """Text cell to double: the missing mark, unreadable text and NaN give null."""
+    return nan_to_null(sentinel_null(col, sentinel).try_cast("double"))
 
 
 def coalesce_zero(col: Column | str) -> Column:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import pct_change
 from tidemill.operators.layout import (
+    BLOCK,
     LEN,
     POS,
     CutPoints,
+    _add,
     complete_rows,
     fill,
     fill_backward,
@@ -92,32 +94,63 @@ def win_wma(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], w: int
     return complete_rows(out, [f"{c}{suffix}" for c in cols]) if dropna else out
 
 
-def ewm_reach(span: int) -> int:
-    """Rows back beyond which the weight is below double precision."""
-    return math.ceil(math.log(1e-17) / math.log(1 - 2 / (span + 1)))
+def ewm_block(keep: float) -> int:
+    """Rows a block may hold so that a weight can be divided out again within it."""
+    return max(1, int(-100 / math.log10(keep)))
 
 
 def win_ewm(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], span: int, suffix: str = "_EW",
             max_rows: int | CutPoints | None = None) -> DataFrame:
-    """Exponentially weighted mean with bias-corrected weights; nulls keep their place in time."""
-    keep, reach = 1 - 2 / (span + 1), ewm_reach(span)
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
+    """Exponentially weighted mean with bias-corrected weights; nulls keep their place in time.
 
-    def step(acc: Column, cell: Column) -> Column:
-        x = cell["x"]
-        return F.struct(
-            (acc["num"] * keep + F.coalesce(x, F.lit(0.0))).alias("num"),
-            (acc["den"] * keep + F.when(x.isNull(), 0.0).otherwise(1.0)).alias("den"))
-
-    def build(near):
-        frame = near.window.rowsBetween(-reach, 0)
-        return {f"{c}{suffix}": F.collect_list(F.struct(F.col(c).cast("double").alias("x"))).over(frame)
-                for c in names(cols)}
-
-    seen = with_neighbours(df, s, o, reach, 0, build, max_rows)
-    return seen.withColumns({
-        f"{c}{suffix}": F.aggregate(f"{c}{suffix}", start, step, lambda acc: F.try_divide(acc["num"], acc["den"]))
-        for c in names(cols)})
+    A null row holds the mean of the rows before it, however long ago they are. Within a block the weighted
+    sums are running sums with the weights divided out; from earlier blocks come the weighted sum and
+    weight of the last two with known values. Anything older weighs less than 1e-99 of these.
+    """
+    if span < 1:
+        raise ValueError("span must be at least 1")
+    cols, keep = names(cols), 1 - 2 / (span + 1)
+    if keep == 0:
+        return fill_forward(df, s, o, {f"{c}{suffix}": F.col(f"`{c}`").cast("double") for c in cols}, max_rows)
+    rows = ewm_block(keep)
+    place = F.col(POS) - F.col(BLOCK) * rows
+    numbered = number_rows(df, s, o, max_rows).withColumn(BLOCK, F.floor(F.col(POS) / rows))
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    one = {c: F.when(x[c].isNotNull(), F.lit(1.0)) for c in cols}
+
+    def power(n: Column) -> Column:
+        return F.pow(F.lit(keep), n)
+
+    def before(c: str) -> Column:
+        return F.last(f"_e{c}", ignorenulls=True).over(Window.partitionBy(*s).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+
+    to_end = power(F.lit(rows - 1) - place)
+    sums = numbered.groupBy(*s, BLOCK).agg(*[
+        F.when(F.count(x[c]) > 0, F.struct(F.lit(0).alias("x"), F.sum(x[c] * to_end).alias("num"), F.sum(one[c] * to_end).alias("den"))).alias(f"_e{k}")
+        for k, c in enumerate(cols)])
+    ends = sums.withColumns({f"_e{k}": F.when(F.col(f"_e{k}").isNotNull(), F.struct(
+        F.col(BLOCK).alias("at"), F.col(f"_e{k}.num").alias("num"), F.col(f"_e{k}.den").alias("den"))) for k in range(len(cols))})
+
+    def with_previous(k: int) -> Column:
+        own, prev = F.col(f"_e{k}"), before(str(k))
+        decay = power((own["at"] - prev["at"]) * rows)
+        return F.when(own.isNotNull(), F.struct(own["at"].alias("at"), (own["num"] + F.coalesce(decay * prev["num"], F.lit(0.0))).alias("num"),
+                                                (own["den"] + F.coalesce(decay * prev["den"], F.lit(0.0))).alias("den")))
+
+    paired = ends.withColumns({f"_e{k}": with_previous(k) for k in range(len(cols))})
+    carried = paired.select(*s, BLOCK, *[before(str(k)).alias(f"_c{k}") for k in range(len(cols))])
+    w = Window.partitionBy(*s, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def value(k: int, c: str) -> Column:
+        num, den = F.sum(x[c] * power(-place)).over(w), F.sum(one[c] * power(-place)).over(w)
+        carry = F.col(f"_c{k}")
+        # the carried sums end with the last row of their block; both sides leave out this row's own power
+        far = power((F.col(BLOCK) - carry["at"] - 1) * rows + 1)
+        old_num, old_den = F.coalesce(carry["num"] * far, F.lit(0.0)), F.coalesce(carry["den"] * far, F.lit(0.0))
+        return F.when(den.isNull(), carry["num"] / carry["den"]).otherwise((num + old_num) / (den + old_den))
+
+    return _add(join_null_safe(numbered, carried, [*s, BLOCK], "left"), {f"{c}{suffix}": value(k, c) for k, c in enumerate(cols)}) \
+        .drop(POS, LEN, BLOCK, *[f"_c{k}" for k in range(len(cols))])
 
 
 def savgol_rows(window: int, order: int) -> np.ndarray:

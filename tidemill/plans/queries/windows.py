@@ -112,22 +112,33 @@ def win_wma(spark, d):
     return rounded(out, 3, "litres_WMA").drop("litres")
 
 
-def ewm_sql(source: str, span: int, reach: int) -> str:
-    """Weights by place, over the rows a self-join finds."""
+def ewm_sql(source: str, span: int) -> str:
+    """Weights by place, over all earlier rows of the series."""
     keep = 1 - 2 / (span + 1)
     return f"""placed AS (SELECT series, ts, litres, ROW_NUMBER() OVER (PARTITION BY series ORDER BY ts) AS pos FROM {source}),
 ewm AS (SELECT a.series, a.ts, a.pos, SUM(b.litres * power({keep!r}, a.pos - b.pos))
           / SUM(CASE WHEN b.litres IS NOT NULL THEN power({keep!r}, a.pos - b.pos) END) AS v
-        FROM placed a JOIN placed b ON a.series = b.series AND b.pos BETWEEN a.pos - {reach} AND a.pos
+        FROM placed a JOIN placed b ON a.series = b.series AND b.pos <= a.pos
         GROUP BY a.series, a.ts, a.pos)"""
 
 
-@query("win_ewm", f"""WITH {GAPS}, {ewm_sql("gaps", 5, 97)} SELECT series, ts, CAST(ROUND(CAST(v AS DECIMAL(38,7)), 3) AS DOUBLE) AS "litres_EW" FROM ewm""")
+@query("win_ewm", f"""WITH {GAPS}, {ewm_sql("gaps", 5)} SELECT series, ts, CAST(ROUND(CAST(v AS DECIMAL(38,7)), 3) AS DOUBLE) AS "litres_EW" FROM ewm""")
 def win_ewm(spark, d):
     out = ts.win_ewm(gap_panel(spark, d).select("series", "ts", "litres"), S, O, ["litres"], 5)
     return rounded(out, 3, "litres_EW").drop("litres")
 
 
+# Three years without a value: longer than any row's weight lasts in a frame of fixed reach.
+LONG_GAP = "ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1997-01-01'"
+
+
+@query("win_ewm_gaps", f"""WITH {PANEL}, holes AS (SELECT series, ts, CASE WHEN {LONG_GAP} THEN NULL ELSE litres END AS litres FROM panel),
+{ewm_sql("holes", 5)} SELECT series, ts, CAST(ROUND(CAST(v AS DECIMAL(38,7)), 3) AS DOUBLE) AS "litres_EW" FROM ewm""")
+def win_ewm_gaps(spark, d):
+    panel = weekly_panel(spark, d).select("series", "ts", F.when(~F.expr(LONG_GAP), F.col("litres")).alias("litres"))
+    return rounded(ts.win_ewm(panel, S, O, ["litres"], 5), 3, "litres_EW").drop("litres")
+
+
 # Weights of the five-point quadratic fit, as 35ths, for the window's places one by one.
 SG_ROWS = {"first": (31, 9, -3, -5, 3), "second": (9, 13, 12, 6, -5), "middle": (-3, 12, 17, 12, -3),
            "fourth": (-5, 6, 12, 13, 9), "fifth": (3, -5, -3, 9, 31)}
@@ -156,7 +167,7 @@ def win_savgol(spark, d):
     return rounded(ts.win_savgol(gap_panel(spark, d).select("series", "ts", "litres"), S, O, ["litres"]), 3, "litres")
 
 
-@query("win_smooth_compare", f"""WITH {PANEL}, {NUMBERED.format(source="panel")}, {SAVGOL}, {ewm_sql("panel", 5, 97)},
+@query("win_smooth_compare", f"""WITH {PANEL}, {NUMBERED.format(source="panel")}, {SAVGOL}, {ewm_sql("panel", 5)},
 others AS (SELECT series, ts, AVG(litres) OVER (w ROWS 4 PRECEDING) AS ma, ({WMA_SUM}) / 210.0 AS wma FROM panel {W})
 SELECT sg.series, sg.ts, sg.litres, CAST(ROUND(CAST(ma AS DECIMAL(38,7)), 3) AS DOUBLE) AS "litres_MA", CAST(ROUND(CAST(wma AS DECIMAL(38,7)), 3) AS DOUBLE) AS "litres_WMA", CAST(ROUND(CAST(ewm.v AS DECIMAL(38,7)), 3) AS DOUBLE) AS "litres_EW",
   CAST(ROUND(CAST(sg.v AS DECIMAL(38,7)), 3) AS DOUBLE) AS "litres_SG"

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.calendar import from_epoch_ms
+from tidemill.functions.scalars import nan_to_null
 
 READING = T.StructType([T.StructField("ts", T.LongType()), T.StructField("value", T.DoubleType())])
 
 
 def src_csv(spark: SparkSession, path: str, schema: T.StructType | str, first: str = "Date", **options) -> DataFrame:
-    """Delimited file with a declared schema (no inference pass); the first column is renamed."""
+    """Delimited file with a declared schema (no inference pass); the first column is renamed.
+
+    A NaN cell is a missing one, so it becomes null here and no average meets it."""
     df = spark.read.schema(schema).csv(path, header=True, **options)
-    return df.withColumnRenamed(df.columns[0], first)
+    clean = {c: nan_to_null(f"`{c}`").cast(kind).alias(c) for c, kind in df.dtypes if kind in ("double", "float")}
+    return df.select(*[clean.get(c, F.col(f"`{c}`")) for c in df.columns]).withColumnRenamed(df.columns[0], first)
 
 
 def src_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
