@@ -142,3 +142,23 @@ def test_trees_deeper_than_the_library_are_refused():
     assert models.tree_depth(None) == models.MAX_TREE_DEPTH and models.tree_depth(4) == 4
     with pytest.raises(ValueError):
         models.tree_depth(64)
+
+
+def test_gaps_are_filled_with_the_train_means_of_the_fold(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(3.0, 2.0, (200, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=200)
+    gaps = rng.random((200, 3)) < 0.4
+    block = np.arange(200) // 100
+    rows = [(int(b), *(None if g else float(v) for v, g in zip(row, gap)), float(t)) for b, row, gap, t in zip(block, x, gaps, y)]
+    grams = gram_blocks(spark.createDataFrame(rows, "block int, a double, b double, `c-1` double, y double"), FEATS, "y")
+    known = np.where(gaps, np.nan, x)
+    means = np.nanmean(known[block == 0], axis=0)
+    train, test = (np.where(np.isnan(known[block == k]), means, known[block == k]) for k in (0, 1))
+    yt, yv = y[block == 0], y[block == 1]
+    fit = fit_from_gram(grams[0], FEATS, "linear", {})
+    beta = np.linalg.lstsq(np.column_stack([np.ones(100), train]), yt, rcond=None)[0]
+    assert grams[0].n == 100 and fit.coef == pytest.approx(beta[1:]) and fit.intercept == pytest.approx(beta[0])
+    mse, r2 = errors(grams[1], fit, FEATS)
+    left = yv - beta[0] - test @ beta[1:]
+    assert mse == pytest.approx((left**2).mean()) and r2 == pytest.approx(1 - (left**2).sum() / ((yv - yv.mean()) ** 2).sum())

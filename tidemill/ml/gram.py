@@ -20,91 +20,116 @@ from tidemill.operators.layout import complete_rows
 
 @dataclass(frozen=True)
 class Gram:
-    """Sums over one set of rows of ``x - origin``; index 0 is the constant, the last one the target.
+    """Sums over one set of rows of ``v = (1, x - origin, y - origin)``, where an unknown ``x`` counts 0.
 
-    Centred sums are free of the origin; means and edges add it back.
+    ``m`` are the products ``v v'``, ``a`` those of ``v`` with the marks of known features, ``r`` those of
+    the marks. With them the sums can be had for unknown values replaced by any means, so every fold
+    fills gaps with the means of its own train part.
     """
 
     m: np.ndarray
+    a: np.ndarray
+    r: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     origin: np.ndarray
 
     def __add__(self, other: Gram) -> Gram:
-        return Gram(self.m + other.m, np.minimum(self.lo, other.lo), np.maximum(self.hi, other.hi), self.origin)
+        return Gram(self.m + other.m, self.a + other.a, self.r + other.r, np.minimum(self.lo, other.lo), np.maximum(self.hi, other.hi), self.origin)
 
     @property
     def n(self) -> float:
         return float(self.m[0, 0])
 
+    @property
+    def _shift(self) -> np.ndarray:
+        """Means of the known values, from the origin; 0 where none is known."""
+        return np.divide(self.m[0, 1:-1], self.a[0], out=np.zeros(len(self.a[0])), where=self.a[0] > 0)
+
     @property
     def mean(self) -> np.ndarray:
-        return self.m[0, 1:-1] / self.n + self.origin[:-1]
+        return self._shift + self.origin[:-1]
 
     @property
     def y_mean(self) -> float:
         return float(self.m[0, -1] / self.n + self.origin[-1])
 
     def low(self) -> np.ndarray:
-        return self.lo[:-1] + self.origin[:-1]
+        return np.where(self.a[0] > 0, self.lo[:-1] + self.origin[:-1], self.mean)
 
     def high(self) -> np.ndarray:
-        return self.hi[:-1] + self.origin[:-1]
+        return np.where(self.a[0] > 0, self.hi[:-1] + self.origin[:-1], self.mean)
+
+    def around(self, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``Z'Z``, ``Z'(y - its mean)`` and ``Z'1`` for ``Z = x - mean``, 0 where x is unknown."""
+        t = mean - self.origin[:-1]
+        a = self.a[1:-1]
+        zz = self.m[1:-1, 1:-1] - a * t[None, :] - a.T * t[:, None] + np.outer(t, t) * self.r
+        z1 = self.m[0, 1:-1] - t * self.a[0]
+        zy = self.m[-1, 1:-1] - t * self.a[-1] - z1 * self.m[0, -1] / self.n
+        return zz, zy, z1
 
     def centred(self) -> tuple[np.ndarray, np.ndarray, float]:
-        """``Xc'Xc``, ``Xc'yc``, ``yc'yc``."""
-        full = self.m[1:, 1:] - np.outer(self.m[0, 1:], self.m[0, 1:]) / self.n
-        return full[:-1, :-1], full[:-1, -1], float(full[-1, -1])
+        """``Xc'Xc``, ``Xc'yc``, ``yc'yc`` with gaps filled by the means."""
+        zz, zy, _ = self.around(self.mean)
+        return zz, zy, float(self.m[-1, -1] - self.m[0, -1] ** 2 / self.n)
 
     def take(self, places: Sequence[int]) -> Gram:
-        """The same sums for some of the columns; the last one taken is the target."""
+        """The same sums for some of the columns; the last one taken is the target, which must be known in every row."""
         cols = np.asarray(places, dtype=int)
         full = np.concatenate([[0], cols + 1])
-        return Gram(self.m[np.ix_(full, full)], self.lo[cols], self.hi[cols], self.origin[cols])
+        return Gram(self.m[np.ix_(full, full)], self.a[np.ix_(full, cols[:-1])], self.r[np.ix_(cols[:-1], cols[:-1])],
+                    self.lo[cols], self.hi[cols], self.origin[cols])
+
+
+ORIGIN_ROWS = 1_000
 
 
-def gram_blocks(df: DataFrame, features: Sequence[str], y: str, block_col: str = "block") -> dict[int, Gram]:
-    """Gram sums per block. Values are shifted by their overall means first, for accuracy."""
+def gram_blocks(df: DataFrame, features: Sequence[str], y: str, block_col: str = "block", required: Sequence[str] = ()) -> dict[int, Gram]:
+    """Gram sums per block, of the rows with a target (and the ``required`` columns); features may be null or NaN.
+
+    Values are shifted by the means of a few rows first: any origin near the data keeps the accuracy, and
+    the frame itself is read once.
+    """
     cols = [*features, y]
-    d = len(cols)
-    cast = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
-    rows = complete_rows(df.select(F.col(block_col).cast("int").alias("block"), *cast))
-    origin_row = rows.agg(*[F.avg(f"x{i}") for i in range(d)]).first()
+    d = len(features)
+    cast = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)]
+    must = [f"x{i}" for i, c in enumerate(cols) if i == d or c in required]
+    rows = complete_rows(df.select(F.col(block_col).cast("int").alias("block"), *cast), must)
+    origin_row = rows.limit(ORIGIN_ROWS).agg(*[F.avg(f"x{i}") for i in range(d + 1)]).first()
     origin = np.array([v or 0.0 for v in origin_row], dtype=float)
-    size = d + 1
+    shapes = ((d + 2, d + 2), (d + 2, d), (d, d))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        lows: dict[int, np.ndarray] = {}
-        highs: dict[int, np.ndarray] = {}
+        sums: dict[int, list[np.ndarray]] = {}
         for pdf in batches:
             blocks = pdf["block"].to_numpy()
-            x = pdf.iloc[:, 1:].to_numpy(dtype=float) - origin
+            values = pdf.iloc[:, 1:].to_numpy(dtype=float)
             for b in np.unique(blocks):
-                part = x[blocks == b]
-                full = np.hstack([np.ones((len(part), 1)), part])
-                g = full.T @ full
-                sums[b] = sums[b] + g if b in sums else g
-                lo, hi = part.min(axis=0), part.max(axis=0)
-                lows[b] = np.minimum(lows[b], lo) if b in lows else lo
-                highs[b] = np.maximum(highs[b], hi) if b in highs else hi
-        for b, g in sums.items():
-            yield pd.DataFrame({"block": [int(b)], "g": [g.ravel().tolist()],
-                                "lo": [lows[b].tolist()], "hi": [highs[b].tolist()]})
+                part = values[blocks == b] - origin
+                known = ~np.isnan(part)
+                v = np.hstack([np.ones((len(part), 1)), np.where(known, part, 0.0)])
+                marks = known[:, :d].astype(float)
+                new = [v.T @ v, v.T @ marks, marks.T @ marks, np.where(known, part, np.inf).min(axis=0), np.where(known, part, -np.inf).max(axis=0)]
+                old = sums.get(b)
+                sums[b] = new if old is None else [*(p + q for p, q in zip(old[:3], new[:3])), np.minimum(old[3], new[3]), np.maximum(old[4], new[4])]
+        for b, (m, a, r, lo, hi) in sums.items():
+            yield pd.DataFrame({"block": [int(b)], "g": [np.concatenate([x.ravel() for x in (m, a, r)]).tolist()], "lo": [lo.tolist()], "hi": [hi.tolist()]})
 
     parts = rows.mapInPandas(partial, "block int, g array<double>, lo array<double>, hi array<double>")
-    cells = parts.select("block", F.posexplode("g").alias("i", "v"))
-    added = cells.groupBy("block", "i").agg(F.sum("v").alias("v"))
-    edges = parts.select("block", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "e"))
-    ranged = edges.groupBy("block", "i").agg(F.min("e.lo").alias("lo"), F.max("e.hi").alias("hi"))
-    # Bounded: blocks * ((d + 1)**2 + d) rows, whatever the size of the data.
-    mats: dict[int, np.ndarray] = {}
-    for b, i, v in added.collect():
-        mats.setdefault(b, np.zeros(size * size))[i] = v
-    bounds: dict[int, np.ndarray] = {}
-    for b, i, lo, hi in ranged.collect():
-        bounds.setdefault(b, np.zeros((2, d)))[:, i] = (lo, hi)
-    return {b: Gram(mats[b].reshape(size, size), bounds[b][0], bounds[b][1], origin) for b in sorted(mats)}
+    # One pass: the numbers of a block in a row, the first of them sums, then smallest and largest values.
+    cells = parts.select("block", F.posexplode(F.concat("g", "lo", "hi")).alias("i", "v")) \
+        .groupBy("block", "i").agg(F.sum("v").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Bounded: a few (d + 2)**2 rows a block, whatever the size of the data.
+    found: dict[int, dict[int, tuple]] = {}
+    for b, i, total, lo, hi in cells.collect():
+        found.setdefault(b, {})[i] = (total, lo, hi)
+    ends = np.cumsum([0, *(p * q for p, q in shapes), d + 1, d + 1])
+    out = {}
+    for b in sorted(found):
+        pick = [np.array([found[b][i][k] for i in range(lo, hi)]) for k, lo, hi in zip((0, 0, 0, 1, 2), ends[:-1], ends[1:])]
+        out[b] = Gram(*(x.reshape(shape) for x, shape in zip(pick[:3], shapes)), pick[3], pick[4], origin)
+    return out
 
 
 def scaler_vectors(g: Gram, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -187,17 +212,22 @@ def _evidence(xx, xy, yy, n, params):
 
 @dataclass(frozen=True)
 class LinearFit:
-    """``intercept + coef . x`` on raw features, as a column expression."""
+    """``intercept + coef . x`` on raw features, as a column expression; ``fill`` stands for unknown values."""
 
     features: tuple[str, ...]
     coef: tuple[float, ...]
     intercept: float
+    fill: tuple[float, ...] = ()
+
+    def inputs(self) -> list:
+        xs = [F.col(f"`{f}`") for f in self.features]
+        return [F.coalesce(F.nanvl(x.cast("double"), F.lit(v)), F.lit(v)) for x, v in zip(xs, self.fill)] if self.fill else xs
 
     def column(self):
         out = F.lit(self.intercept)
-        for f, c in zip(self.features, self.coef):
+        for x, c in zip(self.inputs(), self.coef):
             if c != 0.0:
-                out = out + F.lit(c) * F.col(f"`{f}`")
+                out = out + F.lit(c) * x
         return out
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -214,14 +244,16 @@ def fit_from_gram(g: Gram, features: Sequence[str], kind: str, params: dict, sca
     sc = scale[idx]
     beta = solve(kind, xx[np.ix_(idx, idx)] / np.outer(sc, sc), xy[idx] / sc, yy, g.n, params) / sc
     return LinearFit(tuple(features[i] for i in idx), tuple(float(v) for v in beta),
-                     float(g.y_mean - beta @ g.mean[idx]))
+                     float(g.y_mean - beta @ g.mean[idx]), tuple(float(v) for v in g.mean[idx]))
 
 
 def errors(g: Gram, fit: LinearFit, features: Sequence[str]) -> tuple[float, float]:
     """Mean squared error and R2 of a fit on the rows behind ``g``, from sums alone."""
     idx = [list(features).index(f) for f in fit.features]
-    b = np.asarray(fit.coef)
-    xx, xy, yy = g.centred()
-    bias = g.y_mean - fit.intercept - b @ g.mean[idx]
-    sse = max(yy - 2 * b @ xy[idx] + b @ xx[np.ix_(idx, idx)] @ b, 0.0) + g.n * bias**2
+    b, mean = np.asarray(fit.coef), g.mean
+    mean[idx] = fit.fill
+    zz, zy, z1 = g.around(mean)
+    _, _, yy = g.centred()
+    bias = g.y_mean - fit.intercept - b @ mean[idx]
+    sse = max(yy - 2 * b @ zy[idx] + b @ zz[np.ix_(idx, idx)] @ b + g.n * bias**2 - 2 * bias * (b @ z1[idx]), 0.0)
     return sse / g.n, (1 - sse / yy if yy > 0 else float("nan"))

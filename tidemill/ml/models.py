@@ -141,7 +141,7 @@ def fit_multi_output(train: DataFrame, features: Sequence[str], targets: Sequenc
                      **params) -> MultiOutput:
     """A model per target over the same features; the sums of all targets come from one pass."""
     cols = [*features, *targets]
-    gram = gram_blocks(train.withColumn("_one", F.lit(0)), cols[:-1], cols[-1], "_one")[0]
+    gram = gram_blocks(train.withColumn("_one", F.lit(0)), cols[:-1], cols[-1], "_one", targets)[0]
     inputs = list(range(len(features)))
     return MultiOutput([fit_from_gram(gram.take([*inputs, len(features) + t]), features, kind, params)
                         for t in range(len(targets))])

@@ -141,7 +141,10 @@ def search_linear(folds: Folds, spec: registry.ModelSpec, scaler: str, scorer: s
             train_mse.append(errors(folds.gram(kind, i), fit, folds.features)[0])
         records.append({"params": params, "r2": float(np.mean(r2)), "train_mse": float(np.mean(train_mse)),
                         "test_mse": float(np.mean(test_mse)), "fold_r2": r2})
-    best = max(records, key=lambda r: r["r2"])
+    scored = [r for r in records if r["r2"] == r["r2"]]
+    if not scored:
+        raise ValueError("no fold can be scored: every target is constant or a fold is empty")
+    best = max(scored, key=lambda r: r["r2"])
     final = _gram_fit(folds, spec, kind, scorer, None, best["params"])
 
     def predict(df: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def search_linear(folds: Folds, spec: registry.ModelSpec, scaler: str, scorer: s
         # The fit stands on scaled features; the raw ones stay in the frame under their names.
         params = folds.scaler(kind, None)
         moved = df.select("*", *[scaled(params, f).alias(f"_q_{f}") for f in final.features])
-        column = LinearFit(tuple(f"_q_{f}" for f in final.features), final.coef, final.intercept).column()
+        column = LinearFit(tuple(f"_q_{f}" for f in final.features), final.coef, final.intercept, final.fill).column()
         return moved.withColumn("y_pred", column).drop(*[f"_q_{f}" for f in final.features])
 
     selected = [] if registry.SCORERS[scorer] is None else list(final.features)
@@ -259,11 +262,13 @@ def _linear_predictions(test: DataFrame, features: Sequence[str], y: str, keys:
     def numbers(values: Sequence[float]) -> str:
         return "array(" + ",".join(f"{float(v)!r}D" for v in values) + ")"
 
-    matrix = []
+    matrix, fill = [], {}
     for _, fit in found:
         coef = dict(zip(fit.features, fit.coef))
         matrix.append(numbers([coef.get(f, 0.0) for f in features]))
-    inputs = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+        # Test rows are filled with the means of all train rows, which are the same for every configuration.
+        fill.update(zip(fit.features, fit.fill))
+    inputs = F.array(*[F.coalesce(F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(fill.get(f, 0.0))), F.lit(fill.get(f, 0.0))) for f in features])
     values = F.zip_with(F.expr(f"array({','.join(matrix)})"), F.expr(numbers([fit.intercept for _, fit in found])),
                         lambda coef, start: F.aggregate(F.zip_with(inputs, coef, lambda x, c: x * c), start, lambda s, v: s + v))
     heads = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(CONFIG, config)]) for config, _ in found])
