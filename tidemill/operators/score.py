@@ -67,9 +67,13 @@ def score_mi(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
 
 def score_importance(df: DataFrame, features: Sequence[str], y: str, seed: int = 42, **forest) -> DataFrame:
     """Random forest importance; one number a feature comes back to the driver."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    rows = assembler.transform(df.select(*features, F.col(f"`{y}`").cast("double").alias("_y")))
-    options = {"numTrees": 20, "maxDepth": 5, **forest}
+    # Names may hold dots, which MLlib does not take; a gap is filled with the feature's mean, no row is dropped.
+    xs = [F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f"_in{i}") for i, f in enumerate(features)]
+    known = df.select(*xs, F.col(f"`{y}`").cast("double").alias("_y")).filter("_y IS NOT NULL")
+    means = known.agg(*[F.avg(f"_in{i}") for i in range(len(features))]).first()
+    filled = known.fillna({f"_in{i}": float(m or 0.0) for i, m in enumerate(means)})
+    rows = VectorAssembler(inputCols=[f"_in{i}" for i in range(len(features))], outputCol="_x").transform(filled)
+    options = {"numTrees": 100, "maxDepth": 5, **forest}
     model = RandomForestRegressor(featuresCol="_x", labelCol="_y", seed=seed, **options).fit(rows)
     got = model.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, got)], "feature string, score double")

@@ -189,7 +189,7 @@ def win_savgol(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], win
                 value = F.when(near.length < window, F.raise_error(F.lit(
                     "series is shorter than the smoothing window")).cast("double")).otherwise(value)
             else:
-                value = F.when(near.length >= window, value)
+                value = F.when(near.length >= window, value).otherwise(F.col(f"`{c}`").cast("double") if short == "keep" else F.lit(None))
             out[f"{c}{suffix}"] = value
         return out
 

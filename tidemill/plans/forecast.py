@@ -37,7 +37,8 @@ def preprocess(df: DataFrame, s: Sequence[str], o: str, target: str, lag: int, s
     df = imp_mean(df, numeric, fit_on, by=s)
     if settings.smoothing:
         smooth = [c for c in numeric if c not in (*settings.unsmoothed, target, o)]
-        df = win_savgol(df, s, o, smooth, settings.smooth_window, 2, max_rows=settings.max_rows) if smooth else df
+        df = win_savgol(
+            df, s, o, smooth, settings.smooth_window, 2, short=settings.short_series, max_rows=settings.max_rows) if smooth else df
     df = new_features(df, s, o, target, settings)
     if settings.shifting:
         cols = [c for c in df.columns if c not in (*s, o, "Date", "Week", target)]
@@ -80,7 +81,11 @@ def evaluate(df: DataFrame, s: Sequence[str], o: str, target: str, settings: Set
     results, predictions = search_matrix(frames, features, target, models, scalers, scorers, keys, settings.search_draws,
                                          settings.cv_splits, settings.seed, key, n_quantiles)
     best = best_config(results, ["model"], scalers, scorers)
-    chosen = join_null_safe(predictions, best.select("model", "lag", "scaler", "scorer"), ["model", "lag", "scaler", "scorer"],
-                            "left_semi") if predictions is not None else None
+    if predictions is None:
+        # Every configuration failed: the records say why, and there is nothing to rank.
+        some = next(iter(frames.values()))[1]
+        predictions = some.select(*keys, F.col(target).alias("y_true")).limit(0).select(
+            "*", *[F.lit(None).cast(t).alias(c) for c, t in (("model", "string"), ("lag", "int"), ("scaler", "string"), ("scorer", "string"), ("y_pred", "double"))])
+    chosen = join_null_safe(predictions, best.select("model", "lag", "scaler", "scorer"), ["model", "lag", "scaler", "scorer"], "left_semi")
     horizon = met_horizon(chosen, ["model"], settings.forecast_weeks)
     return Evaluation(results, predictions, best, horizon, leaderboard(best, horizon, settings.forecast_weeks))

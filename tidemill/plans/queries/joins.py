@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.calendar import week_key
 from tidemill.operators import joins
-from tidemill.operators.reshape import reshape_calendar
 from tidemill.operators.timeseries import win_pct_change
 from tidemill.plans.catalog import half_up, query
 from tidemill.plans.standins import (
@@ -54,13 +53,14 @@ def join_week_inner(spark, d):
 
 
 @query("join_calendar_left", f"""WITH {PANEL},
-cal AS (SELECT CAST(unnest(generate_series(DATE '1995-01-02', DATE '2001-12-31', INTERVAL 7 DAY)) AS DATE) AS ts),
-low AS (SELECT ts, litres FROM panel WHERE series = '5-LOW')
-SELECT cal.ts, COALESCE(low.litres, 0) AS litres FROM cal LEFT JOIN low USING (ts)""")
+cal AS (SELECT series, CAST(unnest(generate_series(DATE '1995-01-02', DATE '2001-12-31', INTERVAL 7 DAY)) AS DATE) AS ts
+        FROM (SELECT DISTINCT series FROM panel))
+SELECT cal.series, cal.ts, COALESCE(panel.litres, 0) AS litres FROM cal LEFT JOIN panel ON cal.series = panel.series AND cal.ts = panel.ts""")
 def join_calendar_left(spark, d):
-    low = weekly_panel(spark, d).filter("series = '5-LOW'").select("ts", "litres")
-    cal = reshape_calendar(spark, "1995-01-01", "2001-12-31", "W-MON")
-    return joins.join_calendar_left(cal, low, "ts", fill=0.0)
+    panel = weekly_panel(spark, d).select("series", "ts", "litres")
+    weeks = F.sequence(F.lit("1995-01-02").cast("date"), F.lit("2001-12-31").cast("date"), F.expr("interval 7 days"))
+    cal = panel.select("series").distinct().select("series", F.explode(weeks).alias("ts"))
+    return joins.join_calendar_left(cal, panel, ["series", "ts"], fill=0.0)
 
 
 @query("join_week_outer", """WITH a AS (

@@ -104,8 +104,9 @@ UNION ALL SELECT 'GAP_soil'""")
 def filter_allzero_cols(spark, d):
     """Names of the columns that stay; a null keeps a column."""
     df = with_zero_columns(spark, d)
-    report = clean.allzero_report(df, [c for c in df.columns if c != "ts"])
-    return report.filter(~F.col("all_zero")).select("column_name")
+    left = clean.filter_allzero_cols(df, [c for c in df.columns if c != "ts"])
+    cells = left.unpivot(["ts"], [c for c in left.columns if c != "ts"], "column_name", "value")
+    return cells.select("column_name").distinct()
 
 
 @query("filter_not_null_asof", f"""WITH {HOURLY}

@@ -12,6 +12,7 @@ from tidemill.operators.joins import join_calendar_left
 from tidemill.operators.reshape import reshape_pivot, series_grid
 from tidemill.session import ensure_utc
 
+# The names the SQL definitions list; the frames take theirs from the table itself.
 NATIONS = [f"NATION_{i}" for i in range(25)]
 
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nation_names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All nations of the table: what a wide sheet has columns for."""
+    return [r[0] for r in table(spark, sf_dir, "nation").select("n_name").distinct().orderBy("n_name").collect()]
+
+
 def cents(col: str):
     return F.sum(F.col(col).cast("decimal(18,2)")).cast("double")
 
@@ -74,11 +80,10 @@ def monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    # Orders shrink to (customer, month) before they meet the customers.
-    per_customer = orders.groupBy("o_custkey", F.date_trunc("month", "o_orderdate").cast("date").alias("ts")).agg(
+    # The join only adds a short key; grouping by it leaves a row a nation and month in each task before the shuffle.
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    by_key = joined.groupBy("c_nationkey", F.date_trunc("month", "o_orderdate").cast("date").alias("ts")).agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), F.count(F.lit(1)).alias("n"))
-    joined = per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    by_key = joined.groupBy("c_nationkey", "ts").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     named = by_key.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return named.select(F.col("n_name").alias("series"), "ts",
                         (F.col("total").cast("double") / F.col("n")).alias("price"))
@@ -94,8 +99,9 @@ PRICES = """prices AS (
 def price_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw sheet's form: text cells, months as rows, countries as columns, ``c`` for missing."""
     prices = monthly_prices(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy'M'MM"))
-    wide = reshape_pivot(prices, ["month"], "series", NATIONS, F.first("price"))
-    return wide.select("month", *[F.coalesce(F.col(c).cast("string"), F.lit("c")).alias(c) for c in NATIONS])
+    nations = nation_names(spark, sf_dir)
+    wide = reshape_pivot(prices, ["month"], "series", nations, F.first("price"))
+    return wide.select("month", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("c")).alias(c) for c in nations])
 
 
 def station_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +110,9 @@ def station_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     kinds = {"rain": "l_quantity", "soil": "l_discount", "sun": "l_tax"}
-    per_supplier = lineitem.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("ts")).agg(
+    joined = lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    by_key = joined.groupBy("s_nationkey", F.col("l_shipdate").cast("date").alias("ts")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("decimal(18,2)")).alias(k) for k, c in kinds.items()])
-    joined = per_supplier.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    by_key = joined.groupBy("s_nationkey", "ts").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in kinds])
     named = by_key.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return named.select(F.col("n_name").alias("station"), "ts",
                         *[(F.col(k).cast("double") / F.col("n")).alias(k) for k in kinds])
@@ -125,7 +130,7 @@ WEATHER = """weather AS (
 def weather_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a day, columns ``<station>_rain``, ``_soil``, ``_sun``."""
     weather = station_weather(spark, sf_dir)
-    wide = weather.groupBy("ts").pivot("station", NATIONS).agg(
+    wide = weather.groupBy("ts").pivot("station", nation_names(spark, sf_dir)).agg(
         F.first("rain").alias("rain"), F.first("soil").alias("soil"), F.first("sun").alias("sun"))
     return wide
 

@@ -13,6 +13,8 @@ class Settings:
     forecast_weeks: int = 52
     lags: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7)
     smooth_window: int = 5
+    # A series shorter than the smoothing window: "error" stops the run, "null" gives nulls, "keep" the raw values.
+    short_series: str = "error"
     data_creation: bool = True
     smoothing: bool = True
     shifting: bool = True

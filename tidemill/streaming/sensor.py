@@ -61,11 +61,15 @@ def st_upsert(stream: DataFrame, path: str, key: Sequence[str], value_cols: Sequ
     A retried batch merges to the same table, because values already there win.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        if df.isEmpty():
-            return
-        merge_keyed(df, path, key, value_cols, time_col, seq_col)
-        if after is not None:
-            after(df, batch_id)
+        # The merge and what follows read the batch several times; the stream's own work is done once.
+        df = df.persist()
+        try:
+            if not df.isEmpty():
+                merge_keyed(df, path, key, value_cols, time_col, seq_col)
+                if after is not None:
+                    after(df, batch_id)
+        finally:
+            df.unpersist()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append")
     return st_hourly(writer, available_now).start()
@@ -166,8 +170,8 @@ def recent_readings(spark: SparkSession, path: str, touched: DataFrame, s: Seque
 
 
 def run_rolling_forecast(stream: DataFrame, path: str, checkpoint: str, model: MultiOutput, s: Sequence[str],
-                         available_now: bool = False, reach_days: int = 14, max_rows: int | None = None):
-    """The whole loop: readings ``(series.., time, elec_prices_metric)`` are merged; after each batch the
+                         available_now: bool = False, reach_days: int = 14, max_rows: int | None = None, seq_col: str | None = None):
+    """The whole loop; ``seq_col`` gives the order of arrival, so the first value of an hour stays. Readings ``(series.., time, elec_prices_metric)`` are merged; after each batch the
     last 100 readings of the touched series give 24 forecasts, merged into the same table."""
     def after(df: DataFrame, batch_id: int) -> None:
         first = df.agg(F.date_sub(F.to_date(F.min("time")), reach_days)).first()[0]
@@ -179,4 +183,4 @@ def run_rolling_forecast(stream: DataFrame, path: str, checkpoint: str, model: M
 
     ready = stream.withColumn(FORECAST, F.lit(None).cast("double"))
     return st_upsert(ready, path, [*s, "time"], [ACTUAL, FORECAST], "time", checkpoint,
-                     available_now=available_now, after=after)
+                     seq_col=seq_col, available_now=available_now, after=after)
