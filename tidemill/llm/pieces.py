@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from tidemill.llm.batches import lists
 
 MARK = "▁"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the file format
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 250_000
 WORDS_A_TEXT = 500
 SCHEMA = "ids array<int>, n_tokens long, decoded_sha256 string, lossless boolean, parity boolean, decoded string"
 NAMES = ["ids", "n_tokens", "decoded_sha256", "lossless", "parity", "decoded"]
