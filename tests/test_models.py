@@ -162,3 +162,19 @@ def test_gaps_are_filled_with_the_train_means_of_the_fold(spark):
     mse, r2 = errors(grams[1], fit, FEATS)
     left = yv - beta[0] - test @ beta[1:]
     assert mse == pytest.approx((left**2).mean()) and r2 == pytest.approx(1 - (left**2).sum() / ((yv - yv.mean()) ** 2).sum())
+
+
+def test_every_model_kind_comes_back_from_the_store(spark, data, tmp_path):
+    from tidemill.sources import model_store
+
+    train = data[0].limit(100)
+    fits = [fit_from_gram(gram_blocks(train.selectExpr("*", "0 AS one"), FEATS, "y", "one")[0], FEATS, "ridge", {}),
+            models.fit_tree(train, FEATS, "y", 3), knn.fit_knn(train, FEATS, "y", "t", 3)]
+    for n, fitted in enumerate(fits):
+        model_store.save_model(spark, fitted, str(tmp_path / str(n)))
+        back = model_store.load_model(spark, str(tmp_path / str(n)))
+        args = (train, "t") if n == 2 else (train,)
+        want, got = ({r["t"]: r["prediction"] for r in m.transform(*args).select("t", "prediction").collect()} for m in (fitted, back))
+        assert got == pytest.approx(want)
+    with pytest.raises(TypeError):
+        model_store.save_model(spark, object(), str(tmp_path / "none"))

@@ -130,11 +130,20 @@ def register_scorer(name: str, fn: score.Scorer, k: int = score.DEFAULT_K) -> No
     score.K_VALUES[name] = k
 
 
-def register_scaler(name: str, kind: str) -> None:
-    if kind not in ("minmax", "standard", "robust", "quantile", "none"):
+def register_scaler(name: str, kind: str | Callable) -> None:
+    """Under ``name``: a built-in kind, or ``fit(df, cols)`` giving ``{column: (shift, scale)}``."""
+    if callable(kind):
+        scale.USER_KINDS[name] = kind
+        kind = name
+    elif kind not in scale.BUILT_IN:
         raise KeyError(f"unknown scaler kind: {kind}")
     SCALERS[name] = kind
 
 
+def unregister_scaler(name: str) -> None:
+    SCALERS.pop(name, None)
+    scale.USER_KINDS.pop(name, None)
+
+
 def fit_named_scaler(df, cols, name: str, **kw) -> scale.ScalerParams:
     return scale.fit_scaler(df, cols, SCALERS[name], **kw)

@@ -24,7 +24,7 @@ from tidemill.ml.gram import Gram, LinearFit, correlations, errors, fit_from_gra
 from tidemill.operators.evaluate import score_pairs
 from tidemill.operators.layout import join_null_safe
 from tidemill.operators.reshape import set_union_results
-from tidemill.operators.scale import ScalerParams, apply_scaler, fit_scaler, scaled
+from tidemill.operators.scale import USER_KINDS, ScalerParams, apply_scaler, fit_scaler, scaled
 from tidemill.operators.split import topk_features
 from tidemill.session import settle
 
@@ -120,7 +120,7 @@ def _gram_fit(folds: Folds, spec: registry.ModelSpec, kind: str, scorer: str, fo
     """A fit on one fold. For the robust scaler the affine factors come from its quantiles."""
     g = folds.gram(kind, fold)
     chosen = folds.choose(scorer, kind, fold)
-    if kind == "robust":
+    if kind == "robust" or kind in USER_KINDS:
         affine = folds.scaler(kind, fold).affine
         scale = np.array([affine[f][1] for f in folds.features])
         return fit_from_gram(g, folds.features, spec.gram, params, chosen=chosen, scale=scale)

@@ -5,7 +5,7 @@ A fitted scaler is a small table of numbers per column, so applying it adds no j
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,9 +35,17 @@ def _nonzero(x: float | None) -> float:
     return 1.0 if x is None or x == 0 else float(x)
 
 
+# Affine scalers that users add: ``fit(df, cols)`` gives ``{column: (shift, scale)}``.
+USER_KINDS: dict[str, Callable[[DataFrame, Sequence[str]], dict[str, tuple[float, float]]]] = {}
+BUILT_IN = ("minmax", "standard", "robust", "quantile", "none")
+
+
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str, n_quantiles: int = 1000,
                max_rows: int = 5_000_000) -> ScalerParams:
     cols = list(cols)
+    if kind in USER_KINDS:
+        got = USER_KINDS[kind](df, cols)
+        return ScalerParams(kind, {c: (float(got[c][0] or 0.0), _nonzero(got[c][1])) for c in cols})
     if kind == "none":
         return ScalerParams(kind, {c: (0.0, 1.0) for c in cols})
     if kind == "minmax":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.ml import knn, models, registry, search
+from tidemill.plans.queries.sources import scratch
+from tidemill.sources import model_store
 from tidemill.operators import impute, scale, score
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.split import split_tail, split_ts_cv
@@ -180,11 +182,19 @@ def udf_scorer(spark, d):
             names.pop("Covariance", None)
 
 
-@query("udf_scaler", _scaler_sql("(SELECT MIN({c}) FROM panel)", "((SELECT MAX({c}) FROM panel) - (SELECT MIN({c}) FROM panel))"))
+@query("udf_scaler", _scaler_sql("0.0", "(SELECT MAX(ABS({c})) FROM panel)"))
 def udf_scaler(spark, d):
-    """A scaler looked up by its registered name."""
-    panel = weekly_panel(spark, d).select("series", "ts", *SCALED)
-    out = scale.apply_scaler(panel, SCALED, registry.fit_named_scaler(panel, SCALED, "MinMaxScaler"))
+    """A scaler a user registers: by the largest absolute value."""
+    def max_abs(df, cols):
+        row = df.agg(*[F.max(F.abs(F.col(f"`{c}`"))) for c in cols]).first()
+        return {c: (0.0, v) for c, v in zip(cols, row)}
+
+    registry.register_scaler("MaxAbsScaler", max_abs)
+    try:
+        panel = weekly_panel(spark, d).select("series", "ts", *SCALED)
+        out = scale.apply_scaler(panel, SCALED, registry.fit_named_scaler(panel, SCALED, "MaxAbsScaler"))
+    finally:
+        registry.unregister_scaler("MaxAbsScaler")
     return out.select("series", "ts", *[half_up(c, 8).alias(c) for c in SCALED])
 
 
@@ -285,19 +295,42 @@ def fit_knn_distance(spark, d):
     return _knn(spark, d, "distance", 3)
 
 
-@query("fit_multi_output", f"""WITH {PANEL}, led AS (SELECT series, ts, n_orders, LEAD(litres, 1) OVER w AS t1, LEAD(litres, 2) OVER w AS t2,
-  LEAD(litres, 3) OVER w AS t3 FROM panel WINDOW w AS (PARTITION BY series ORDER BY ts)),
-full_ AS (SELECT * FROM led WHERE t3 IS NOT NULL),
+def steps_sql(n: int) -> str:
+    """One-feature ridge for each of the next ``n`` weeks, over the rows that have all of them."""
+    steps = range(1, n + 1)
+    return f"""WITH {PANEL}, led AS (SELECT series, ts, n_orders, {", ".join(f"LEAD(litres, {i}) OVER w AS t{i}" for i in steps)}
+  FROM panel WINDOW w AS (PARTITION BY series ORDER BY ts)),
+full_ AS (SELECT * FROM led WHERE t{n} IS NOT NULL),
 fit AS (SELECT AVG(n_orders) AS mx, regr_sxx(t1, n_orders) AS sxx, {", ".join(
-    f"AVG(t{i}) AS m{i}, regr_sxy(t{i}, n_orders) AS s{i}" for i in (1, 2, 3))} FROM full_)
-SELECT series, ts, {", ".join(rsql(f"m{i} + s{i} / (sxx + 1.0) * (n_orders - mx)", 2, f"step_{i}") for i in (1, 2, 3))} FROM full_, fit""")
+    f"AVG(t{i}) AS m{i}, regr_sxy(t{i}, n_orders) AS s{i}" for i in steps)} FROM full_)
+SELECT series, ts, {", ".join(rsql(f"m{i} + s{i} / (sxx + 1.0) * (n_orders - mx)", 2, f"step_{i}") for i in steps)} FROM full_, fit"""
+
+
+def step_model(spark, d, n: int):
+    from tidemill.operators.timeseries import win_multistep
+
+    rows = win_multistep(one_feature(spark, d), S, O, Y, n)
+    return rows, models.fit_multi_output(rows, ["n_orders"], [f"{Y}_step_{i}" for i in range(1, n + 1)], "ridge", alpha=1.0)
+
+
+def stepped(rows, fitted, n: int):
+    return fitted.transform(rows).select("series", "ts", *[half_up(f"step_{i}", 2).alias(f"step_{i}") for i in range(1, n + 1)])
+
+
+@query("fit_multi_output", steps_sql(3))
 def fit_multi_output(spark, d):
     """Three steps ahead from one pass over the data."""
-    from tidemill.operators.timeseries import win_multistep
+    rows, fitted = step_model(spark, d, 3)
+    return stepped(rows, fitted, 3)
+
 
-    rows = win_multistep(one_feature(spark, d), S, O, Y, 3)
-    fitted = models.fit_multi_output(rows, ["n_orders"], [f"{Y}_step_{i}" for i in (1, 2, 3)], "ridge", alpha=1.0)
-    return fitted.transform(rows).select("series", "ts", *[half_up(f"step_{i}", 2).alias(f"step_{i}") for i in (1, 2, 3)])
+@query("model_store_steps", steps_sql(24))
+def model_store_steps(spark, d):
+    """A model of 24 steps, stored, loaded and then used."""
+    rows, fitted = step_model(spark, d, 24)
+    path = scratch(spark, "steps")
+    model_store.save_model(spark, fitted, path)
+    return stepped(rows, model_store.load_model(spark, path), 24)
 
 
 @query("fit_seasonal_naive", f"""WITH {PLACED}, last_year AS (SELECT series, litres, rn - (n - 52) AS phase FROM placed WHERE rn > n - 52)

@@ -10,6 +10,7 @@ from tidemill.plans.catalog import half_up, half_up_sql, query
 from tidemill.plans.queries.joins import BACKFILL
 from tidemill.plans.queries.sources import scratch
 from tidemill.plans.standins import hourly_readings, table
+from tidemill.sources import model_store
 from tidemill.sources.upsert import read_keyed
 from tidemill.streaming import sensor
 
@@ -95,7 +96,13 @@ TRAIN = (datetime(2024, 1, 1), datetime(2024, 1, 25))
 
 
 def retrained(spark, d):
-    return sensor.st_retrain(hourly_readings(spark, d), S, "ts", "value", *TRAIN, alpha=10.0)
+    """Trained, stored and loaded again, as a loop that starts anew would find it."""
+    model = sensor.st_retrain(hourly_readings(spark, d), S, "ts", "value", *TRAIN, alpha=10.0)
+    if model is None:
+        return None
+    path = scratch(spark, "retrained")
+    model_store.save_model(spark, model, path)
+    return model_store.load_model(spark, path)
 
 
 @query("st_retrain")
