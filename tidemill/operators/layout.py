@@ -9,7 +9,8 @@ equal-depth pieces of time and work per piece:
 * running values take the total of all earlier pieces from a small table (`running`, `fill`).
 
 Both give exactly the rows of the ordinary window. Rows of a series must be told apart by the order
-columns; the first of them sets the cut.
+columns; the first of them sets the cut, so rows of one time stay in one piece. The number of pieces is
+the longest series' rows over ``max_rows``.
 """
 
 from __future__ import annotations
@@ -17,17 +18,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.session import settle
 
 PIECE, POS, LEN, BLOCK = "_piece", "_pos", "_len", "_block"
 
-# A cut series has 16**3 pieces, found by three rounds of 15 comparisons a row.
-FAN, LEVELS = 16, 3
-PIECES = FAN**LEVELS
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -71,56 +71,67 @@ class CutPoints:
 
     max_rows: int
     points: DataFrame | None
-    fits: bool
+    # Pieces of each long series, and how many long series there are.
+    pieces: int = 1
+    series: int = 0
+
+
+def row_bytes(kind: T.DataType) -> int:
+    """A cautious size of one value: text and lists count as long ones."""
+    if isinstance(kind, T.StructType):
+        return sum(row_bytes(f.dataType) for f in kind.fields) + 16
+    return 1024 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 16
+
+
+def fits_broadcast(rows: int, kind: T.DataType) -> bool:
+    return rows * row_bytes(kind) <= BROADCAST_BYTES
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Rows with ``_piece`` (-1 for ordinary series) and whether per-piece tables fit a broadcast."""
+    """Rows with ``_piece`` (-1 for ordinary series), and how many pieces all long series have together."""
 
     df: DataFrame
-    fits: bool
+    rows: int
 
     def attach(self, table: DataFrame, s: Sequence[str]) -> DataFrame:
-        """Left join of a per-piece table of the long series (at most 4,097 rows for each)."""
-        return join_null_safe(self.df, F.broadcast(table) if self.fits else table, [*s, PIECE], "left")
+        """Left join of a per-piece table of the long series, broadcast where its rows' real width allows."""
+        return join_null_safe(self.df, F.broadcast(table) if fits_broadcast(self.rows, table.schema) else table, [*s, PIECE], "left")
 
     def per_piece(self, s: Sequence[str], *aggs: Column) -> DataFrame:
         return self.df.filter(F.col(PIECE) >= 0).groupBy(*s, PIECE).agg(*aggs)
 
 
 def plan_cut(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int) -> CutPoints:
-    """Find the long series and the times that split them into about equally many rows."""
+    """Find the long series and the times that split them into about equally many rows.
+
+    The longest series sets the number of pieces: its rows over ``max_rows``."""
     first = names(o)[0]
     hot = settle(long_series(df, s, max_rows))
-    n_hot = hot.count()
+    n_hot, longest = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
     if n_hot == 0:
-        return CutPoints(max_rows, None, True)
-    fits = n_hot * PIECES * 32 <= BROADCAST_BYTES
-    levels = ",".join(f"{i / PIECES!r}D" for i in range(1, PIECES))
-    hot_rows = join_null_safe(df.select(*s, first), F.broadcast(hot) if fits else hot, s)
+        return CutPoints(max_rows, None)
+    pieces = ceil(longest / max_rows)
+    levels = ",".join(f"{i / pieces!r}D" for i in range(1, pieces))
+    hot_rows = join_null_safe(df.select(*s, first), F.broadcast(hot) if fits_broadcast(n_hot, hot.schema) else hot, s)
     points = settle(hot_rows.groupBy(*s).agg(
-        F.expr(f"percentile_approx(`{first}`, array({levels}), {10 * PIECES})").alias("_points")))
-    return CutPoints(max_rows, points, fits)
+        F.expr(f"percentile_approx(`{first}`, array({levels}), {10 * pieces})").alias("_points")))
+    return CutPoints(max_rows, points, pieces, n_hot)
 
 
 def cut_series(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int | CutPoints) -> Cut:
-    """Cut long series into increasing pieces of time."""
+    """Cut long series into increasing pieces of time: a binary search for each row's piece."""
     plan = max_rows if isinstance(max_rows, CutPoints) else plan_cut(df, s, o, max_rows)
     if plan.points is None:
-        return Cut(df.withColumn(PIECE, F.lit(-1)), True)
-    joined = join_null_safe(df, F.broadcast(plan.points) if plan.fits else plan.points, s, "left")
+        return Cut(df.withColumn(PIECE, F.lit(-1)), 0)
+    small = plan.series * plan.pieces * 16 <= BROADCAST_BYTES
+    joined = join_null_safe(df, F.broadcast(plan.points) if small else plan.points, s, "left")
     value, pts = F.col(names(o)[0]), F.col("_points")
-    strides = F.array(*[F.lit(FAN**level) for level in reversed(range(LEVELS))])
-    passed = F.aggregate(
-        strides,
-        F.lit(0),
-        lambda found, stride: found + stride * F.size(F.filter(
-            F.sequence(F.lit(1), F.lit(FAN - 1)),
-            lambda i: F.get(pts, found + i * stride - 1) <= value)),
-    )
-    piece = F.when(pts.isNull(), -1).when(value.isNull(), PIECES).otherwise(passed)
-    return Cut(joined.withColumn(PIECE, piece.cast("int")).drop("_points"), plan.fits)
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, (plan.pieces - 1).bit_length())))])
+    passed = F.aggregate(strides, F.lit(0), lambda found, stride: found + F.when(
+        F.coalesce(F.get(pts, found + stride - 1) <= value, F.lit(False)), stride).otherwise(F.lit(0)))
+    piece = F.when(pts.isNull(), -1).when(value.isNull(), plan.pieces).otherwise(passed)
+    return Cut(joined.withColumn(PIECE, piece.cast("int")).drop("_points"), plan.series * (plan.pieces + 1))
 
 
 def _piece_window(s: Sequence[str], start: int, end: int) -> WindowSpec:
