@@ -9,6 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import settle
 from tidemill.operators.layout import join_null_safe, names
 
 
@@ -60,4 +61,7 @@ def imp_model(df: DataFrame, target: str | Sequence[str], predictors: Sequence[s
             keep = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
             scored = fitted.transform(keep.transform(work))
             work = scored.withColumn(t, F.when(F.col(missing[t]), F.col("_p")).otherwise(F.col(t))).drop("_x", "_p")
+        if len(targets) > 1:
+            # Every fit reads the frame several times; without this each round would run all earlier ones again.
+            work = settle(work)
     return work.drop(*missing.values())

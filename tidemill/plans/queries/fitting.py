@@ -45,7 +45,7 @@ def imp_mean_train(spark, d):
 @query("imp_model")
 def imp_model(spark, d):
     gaps = gap_panel(spark, d).withColumn("week", F.weekofyear("ts"))
-    out = impute.imp_model(gaps, "litres", ["week"], numTrees=20)
+    out = impute.imp_model(gaps, "litres", ["week"])
     return out.select("series", "ts", half_up("litres", 2).alias("litres"))
 
 
@@ -157,7 +157,7 @@ def score_mi(spark, d):
 
 @query("score_importance")
 def score_importance(spark, d):
-    return score.score_importance(weekly_panel(spark, d), SCORED, Y, numTrees=20, maxDepth=6).withColumn("score", half_up("score", 6))
+    return score.score_importance(weekly_panel(spark, d), SCORED, Y).withColumn("score", half_up("score", 6))
 
 
 @query("select_kbest", f"WITH {PANEL} SELECT series, ts, litres, num_suppliers, n_orders FROM panel")
@@ -260,8 +260,8 @@ def _model_query(name: str, fit) -> None:
 _model_query("fit_bayesridge", lambda t: models.fit_bayesridge(t, FEATS, Y))
 _model_query("fit_tree", lambda t: models.fit_tree(t, FEATS, Y, max_depth=8, min_instances=5))
 _model_query("fit_extratree", lambda t: models.fit_extratree(t, FEATS, Y, max_depth=8))
-_model_query("fit_forest", lambda t: models.fit_forest(t, FEATS, Y, num_trees=20, max_depth=8))
-_model_query("fit_boosted", lambda t: models.fit_boosted(t, FEATS, Y, max_iter=10, max_depth=3))
+_model_query("fit_forest", lambda t: models.fit_forest(t, FEATS, Y))
+_model_query("fit_boosted", lambda t: models.fit_boosted(t, FEATS, Y))
 
 
 KNN_SQL = f"""WITH {PLACED}, rows AS (SELECT *, series || '|' || CAST(ts AS VARCHAR) AS id, CAST(n_orders AS DOUBLE) AS x1,
@@ -378,7 +378,7 @@ def cv_report(spark, d):
 @query("search_grid_tree")
 def search_grid_tree(spark, d):
     """The same search with MLlib fits, here of regression trees."""
-    _, records = search.search_grid(feature_rows(spark, d), FEATS, Y, "DecisionTreeRegressor", {"max_depth": [4], "min_instances": [5]})
+    _, records = search.search_grid(feature_rows(spark, d), FEATS, Y, "DecisionTreeRegressor", n_iter=5)
     return records.select("model", "draw", "params", half_up("cv_r2", 6).alias("cv_r2"), half_up("test_mse", 0).alias("test_mse"))
 
 
