@@ -14,6 +14,7 @@ def lists(arrays: Iterable[pa.Array], step: int = STEP) -> Iterator[list]:
     for array in arrays:
         for a in range(0, len(array), step):
             yield array.slice(a, step).to_pylist()
+        pa.default_memory_pool().release_unused()
 
 
 def rows(batches: Iterable[pa.RecordBatch], names: list[str], step: int = STEP) -> Iterator[tuple]:
@@ -22,6 +23,7 @@ def rows(batches: Iterable[pa.RecordBatch], names: list[str], step: int = STEP)
         for a in range(0, batch.num_rows, step):
             part = batch.slice(a, step)
             yield from zip(*(part.column(n).to_pylist() for n in names))
+        pa.default_memory_pool().release_unused()
 
 
 def batch(schema: pa.Schema, found: list[tuple]) -> pa.RecordBatch:
