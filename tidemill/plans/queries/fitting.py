@@ -378,7 +378,7 @@ def cv_report(spark, d):
 @query("search_grid_tree")
 def search_grid_tree(spark, d):
     """The same search with MLlib fits, here of regression trees."""
-    _, records = search.search_grid(feature_rows(spark, d), FEATS, Y, "DecisionTreeRegressor", n_iter=5)
+    _, records = search.search_grid(feature_rows(spark, d), FEATS, Y, "DecisionTreeRegressor", n_iter=3)
     return records.select("model", "draw", "params", half_up("cv_r2", 6).alias("cv_r2"), half_up("test_mse", 0).alias("test_mse"))
 
 
