@@ -7,8 +7,9 @@ the sources in the order in which they fill up, one row a source.
 
 A rate of 2.3 takes each document twice and three tenths of them once more. The extra ones are chosen
 systematically: documents of a source are ordered by size within seeded cells, and every 1/0.3-th is
-taken from a seeded start, so the words taken stay within about one document per cell of the target
-instead of drifting as independent draws would. Cells hold about ``cell_rows`` documents, so a source
+taken from a seeded start; what that misses of the cell's share is made up by turning over its smallest
+documents. So the words taken stay within a small document per cell of the target instead of drifting
+as independent draws would. Cells hold about ``cell_rows`` documents, so a source
 with a third of all rows is dealt to many tasks.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times (0 words); a null source is a
@@ -72,9 +73,19 @@ def mix(docs: DataFrame, row: list[str], id_col: str = "doc_id", source_col: str
     within = Window.partitionBy("_s", "cell").orderBy(F.col("size").desc(), "draw", "_id")
     part = F.col("rate") - F.floor("rate")
     start = uniform(F.lit(seed), F.coalesce(F.col("_s"), F.lit("")), F.col("cell").cast("string"))
-    extra = F.floor(F.col("nth") * part + start) - F.floor((F.col("nth") - 1) * part + start)
+    chosen = F.floor(F.col("nth") * F.col("part") + F.col("start")) - F.floor((F.col("nth") - 1) * F.col("part") + F.col("start"))
+    cell = Window.partitionBy("_s", "cell")
+    ranked = celled.withColumn("part", F.when(F.col("size") > 0, part).otherwise(F.lit(0.0))).withColumn("start", start) \
+        .withColumn("nth", F.row_number().over(within)).withColumn("first", chosen)
+    # what the choice misses of the cell's share is made up by turning over its smallest documents
+    missed = ranked.withColumn("gap", F.sum("size").over(cell) * part - F.sum(F.col("size") * F.col("first")).over(cell))
+    able = F.col("first") == F.when(F.col("gap") > 0, 0).otherwise(1)
+    ready = missed.withColumn("able", able & (F.col("part") > 0))
+    smallest = Window.partitionBy("_s", "cell", "able").orderBy("size", "draw", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turned = ready.withColumn("turn", F.col("able") & (F.sum("size").over(smallest) <= F.abs("gap")))
+    extra = F.when(F.col("turn"), 1 - F.col("first")).otherwise(F.col("first"))
     times = F.when(F.col("size") > 0, F.floor("rate") + extra).otherwise(F.lit(0))
-    return celled.withColumn("nth", F.row_number().over(within)).withColumn("times", times.cast("long")) \
+    return turned.withColumn("times", times.cast("long")) \
         .select("row", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
@@ -108,10 +119,20 @@ celled AS (
 placed AS (
   SELECT *, CAST(floor(draw * cells) AS BIGINT) AS cell FROM celled),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size DESC, draw, doc_id) AS nth, rate - floor(rate) AS part,
+  SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size DESC, draw, doc_id) AS nth,
+         CASE WHEN size > 0 THEN rate - floor(rate) ELSE 0.0 END AS part,
          CAST(CAST('0x' || substr(md5('mix|' || coalesce(source, '') || '|' || CAST(cell AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS start
-  FROM placed)
+  FROM placed),
+chosen AS (
+  SELECT *, CAST(floor(nth * part + start) - floor((nth - 1) * part + start) AS BIGINT) AS pick FROM numbered),
+missed AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source, cell) AS DOUBLE) * (rate - floor(rate)) - sum(size * pick) OVER (PARTITION BY source, cell) AS gap FROM chosen),
+ready AS (
+  SELECT *, pick = CASE WHEN gap > 0 THEN 0 ELSE 1 END AND part > 0 AS able FROM missed),
+turned AS (
+  SELECT *, able AND sum(size) OVER (PARTITION BY source, cell, able ORDER BY size, draw, doc_id
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= abs(gap) AS turn FROM ready)
 SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN size > 0 THEN size * (floor(rate) + floor(nth * part + start) - floor((nth - 1) * part + start)) ELSE 0 END AS BIGINT) AS taken
-FROM numbered
+       CAST(CASE WHEN size > 0 THEN size * (floor(rate) + CASE WHEN turn THEN 1 - pick ELSE pick END) ELSE 0 END AS BIGINT) AS taken
+FROM turned
 """
