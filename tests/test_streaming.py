@@ -24,6 +24,16 @@ def test_backfill_origins_and_offsets(spark):
         nxt.weekday(), nxt.timetuple().tm_yday, nxt.isocalendar()[1])
 
 
+def test_the_training_range_is_a_year_that_ends_a_quarter_before_now(spark):
+    now = dt.datetime(2025, 6, 1)
+    lo, hi = sensor.training_range(now)
+    assert hi - lo == dt.timedelta(days=365) and now - hi == dt.timedelta(days=365 / 4)
+    df = spark.createDataFrame(hours(400, lo) + hours(300, hi + dt.timedelta(days=1)), SCHEMA)
+    named = sensor.st_retrain(df, ["series"], "time", "elec_prices_metric", lo, hi)
+    assert sensor.st_retrain(df, ["series"], "time", "elec_prices_metric", now=now) == named
+    assert sensor.st_retrain(df, ["series"], "time", "elec_prices_metric", now=lo) is None
+
+
 def test_too_few_rows_give_no_model(spark):
     df = spark.createDataFrame(hours(99), SCHEMA)
     assert sensor.st_retrain(df, ["series"], "time", "elec_prices_metric", dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1)) is None

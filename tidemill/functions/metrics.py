@@ -12,7 +12,7 @@ from tidemill.functions.scalars import abs_error, ape, squared_error
 
 __all__ = [
     "met_mape", "met_mape_fraction", "met_mae", "met_medae", "met_me", "met_mse", "met_rmse",
-    "met_r2", "all_metrics",
+    "met_r2",
 ]
 
 
@@ -57,15 +57,3 @@ def met_r2(y: Column | str, p: Column | str) -> Column:
     sse = F.sum(squared_error(y, p))
     seen = F.when(_paired(y, p), as_column(y))
     return 1 - F.try_divide(sse, F.count(seen) * F.var_pop(seen))
-
-
-def all_metrics(y: Column | str, p: Column | str) -> list[Column]:
-    return [
-        met_mape(y, p).alias("mape"),
-        met_mae(y, p).alias("mae"),
-        met_medae(y, p).alias("medae"),
-        met_me(y, p).alias("me"),
-        met_mse(y, p).alias("mse"),
-        met_rmse(y, p).alias("rmse"),
-        met_r2(y, p).alias("r2"),
-    ]

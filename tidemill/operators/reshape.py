@@ -93,7 +93,3 @@ def reshape_asfreq(df: DataFrame, s: Sequence[str], o: str, step: str = "W-SUN",
 def set_union_results(frames: Sequence[DataFrame]) -> DataFrame:
     """Gather result records; columns one side lacks become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def join_grid(grid: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return join_null_safe(grid, df, keys, "left")

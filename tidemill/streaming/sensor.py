@@ -7,7 +7,7 @@ part is a batch DataFrame function used inside ``foreachBatch``, so stream and b
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,9 +142,13 @@ def training_rows(readings: DataFrame, s: Sequence[str], o: str, value: str, max
     return complete_rows(wide.withColumns(calendar_features(o)), ["h100", f"t{STEPS_AHEAD - 1}"])
 
 
-def st_retrain(readings: DataFrame, s: Sequence[str], o: str, value: str, lo: datetime, hi: datetime,
-               alpha: float = 1.0, min_rows: int = 100, max_rows: int | None = None) -> MultiOutput | None:
-    """A ridge model a step from the readings of a range; None when the range holds too few rows."""
+def st_retrain(readings: DataFrame, s: Sequence[str], o: str, value: str, lo: datetime | None = None, hi: datetime | None = None,
+               alpha: float = 1.0, min_rows: int = 100, max_rows: int | None = None, now: datetime | None = None) -> MultiOutput | None:
+    """A ridge model a step from the readings of a range; None when the range holds too few rows.
+
+    Without a range it is the training range that belongs to ``now``."""
+    if lo is None or hi is None:
+        lo, hi = training_range(now or datetime.now(timezone.utc).replace(tzinfo=None))
     kind = readings.schema[o].dataType.simpleString()
     window = readings.filter(F.col(o).between(F.lit(str(lo)).cast(kind), F.lit(str(hi)).cast(kind)))
     if window.limit(min_rows).count() < min_rows:
