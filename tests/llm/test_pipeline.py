@@ -3,7 +3,7 @@ from collections import Counter
 import sentencepiece
 
 import corpus_pipeline
-from fixtures import documents, frame, words
+from fixtures import documents, frame, texts, words
 from test_duplicates import classes, plain_print
 from tidemill.llm import crf, stages
 
@@ -66,3 +66,17 @@ def test_run_reads_documents_and_returns_tokens(spark, tmp_path):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "n_tokens", "lossless", "parity"]
     # the one text with a literal marker in it comes back with a blank there
     assert out.where("not parity or (not lossless and doc_id <> 308)").count() == 0 and out.count() > 20
+
+
+def test_one_row_stays_of_each_group_whatever_the_ids(spark):
+    _, tongues, rng = texts(7)
+    def text(lang):
+        return " ".join(rng.choice(tongues[lang]) for _ in range(80))
+    alone = [text("aa") for _ in range(5)]
+    twice = [text("bb") for _ in range(2)]
+    copied = text("cc")
+    rows = [(None, t, "aa", "s0") for t in alone] + [(5, t, "bb", "s0") for t in twice]
+    rows += [(i, copied, "cc", "s0") for i in (None, 9, 8, None)] + [(None, alone[0], "aa", "s1")]
+    single = stages.keep_one_of_near_copies(spark, frame(spark, rows), "")
+    want = [(None, t) for t in alone] + [(5, t) for t in twice] + [(8, copied)]
+    assert Counter((r["doc_id"], r["text"]) for r in single.collect()) == Counter(want)

@@ -188,10 +188,12 @@ def links(prints: DataFrame, col: str, radius: int = 4, blocks: int | None = Non
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4,
                     blocks: int | None = None) -> DataFrame:
-    """doc_id, fp (signed 64-bit), component_id: smallest id reachable over links of at most ``radius`` bits."""
+    """doc_id, fp (signed 64-bit), component_id: smallest id reachable over links of at most ``radius`` bits, and root.
+
+    ``root`` is the component's own name, a fingerprint in it: ids may be null or stand in several components."""
     signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprint(width)(text_col).alias("fp")))
     nodes = settle(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes, "fp", radius, blocks), "a", "b")
     rooted = settle(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return signed.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
+    return signed.join(rooted.join(smallest, "root").select("fp", "component_id", "root"), "fp")
