@@ -1,3 +1,4 @@
+import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -17,6 +18,26 @@ def test_codec_agrees_with_the_library_on_whole_texts(spark):
         assert r["e"]["decoded"] == theirs.decode(list(r["e"]["ids"])) and r["e"]["lossless"] == (r["e"]["decoded"] == (r["text"] or ""))
 
 
+def test_codec_keeps_parity_on_whole_texts_with_literal_markers():
+    with open(TOKENIZER, "rb") as f:
+        codec = pieces.Codec(f.read(), 1)
+    theirs = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    hard = ["a▁ 😀 b", "mark▁ 中", "▁", "▁▁ x", " ▁x▁", "x ▁ ▁中", "▁ ", "a ▁\n▁ 😀▁ 😀 ▁"]
+    ids, sizes, same = codec.encode(hard)
+    assert same.all()
+    for text, part in zip(hard, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert part.tolist() == theirs.encode(text)
+
+
+def test_parity_shows_an_error_of_the_split():
+    import re
+
+    with open(TOKENIZER, "rb") as f:
+        codec = pieces.Codec(f.read(), 1)
+    codec.words = re.compile(" ?[^ ]{1,3}| ")  # cuts inside of words
+    assert codec.encode(["information about everything", "a b"])[2].tolist() == [False, True]
+
+
 def test_codec_on_an_empty_table(spark):
     assert frame(spark, []).select(pieces.encoder(spark, TOKENIZER)("text")).count() == 0
 

@@ -7,8 +7,8 @@ model gets its merges from them (every split of a piece into two known pieces, i
 No piece of such a model holds a word marker after another character, so words with their leading
 blanks can be encoded one by one (this is checked; a model with other pieces is encoded text by text).
 Only words not seen before go to the tokenizer, in multithreaded batches; the memo of known words is
-bounded. What goes to the tokenizer goes to the ``sentencepiece`` library as well, and ``parity`` says
-whether the two agreed on all of a text's words (on the text itself where it is encoded whole).
+bounded. Such a model takes a literal marker for a blank, so texts are cut at both. The ``sentencepiece``
+library encodes every text whole, and ``parity`` says whether its ids are the text's final ids.
 
 Defined cases: a null or empty text has no tokens and is lossless; texts are never cut; repeated rows
 are encoded one by one; an empty table gives no rows.
@@ -168,10 +168,10 @@ class Codec:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.ids, self.starts, self.agree = array("i"), array("q", [0]), array("b")
+        self.ids, self.starts = array("i"), array("q", [0])
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words with both libraries.
+        """Encode new words.
 
         Those with one leading blank and no other marker go to the tokenizer joined to texts, since each of
         them begins with the only pieces that begin with a marker; the tokenizer puts the first marker itself.
@@ -182,25 +182,24 @@ class Codec:
         lots = [plain[k:k + WORDS_A_TEXT] for k in range(0, len(plain), WORDS_A_TEXT)] + [[w] for w in other]
         texts = ["".join(lot)[1:] for lot in lots]
         ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for lot, e, theirs in zip(lots, ours, self.check.encode(texts, num_threads=self.threads)):
+        for lot, e in zip(lots, ours):
             ids = np.array(e.ids, dtype=np.int32)
             cuts = np.flatnonzero(self.heads[ids]) if len(lot) > 1 else np.zeros(1, dtype=np.int64)
             if len(cuts) != len(lot):
                 raise AssertionError("words and their first pieces do not agree")
-            same = e.ids == theirs
             start = len(self.ids)
             self.ids.frombytes(ids.tobytes())
             self.starts.extend((start + np.append(cuts[1:], len(ids))).tolist())
-            self.agree.extend([same] * len(lot))
             self.memo.update(zip(lot, range(len(self.memo), len(self.memo) + len(lot))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, each text's number of them, and whether the other library's ids are the same."""
+        theirs = self.check.encode(texts, num_threads=self.threads)
         if self.words is None:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [a == b for a, b in zip(found, self.check.encode(texts, num_threads=self.threads))]
+            same = [a == b for a, b in zip(found, theirs)]
             return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64), np.array(same)
-        cut = [self.words.findall(" " + t) if t else [] for t in texts]
+        cut = [self.words.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.memo)
         if new and len(self.memo) + len(new) > MEMO_WORDS:
             self.forget()
@@ -210,9 +209,9 @@ class Codec:
         starts = np.array(self.starts, dtype=np.int64)
         sizes = np.diff(starts)[places]
         ids = gather(np.array(self.ids, dtype=np.int32), starts[places], sizes)
-        bounds = np.cumsum([0] + [len(words) for words in cut])
-        wrong = np.concatenate(([0], np.cumsum(np.array(self.agree, dtype=np.int64)[places] == 0)))
-        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[bounds]), np.diff(wrong[bounds]) == 0
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0] + [len(words) for words in cut])]
+        same = [ids[a:b].tolist() == other for a, b, other in zip(bounds[:-1], bounds[1:], theirs)]
+        return ids, np.diff(bounds), np.array(same, dtype=bool)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """Pieces joined and the marker's blank taken off; texts with broken bytes go to the library's own decoder."""
