@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fixtures import documents, frame
 from tidemill.llm import pieces
-from tidemill.llm.langid import UND, LanguageModel, classifier, fit, identify, labelled_sample
+from tidemill.llm.langid import UND, LanguageModel, Spectrum, classifier, fit, identify, labelled_sample, predict
 from tidemill.llm.q_documents import TOKENIZER
 
 
@@ -117,6 +117,24 @@ def test_language_kernel_equals_a_plain_count(spark):
             assert abs(value - len(a & b) / (len(a) * len(b)) ** 0.5) < 1e-6
 
 
+def test_languages_of_large_scripts_are_told_apart(spark):
+    import random
+
+    rng = random.Random(4)
+    starts = {"h1": 0x4E00, "h2": 0x5E00, "k1": 0xAC00, "k2": 0xBC00, "e1": 0x1200}  # letters of Han, Hangul and Ethiopic
+    rows = []
+    for k in range(150):
+        lang = sorted(starts)[k % 5]
+        text = " ".join("".join(chr(starts[lang] + rng.randrange(60)) for _ in range(3)) for _ in range(60))
+        rows.append((k, text, lang, "s0"))
+    docs = frame(spark, rows)
+    model = fit(labelled_sample(docs, F.col("doc_id") < 100))
+    langs, _ = predict(model, Spectrum(model.letters), [t for _, t, *_ in rows[100:]])
+    assert langs == [lang for _, _, lang, _ in rows[100:]]
+    codes = Spectrum("").codes("中国 中")
+    assert len(codes) == 2 + 4 + 4 and len(set(Spectrum("").codes("a")) & set(Spectrum("").codes("b"))) == 0
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark, [(1, "abc", None, None), (2, None, "aa", None)])
     assert {r["p"]["lang"] for r in docs.select(identify(docs, F.lit(True))("text").alias("p")).collect()} == {UND}

@@ -4,10 +4,10 @@ Texts are compared by the blended-spectrum presence kernel: the number of distin
 (n = 1, 2, 3) two texts share, divided by the root of the product of their own numbers. Nyström: a few
 labelled texts are landmarks, and a text's kernel values with them, times the inverse root of the
 landmarks' own kernel matrix, are its features. One-versus-rest ridge regression on these features is
-kernel ridge regression in that subspace. A batch of texts is scored by two matrix products.
+kernel ridge regression in that subspace. Only the n-grams of the landmarks are kept, each with the landmarks that have it.
 
-Text is lower-cased; everything that is not a letter is a blank, and blanks run together. The
-``ALPHABET - 2`` most frequent letters of the learning texts have a symbol each, other letters share one.
+Text is lower-cased; everything that is not a letter is a blank, and blanks run together. An n-gram's code
+is made of its code points, 21 bits each, so no two letters of any script are taken for one another.
 
 The model is fitted on a bounded sample (``per_lang`` texts of at most ``max_chars`` characters for each
 language, chosen by the hash of the id, for at most ``MAX_LANGS`` languages); every text is scored, and whole.
@@ -19,7 +19,6 @@ one by one; ties go to the language first in order.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,9 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.batches import lists
+from tidemill.llm.pieces import gather
 
-ALPHABET = 64
-SIZE = ALPHABET ** 3 + ALPHABET ** 2 + ALPHABET
+POINT_BITS, BLANK = 21, 0x110000  # fixed values: bits of a code point, and the number after the last one
 UND = "und"
 MAX_LANGS = 2_000
 PER_LANG = 300
@@ -44,9 +43,10 @@ BLOCK = 256
 @dataclass
 class LanguageModel:
     langs: list[str]
-    letters: str
-    grams: np.ndarray
-    landmarks: np.ndarray  # grams x landmarks, presence
+    letters: str  # of the learning texts
+    grams: np.ndarray  # codes of the landmarks' n-grams, sorted
+    starts: np.ndarray  # where a gram's landmarks begin in ``owners``
+    owners: np.ndarray
     norms: np.ndarray
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
@@ -54,36 +54,25 @@ class LanguageModel:
 
 @lru_cache(maxsize=4)
 def _symbols(letters: str) -> np.ndarray:
-    """Symbol of each code point: 0 no letter, 1 other letter, then the alphabet."""
-    table = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=np.uint8, count=0x110000)
-    for k, c in enumerate(letters):
-        table[ord(c)] = k + 2
+    """Symbol of each code point: itself where it is a letter here or was one where the model learned, else the blank."""
+    table = np.fromiter((c if chr(c).isalpha() else BLANK for c in range(0x110000)), dtype=np.int64, count=0x110000)
+    for c in letters:
+        table[ord(c)] = ord(c)
     return table
 
 
 class Spectrum:
-    """Distinct n-grams of texts, as marks in one buffer that is used again and again."""
+    """Distinct n-grams of texts, as sorted codes. No symbol is zero, so grams of different length have different codes."""
 
     def __init__(self, letters: str):
         self.table = _symbols(letters)
-        self.marks = np.zeros(SIZE, dtype=np.uint8)
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        s = np.concatenate(([0], self.table[points], [0])).astype(np.int32)
-        s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
-        one = s[s > 0]
-        two = ALPHABET + s[:-1] * ALPHABET + s[1:]
-        three = ALPHABET + ALPHABET ** 2 + (s[:-2] * ALPHABET + s[1:-1]) * ALPHABET + s[2:]
-        return np.concatenate((one, two, three))
-
-    def present(self, text: str, grams: np.ndarray) -> tuple[np.ndarray, int]:
-        """Which of ``grams`` the text has, and how many n-grams it has at all."""
-        codes = self.codes(text)
-        self.marks[codes] = 1
-        row, n = self.marks[grams], int(np.count_nonzero(self.marks))
-        self.marks[codes] = 0
-        return row, n
+        s = np.concatenate(([BLANK], self.table[points], [BLANK]))
+        s = s[np.concatenate(([True], (s[1:] != BLANK) | (s[:-1] != BLANK)))]
+        two = s[:-1] << POINT_BITS | s[1:]
+        return np.unique(np.concatenate((s[s != BLANK], two, two[:-1] << POINT_BITS | s[2:])))
 
 
 def has_letter(text: str | None) -> bool:
@@ -112,19 +101,17 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = 0.1) -> La
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
-    counts = Counter()
-    for _, _, text in rows:
-        counts.update(c for c in text.lower() if c.isalpha())
-    letters = "".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET - 2]))
+    letters = "".join(sorted({c for _, _, text in rows for c in text.lower() if c.isalpha()}))
     each = max(2, landmarks // len(langs))
     marks = [r for r in rows if r[1] <= each]
     spectrum = Spectrum(letters)
-    sets = [np.unique(spectrum.codes(r[2])) for r in marks]
-    grams = np.unique(np.concatenate(sets))
-    base = np.stack([np.isin(grams, s) for s in sets], axis=1).astype(np.float32)
-    model = LanguageModel(langs, letters, grams, base, np.sqrt(np.array([len(s) for s in sets], dtype=np.float64)),
+    sets = [spectrum.codes(r[2]) for r in marks]
+    codes, owners = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(codes, kind="stable")
+    grams, first = np.unique(codes[order], return_index=True)
+    model = LanguageModel(langs, letters, grams, np.append(first, len(codes)), owners[order], np.sqrt(np.array([len(s) for s in sets], dtype=np.float64)),
                           np.zeros((len(sets), len(langs))), np.zeros(len(langs)))
-    own = (base.T @ base).astype(np.float64) / np.outer(model.norms, model.norms)
+    own = np.stack([shared(model, s) for s in sets]) / np.outer(model.norms, model.norms)
     values, vectors = np.linalg.eigh(own)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -138,16 +125,20 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = 0.1) -> La
     return model
 
 
+def shared(model: LanguageModel, codes: np.ndarray) -> np.ndarray:
+    """Number of n-grams that each landmark shares with the text of these codes."""
+    at = np.searchsorted(model.grams, codes)
+    at = at[model.grams[np.minimum(at, len(model.grams) - 1)] == codes]
+    starts = model.starts[at]
+    return np.bincount(gather(model.owners, starts, model.starts[at + 1] - starts), minlength=len(model.norms))
+
+
 def kernel(model: LanguageModel, spectrum: Spectrum, texts: list[str]) -> np.ndarray:
-    """Kernel values of texts with the landmarks, in blocks of bounded size."""
+    """Kernel values of texts with the landmarks."""
     out = np.empty((len(texts), len(model.norms)))
-    for start in range(0, len(texts), BLOCK):
-        block = texts[start:start + BLOCK]
-        rows = np.empty((len(block), len(model.grams)), dtype=np.float32)
-        own = np.empty(len(block))
-        for k, text in enumerate(block):
-            rows[k], own[k] = spectrum.present(text, model.grams)
-        out[start:start + len(block)] = (rows @ model.landmarks) / np.sqrt(np.maximum(own, 1))[:, None] / model.norms[None, :]
+    for k, text in enumerate(texts):
+        codes = spectrum.codes(text)
+        out[k] = shared(model, codes) / np.sqrt(max(len(codes), 1)) / model.norms
     return out
 
 
