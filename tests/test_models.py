@@ -178,3 +178,24 @@ def test_every_model_kind_comes_back_from_the_store(spark, data, tmp_path):
         assert got == pytest.approx(want)
     with pytest.raises(TypeError):
         model_store.save_model(spark, object(), str(tmp_path / "none"))
+
+
+def test_registered_searches_take_the_defaults(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from tidemill.plans import forecast
+    from tidemill.plans.queries import fitting
+    from tidemill.settings import Settings
+
+    seen = []
+    monkeypatch.setattr(forecast, "evaluate", lambda *args, **kw: seen.append((args, kw)) or MagicMock())
+    monkeypatch.setattr(search, "search_grid", lambda *args, **kw: seen.append((args, kw)) or (None, MagicMock()))
+    for name in ("weekly_panel", "feature_rows", "half_up", "F"):
+        monkeypatch.setattr(fitting, name, MagicMock())
+    for q in (fitting.search_matrix, fitting.forecast_evaluation):
+        q(None, "")
+        args, kw = seen.pop()
+        assert args[4] == Settings() and not args[6:] and not kw
+        assert set(args[5]) == {"BayesianRidge", "Lasso", "ElasticNet", "LinearRegression", "Ridge"}
+    fitting.search_grid_tree(None, "")
+    assert seen.pop()[1] == {}

@@ -378,24 +378,24 @@ def cv_report(spark, d):
 @query("search_grid_tree")
 def search_grid_tree(spark, d):
     """The same search with MLlib fits, here of regression trees."""
-    _, records = search.search_grid(feature_rows(spark, d), FEATS, Y, "DecisionTreeRegressor", n_iter=3)
+    _, records = search.search_grid(feature_rows(spark, d), FEATS, Y, "DecisionTreeRegressor")
     return records.select("model", "draw", "params", half_up("cv_r2", 6).alias("cv_r2"), half_up("test_mse", 0).alias("test_mse"))
 
 
-def _matrix(spark, d, lags, models, scalers, scorers):
+def _matrix(spark, d):
+    """All linear models, with every lag, draw, scaler and scorer of the defaults."""
+    from tidemill.ml import registry
     from tidemill.plans.forecast import evaluate
     from tidemill.settings import Settings
 
     panel = weekly_panel(spark, d).withColumnRenamed("week", "Week")
-    settings = Settings(lags=lags, search_draws=3)
-    return evaluate(panel, S, O, Y, settings, models, scalers, scorers, n_quantiles=50)
+    return evaluate(panel, S, O, Y, Settings(), [name for name, spec in registry.MODELS.items() if spec.gram])
 
 
 @query("search_matrix")
 def search_matrix(spark, d):
-    """Three linear models x two lags x four scalers x three scorers; errors would show in ``error``."""
-    done = _matrix(spark, d, (1, 2), ["Ridge", "Lasso", "LinearRegression"],
-                   ["MinMaxScaler", "StandardScaler", "RobustScaler", "No scaling"], ["F_regression", "Pearson Correlation", "No scoring"])
+    """Linear models x lags x scalers x scorers; errors would show in ``error``."""
+    done = _matrix(spark, d)
     return done.results.select("model", "lag", "scaler", "scorer", half_up("mape", 4).alias("mape"), half_up("cv_r2", 4).alias("cv_r2"),
                                F.size("selected").alias("n_selected"), "error")
 
@@ -403,6 +403,6 @@ def search_matrix(spark, d):
 @query("forecast_evaluation")
 def forecast_evaluation(spark, d):
     """The whole evaluation down to the leaderboard (less the run time, which differs every time)."""
-    done = _matrix(spark, d, (1,), ["Ridge", "BayesianRidge"], ["StandardScaler", "No scaling"], ["F_regression", "No scoring"])
+    done = _matrix(spark, d)
     return done.board.select("model", half_up("mape", 4).alias("mape"), half_up("mape_last", 4).alias("mape_last"),
                              half_up("mape_first", 4).alias("mape_first"), "scaler", "scorer", "lag")
