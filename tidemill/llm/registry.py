@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("q_native", "q_documents", "q_vectors")
+_MODULES = ("q_native", "q_documents", "q_vectors", "q_search")
 
 
 def query(name: str, sql: str | None = None):
