@@ -10,6 +10,7 @@ from itertools import product
 from typing import Any
 
 from tidemill.ml import knn, models
+from tidemill.ml.trees import Job, subset_size
 from tidemill.operators import scale, score
 
 
@@ -38,12 +39,23 @@ Space = dict[str, Sequence[Any] | Uniform | LogUniform]
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """``gram`` names a solver that works from Gram sums; ``fit`` is any ``fit_*`` function."""
+    """``gram`` names a solver that works from Gram sums; ``fit`` is any ``fit_*`` function.
+
+    ``jobs(params, fold, features, seed)`` gives the trees of a model that is made of trees."""
 
     name: str
     fit: Callable
     space: Space = field(default_factory=dict)
     gram: str | None = None
+    jobs: Callable[[dict, int | None, tuple[int, ...], int], list[Job]] | None = None
+
+
+def _trees(n: int = 1, bootstrap: bool = False, random_cut: bool = False):
+    def jobs(params: dict, fold: int | None, features: tuple[int, ...], seed: int) -> list[Job]:
+        depth = models.tree_depth(params.get("max_depth"))
+        return [Job(fold, seed * 1_000 + k, depth, params.get("min_instances", 1), subset_size(params.get("subset"), len(features)), features, bootstrap,
+                    random_cut) for k in range(params.get("num_trees", n))]
+    return jobs
 
 
 def draw_params(space: Space, n_iter: int, seed: int) -> list[dict[str, Any]]:
@@ -71,11 +83,11 @@ MODELS: dict[str, ModelSpec] = {m.name: m for m in (
     ModelSpec("DecisionTreeRegressor", models.fit_tree, {
         "max_depth": [None, 10, 20, 30],
         "min_instances": [1, 2, 5],
-    }),
+    }, jobs=_trees()),
     ModelSpec("ExtraTreeRegressor", models.fit_extratree, {
         "max_depth": [8, 16, None],
         "subset": ["all", "sqrt", "log2"],
-    }),
+    }, jobs=_trees(random_cut=True)),
     ModelSpec("KNeighborsRegressor", knn.fit_knn, {
         "n_neighbors": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10],
         "weights": ["uniform", "distance"],
@@ -95,7 +107,7 @@ MODELS: dict[str, ModelSpec] = {m.name: m for m in (
         "subset": ["sqrt", "log2", "all", "0.5"],
         "max_depth": [None, 16],
         "min_instances": [1, 5, 10],
-    }),
+    }, jobs=_trees(100, bootstrap=True)),
     ModelSpec("GradientBoosting", models.fit_boosted, {
         "max_iter": [20, 50],
         "max_depth": [3, 5],

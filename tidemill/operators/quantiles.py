@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from tidemill.session import settle
 
 BINS = 4096
 MAX_ROUNDS = 24
+FEW = 16
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -26,9 +29,14 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
         F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
+def _literal(probs: Sequence[float]) -> Column:
+    """One literal, however many there are; an array of literals is walked by every rule of the optimiser."""
+    return F.lit(np.asarray(probs, dtype=float))
+
+
 def _ranks(probs: Sequence[float]) -> Column:
     """0-based ranks around ``p * (n - 1)``, both neighbours."""
-    h = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_n") - 1))
+    h = F.transform(_literal(probs), lambda p: p * (F.col("_n") - 1))
     return F.array_sort(F.array_distinct(F.concat(F.transform(h, lambda x: F.floor(x)),
                                                   F.transform(h, lambda x: F.ceil(x)))))
 
@@ -46,15 +54,33 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     largest = stats.agg(F.max("_n")).first()[0] or 0
     if largest <= max_rows:
-        return long.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
-                                    F.percentile("_v", [float(p) for p in probs]).alias("quantiles"))
+        return _whole_groups(long, g, probs)
     small = F.col("_n") <= max_rows
-    few = (join_null_safe(long, stats.filter(small).select(*g), g).groupBy(*g)
-           .agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", [float(p) for p in probs]).alias("quantiles")))
+    few = _whole_groups(join_null_safe(long, stats.filter(small).select(*g), g), g, probs)
     many = _narrow(long, stats.filter(~small), g, probs, max_rows)
     return few.unionByName(many)
 
 
+def _whole_groups(long: DataFrame, g: list[str], probs: Sequence[float]) -> DataFrame:
+    """Groups of a bounded size, one task each."""
+    if len(probs) <= FEW:
+        return long.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", _literal(probs)).alias("quantiles"))
+    # Spark's percentile walks the values anew for every rank.
+    keys, marks = list(g), np.asarray(probs, dtype=float)
+    types = {f.name: f.dataType.simpleString() for f in long.schema.fields}
+
+    def looked_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(pdf["_v"].to_numpy(dtype=float))
+        h = marks * (len(v) - 1)
+        lo, hi = np.floor(h), np.ceil(h)
+        low, high = v[lo.astype(int)], v[hi.astype(int)]
+        at = np.where((lo == hi) | (low == high), low, (hi - h) * low + (h - lo) * high)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [len(v)], "quantiles": [at]})
+
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n long", "quantiles array<double>"])
+    return long.groupBy(*g).applyInPandas(looked_up, schema)
+
+
 def _narrow(long: DataFrame, stats: DataFrame, g: list[str], probs: Sequence[float], max_rows: int) -> DataFrame:
     # One open bin per group at first: the whole value range, with all wanted ranks.
     open_bins = stats.withColumns({"_ranks": _ranks(probs), "_base": F.lit(0).cast("long")})
@@ -88,12 +114,13 @@ def _narrow(long: DataFrame, stats: DataFrame, g: list[str], probs: Sequence[flo
         *g, "_n", "_v", F.explode(_covered(F.col("_ranks"), F.col("_start"), F.col("_start") + F.col("_c"))).alias("_r"))
     looked = ranked.groupBy(*g).agg(
         F.max("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
-    marks = F.array(*[F.lit(float(p)) for p in probs])
+    marks = _literal(probs)
 
     def between(p: Column) -> Column:
         h = p * (F.col("n") - 1)
         low, high = F.col("_at")[F.floor(h)], F.col("_at")[F.ceil(h)]
-        return low + (high - low) * (h - F.floor(h))
+        # as Spark's percentile has it, so groups of any size give the same digits
+        return F.when((F.floor(h) == F.ceil(h)) | (low == high), low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
 
     return looked.select(*g, "n", F.transform(marks, between).alias("quantiles"))
 

@@ -57,29 +57,35 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str, n_quantiles: int =
         return ScalerParams(kind, {c: (float(m or 0.0), _nonzero(sd)) for c, (m, sd) in zip(cols, got)})
     if kind == "robust":
         table = quantile_values(df, cols, [0.25, 0.5, 0.75], max_rows=max_rows)
-        empty = [0.0, 0.0, 0.0]
-        return ScalerParams(kind, {c: (table.get(c, empty)[1], _nonzero(table.get(c, empty)[2] - table.get(c, empty)[0]))
-                                   for c in cols})
+        return ScalerParams(kind, {c: robust_affine(table.get(c)) for c in cols})
     if kind == "quantile":
         n = max(2, min(n_quantiles, df.count()))
         return ScalerParams(kind, tables=quantile_values(df, cols, list(np.linspace(0, 1, n)), max_rows=max_rows))
     raise KeyError(f"unknown scaler: {kind}")
 
 
-def _uniform(table: list[float]):
-    """Place in the quantile table, ties averaged from both sides; Arrow batches, no per-row Python."""
+def robust_affine(quartiles: Sequence[float] | None) -> tuple[float, float]:
+    low, middle, high = quartiles or (0.0, 0.0, 0.0)
+    return middle, _nonzero(high - low)
+
+
+def uniform_place(table: Sequence[float], v: np.ndarray) -> np.ndarray:
+    """Place in the quantile table, ties averaged from both sides; unknown stays unknown."""
     q, ref = np.asarray(table), np.linspace(0, 1, len(table))
+    up = np.interp(v, q, ref)
+    down = -np.interp(-v, -q[::-1], -ref[::-1])
+    out = 0.5 * (up + down)
+    out[v <= q[0]] = 0.0
+    out[v >= q[-1]] = 1.0
+    out[np.isnan(v)] = np.nan
+    return out
 
+
+def _uniform(table: list[float]):
+    """Arrow batches, no per-row Python."""
     @F.pandas_udf("double")
     def place(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(dtype=float)
-        up = np.interp(v, q, ref)
-        down = -np.interp(-v, -q[::-1], -ref[::-1])
-        out = 0.5 * (up + down)
-        out[v <= q[0]] = 0.0
-        out[v >= q[-1]] = 1.0
-        out[np.isnan(v)] = np.nan
-        return pd.Series(out)
+        return pd.Series(uniform_place(table, x.to_numpy(dtype=float)))
 
     return place
 

@@ -5,24 +5,28 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.layout import complete_rows
+from tidemill.ml.histograms import Bins, joint_counts, mutual_information
+from tidemill.ml.trees import bin_rows, importances
 from tidemill.operators.split import topk_features
 
 Scorer = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
 
 def _correlations(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
-    """``(feature, r, n)`` from one aggregation over complete rows."""
-    complete = complete_rows(df, [*features, y])
-    one = complete.agg(F.count(F.lit(1)).alias("n"),
-                       *[F.corr(f"`{f}`", f"`{y}`").alias(f"r{i}") for i, f in enumerate(features)])
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"r{i}").alias("r"), F.col("n").alias("n"))
-             for i, f in enumerate(features)]
+    """``(feature, r, n)`` of the rows with a target, unknown features taken for their mean; one aggregation.
+
+    With the mean filled in, a gap adds nothing to the products and the feature's squares, so sums over known values
+    are enough. This is what `tidemill.ml.gram.correlations` has from its sums.
+    """
+    target = F.nanvl(F.col(f"`{y}`").cast("double"), F.lit(None).cast("double"))
+    xs = [F.when(target.isNotNull(), F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double"))) for f in features]
+    one = df.agg(F.count(target).alias("n"), F.var_pop(target).alias("vy"), *[a for i, x in enumerate(xs) for a in (
+        F.count(x).alias(f"n{i}"), F.var_pop(x).alias(f"v{i}"), F.covar_pop(x, target).alias(f"c{i}"))])
+    rs = [F.sqrt(F.col(f"n{i}") / F.col("n")) * F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"v{i}")) * F.sqrt("vy")) for i in range(len(features))]
+    cells = [F.struct(F.lit(f).alias("feature"), r.alias("r"), F.col("n").alias("n")) for f, r in zip(features, rs)]
     return one.select(F.inline(F.array(*cells)))
 
 
@@ -30,7 +34,7 @@ def score_f(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     """F statistic of a one-feature fit; a constant feature scores 0."""
     r2 = F.col("r") * F.col("r")
     f = F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(
-        F.coalesce(F.try_divide(r2, 1 - r2), F.lit(math.inf)) * (F.col("n") - 2))
+        F.when(r2 >= 1, F.lit(math.inf)).otherwise(F.try_divide(r2, 1 - r2)) * (F.col("n") - 2))
     return _correlations(df, features, y).select("feature", f.alias("score"))
 
 
@@ -40,43 +44,21 @@ def score_pearson(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
 
 
 def score_mi(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) -> DataFrame:
-    """Mutual information of equal-width bins, in nats.
-
-    The joint counts of a feature have at most ``bins**2`` cells, so all but the first, partially
-    aggregated count is tiny.
-    """
+    """Mutual information of equal-width bins, in nats, over the rows that know the feature."""
     cols = [*features, y]
-    complete = complete_rows(df, cols)
-    ends = complete.agg(F.struct(*[f(F.col(f"`{c}`").cast("double")).alias(f"{n}{i}") for i, c in enumerate(cols)
-                                   for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
-
-    def binned(i: int, c: str):
-        low = ends.getField(f"lo{i}")
-        place = F.floor(F.try_divide(F.col(f"`{c}`").cast("double") - low, ends.getField(f"hi{i}") - low) * bins)
-        return F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
-
-    wide = complete.select(*[binned(i, c).alias(f"b{i}") for i, c in enumerate(cols)])
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"b{i}").alias("bx")) for i, f in enumerate(features)])
-    cells = (wide.select(F.col(f"b{len(features)}").alias("by"), F.inline(pairs))
-             .groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("c")))
-    cx, cy, n = (F.sum("c").over(Window.partitionBy(*by)) for by in (("feature", "bx"), ("feature", "by"), ("feature",)))
-    shares = cells.select("feature", "c", cx.alias("cx"), cy.alias("cy"), n.alias("n"))
-    part = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))
-    return shares.groupBy("feature").agg(F.greatest(F.sum(part), F.lit(0.0)).alias("score"))
+    xs = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols]
+    known = df.where(xs[-1].isNotNull())
+    ends = known.agg(*[f(x) for x in xs for f in (F.min, F.max)]).first()
+    widths = [Bins(float(ends[2 * i] or 0.0), float(ends[2 * i + 1] or 0.0), count=bins) for i in range(len(cols))]
+    counts = joint_counts(known, features, y, [widths[:-1]], widths[-1])
+    found = mutual_information(counts[0][0]) if counts else [0.0] * len(features)
+    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, found)], "feature string, score double")
 
 
 def score_importance(df: DataFrame, features: Sequence[str], y: str, seed: int = 42, **forest) -> DataFrame:
-    """Random forest importance; one number a feature comes back to the driver."""
-    # Names may hold dots, which MLlib does not take; a gap is filled with the feature's mean, no row is dropped.
-    xs = [F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f"_in{i}") for i, f in enumerate(features)]
-    known = df.select(*xs, F.col(f"`{y}`").cast("double").alias("_y")).filter("_y IS NOT NULL")
-    means = known.agg(*[F.avg(f"_in{i}") for i in range(len(features))]).first()
-    filled = known.fillna({f"_in{i}": float(m or 0.0) for i, m in enumerate(means)})
-    rows = VectorAssembler(inputCols=[f"_in{i}" for i in range(len(features))], outputCol="_x").transform(filled)
-    options = {"numTrees": 100, "maxDepth": 5, **forest}
-    model = RandomForestRegressor(featuresCol="_x", labelCol="_y", seed=seed, **options).fit(rows)
-    got = model.featureImportances.toArray()
-    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, got)], "feature string, score double")
+    """Random forest importance; one number a feature comes back to the driver. Gaps take the feature's mean."""
+    found = importances(bin_rows(df, features, y), [None], seed, **forest)[None]
+    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, found)], "feature string, score double")
 
 
 # Scorer names and how many features each keeps.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import ratio, seasonal_cos
 from tidemill.ml import registry
-from tidemill.ml.search import search_matrix
+from tidemill.ml.search import search_matrix, side_by_side
 from tidemill.operators.clean import check_columns, numeric_columns, proj_dedup_cols
 from tidemill.operators.evaluate import best_config, leaderboard, met_horizon
 from tidemill.operators.impute import imp_mean
@@ -71,12 +71,15 @@ def evaluate(df: DataFrame, s: Sequence[str], o: str, target: str, settings: Set
     """The whole evaluation over all series at once."""
     models = list(models or registry.MODELS)
     scalers, scorers = list(scalers or registry.SCALERS), list(scorers or registry.SCORERS)
-    frames, features = {}, {}
-    for lag in settings.lags:
+
+    def prepared(lag: int) -> tuple[tuple[DataFrame, DataFrame], list[str]]:
+        ready = preprocess(df, s, o, target, lag, settings)
         # Settled: the search reads a lag's rows many times.
-        ready = settle(preprocess(df, s, o, target, lag, settings))
-        train, test, features[lag] = split_data(ready, s, o, target, settings)
-        frames[lag] = (settle(train), settle(test))
+        train, test, names = split_data(settle(ready), s, o, target, settings)
+        return (settle(train), settle(test)), names
+
+    done = dict(zip(settings.lags, side_by_side(prepared, settings.lags)))
+    frames, features = {lag: f for lag, (f, _) in done.items()}, {lag: n for lag, (_, n) in done.items()}
     keys = [*s, o, "horizon"]
     results, predictions = search_matrix(frames, features, target, models, scalers, scorers, keys, settings.search_draws,
                                          settings.cv_splits, settings.seed, key, n_quantiles)
