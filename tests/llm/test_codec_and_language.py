@@ -141,3 +141,24 @@ def test_nothing_to_learn_from(spark):
     empty = frame(spark, [])
     assert empty.select(identify(empty, F.lit(True))("text").alias("p")).count() == 0
     assert classifier(spark, None) is not None
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Rows with one id, one text many times, and languages that have only long texts."""
+    import random
+
+    rng = random.Random(8)
+
+    def text(start, n):
+        return " ".join("".join(chr(start + rng.randrange(20)) for _ in range(4)) for _ in range(n))
+
+    rows = [(None, text(0x4E00, 30), "hh", "s0") for _ in range(800)] + [(k, text(0x61, 30), "aa", "s0") for k in range(800)]
+    rows += [(9, "слово одно и то же", "cc", "s0")] * 800 + [(5000 + k, text(0xAC00, 6_000), "kk", "s0") for k in range(3)]
+    docs = frame(spark, rows)
+    sample = labelled_sample(docs, F.lit(True)).collect()
+    count = {lang: sum(r["lang"] == lang for r in sample) for lang in ("hh", "aa", "cc", "kk")}
+    assert count == {"hh": 300, "aa": 300, "cc": 1, "kk": 3} and max(len(r["text"]) for r in sample) <= 20_000
+    assert {lang: sum(r["lang"] == lang for r in labelled_sample(docs, F.lit(True), max_texts=40).collect()) for lang in count} == {"hh": 10, "aa": 10, "cc": 1, "kk": 3}
+    model = fit(labelled_sample(docs, F.lit(True)))
+    asked = [text(0x4E00, 20), text(0x61, 20), "то же слово", text(0xAC00, 3_000)]
+    assert predict(model, Spectrum(model.letters), asked)[0] == ["hh", "aa", "cc", "kk"]

@@ -14,7 +14,7 @@ def test_stages_against_plain_python(spark, tmp_path):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "simhash_near_dedup", "personal_data", "source_mixing", "sentencepiece"]
 
-    known = stages.keep_known_languages(spark, docs, "", least_score=0.0)
+    known = stages.keep_known_languages(spark, docs, "", least_share=0.0)
     want = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     assert known.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in known.collect()) == Counter((i, t) for i, t, *_ in want)
@@ -80,3 +80,12 @@ def test_one_row_stays_of_each_group_whatever_the_ids(spark):
     single = stages.keep_one_of_near_copies(spark, frame(spark, rows), "")
     want = [(None, t) for t in alone] + [(5, t) for t in twice] + [(8, copied)]
     assert Counter((r["doc_id"], r["text"]) for r in single.collect()) == Counter(want)
+
+
+def test_default_threshold_keeps_short_clean_texts_and_lets_strange_ones_go(spark):
+    _, tongues, rng = texts(9)
+    rows = [(k, " ".join(rng.choice(tongues[lang]) for _ in range(rng.randint(20, 90))), lang, "s0") for k, lang in enumerate(sorted(tongues) * 60)]
+    short = [(1000 + k, " ".join(rng.choice(tongues[lang]) for _ in range(n)), None, "s1") for k, (lang, n) in enumerate((a, n) for a in sorted(tongues) for n in (1, 2, 3, 8))]
+    unknown = [(2000, "中文 字符", None, "s1"), (2001, "12 34", None, "s1")]
+    kept = {r["doc_id"] for r in stages.keep_known_languages(spark, frame(spark, rows + short + unknown), "").collect()}
+    assert {r[0] for r in rows + short} <= kept and 2001 not in kept

@@ -193,7 +193,19 @@ def test_urls_against_plain_python(spark):
     assert site_rule("block", "net/").regex
 
 
-def test_too_many_rules_are_refused(spark):
-    df = spark.createDataFrame([(1, "http://a")], "page_id long, url string")
+def test_rule_lists_of_any_size_and_any_host(spark):
+    urls = ["http://h7.com/a", "http://x.h19999.com/", "http://h20000.com/b", "http://h20001.com/", "http://a.münchen/1", "http://日本/x", "http://-/y", "http://com.h3/", "http://q.-/z"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    many = [("block", f"h{k}.com/") for k in range(20_001)] + [("block", "münchen/"), ("block", "日本/"), ("block", "-/"), ("allow", "h7.com/a")]
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge(df, ["page_id"], site_rules=many).select("row.page_id", "rule", "verdict").collect()}
+    assert found == {0: ("h7.com/a", "allow"), 1: ("h19999.com/", "block"), 2: ("h20000.com/", "block"), 3: (None, "allow"), 4: ("münchen/", "block"),
+                     5: ("日本/", "block"), 6: ("-/", "block"), 7: (None, "allow"), 8: ("-/", "block")}
     with pytest.raises(ValueError):
-        judge(df, ["page_id"], site_rules=tuple(("block", f"h{k}.com/") for k in range(20_001)))
+        judge(df, ["page_id"], site_rules=(("block", "a.b/"), ("allow", "a.b/")))
+
+
+def test_addresses_with_any_number_of_zeros():
+    text = "0" * 5_000 + ".1.1.1 and " + "0" * 5_000 + "300.1.1.1 and 0.0.0.0"
+    want = [("ip", 0, 5_006), ("ip", len(text) - 7, len(text))]
+    assert crf.base_spans(text) == want
+    assert crf.find(FIELD, [text])[0][0] is not None

@@ -128,7 +128,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not MARKED.search(text):
         return []
     found = [("email", s, e) for s, e in emails(text)]
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups())]
+    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(g) <= 3 and int(g or 0) <= 255 for g in (part.lstrip("0") for part in m.groups()))]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):

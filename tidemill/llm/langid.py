@@ -9,8 +9,10 @@ kernel ridge regression in that subspace. Only the n-grams of the landmarks are
 Text is lower-cased; everything that is not a letter is a blank, and blanks run together. An n-gram's code
 is made of its code points, 21 bits each, so no two letters of any script are taken for one another.
 
-The model is fitted on a bounded sample (``per_lang`` texts of at most ``max_chars`` characters for each
-language, chosen by the hash of the id, for at most ``MAX_LANGS`` languages); every text is scored, and whole.
+The model is fitted on a bounded sample: for each of at most ``MAX_LANGS`` languages ``per_lang`` different texts of at
+most ``max_chars`` characters, chosen by the hash of the text, and fewer a language where there are many, so that no
+more than ``MAX_TEXTS`` are gathered. A language that has only longer texts is learned from their first ``max_chars``
+characters. Every text is scored, and whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text where
 nothing could be learned; with one language learned, every other text is that; repeated rows are judged
@@ -36,6 +38,7 @@ UND = "und"
 MAX_LANGS = 2_000
 PER_LANG = 300
 MAX_CHARS = 20_000
+MAX_TEXTS = 6_000
 LANDMARKS = 96
 BLOCK = 256
 
@@ -79,21 +82,33 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def labelled_sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> DataFrame:
-    """At most ``per_lang`` rows a language: those with the smallest hash. A first cut by hash alone keeps the sort small."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("lang|"), key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    usable = learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars) & F.rlike(text_col, F.lit(r"\p{L}"))
-    n = {r["l"]: r["count"] for r in docs.where(usable).groupBy(F.col(lang_col).alias("l")).count().take(MAX_LANGS + 1)}
+def labelled_sample(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang",
+                    per_lang: int = PER_LANG, max_chars: int = MAX_CHARS, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """Different texts of every language, those with the smallest hash. A first cut by hash alone keeps the sort small."""
+    usable = learn & F.col(lang_col).isNotNull() & F.rlike(text_col, F.lit(r"\p{L}"))
+    key = F.md5(F.concat(F.lit("lang|"), text_col))
+    short = F.length(text_col) <= max_chars
+    # a text counts once, however many rows have it
+    kinds = docs.where(usable).select(F.col(lang_col).alias("l"), short.alias("short"), key.alias("key")).distinct().groupBy("l", "short").count()
+    n: dict[str, tuple[bool, int]] = {}
+    for r in kinds.take(2 * MAX_LANGS + 1):
+        if r["l"] not in n or r["short"]:
+            n[r["l"]] = (r["short"], r["count"])
     if len(n) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages: the model has a column for each")
     if not n:
         return docs.sparkSession.createDataFrame([], "lang string, text string, n int")
-    rate = F.element_at(F.create_map(*[x for lang, c in sorted(n.items()) for x in (F.lit(lang), F.lit((2.0 * per_lang + 50) / c))]), F.col(lang_col))
-    near = docs.where(usable & (draw < rate)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), key.alias("key"))
-    first = Window.partitionBy("lang").orderBy("draw", "key", "text")
-    return near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("lang", "text", "n")
+    each = max(2, min(per_lang, max_texts // len(n)))
+    # 2 * each + 50 texts are expected below the rate, so fewer than each (or than there are) do not happen
+    plan = F.create_map(*[x for lang, (is_short, c) in sorted(n.items()) for x in (
+        F.lit(lang), F.struct(F.lit(is_short).alias("short"), F.lit((2.0 * each + 50) / c).alias("rate")))])
+    mine = F.element_at(plan, F.col(lang_col))
+    draw = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    near = docs.where(usable & (short == mine["short"]) & (draw < mine["rate"])) \
+        .select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, max_chars).alias("text"), key.alias("key"))
+    once = near.groupBy("lang", "key").agg(F.first("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("key")
+    return once.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("lang", "text", "n")
 
 
 def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = 0.1) -> LanguageModel | None:
@@ -117,11 +132,14 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = 0.1) -> La
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = kernel(model, spectrum, [r[2] for r in rows]) @ root
     answers = np.where(np.array([r[0] for r in rows])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-    mean = features.mean(axis=0)
+    # every language counts the same, however few texts it has
+    sizes = {lang: sum(r[0] == lang for r in rows) for lang in langs}
+    share = np.array([len(rows) / len(langs) / sizes[r[0]] for r in rows])[:, None]
+    mean, level = (features * share).mean(axis=0), (answers * share).mean(axis=0)
     inner = features - mean
-    beta = np.linalg.solve(inner.T @ inner + ridge * np.eye(inner.shape[1]), inner.T @ (answers - answers.mean(axis=0)))
+    beta = np.linalg.solve((inner * share).T @ inner + ridge * np.eye(inner.shape[1]), (inner * share).T @ (answers - level))
     model.weights = root @ beta
-    model.bias = answers.mean(axis=0) - mean @ beta
+    model.bias = level - mean @ beta
     return model
 
 

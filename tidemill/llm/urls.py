@@ -6,12 +6,13 @@ blocked, any other allowed.
 
 Each rule is a regular expression with the literal tokens a matching url must contain. How often these
 tokens occur is counted over all urls, and the rule is filed under its rarest one. A url's own tokens
-then fetch the few rules filed under them, and only those run their expression. The index is as large
-as the rule list (refused beyond ``MAX_RULES``), so it travels inside the plan: judging is a narrow
-projection of the scan, without shuffle, join or broadcast.
+are looked up in that index by a join, broadcast where the rules are measured small, and only the rules so
+fetched run their expression; what a url costs does not grow with the list. The few matches are
+reduced to one row a url and joined back.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-allowed; repeated rows are judged one by one; ties in length go to the smaller rule text.
+allowed; repeated rows are judged one by one; ties in length go to the smaller rule text; a rule without any
+token is filed under a blank that every url has; two site rules of one text with other verdicts are refused.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 20_000
-TOKEN = r"[0-9A-Za-z]+"
+from tidemill.session import settle
+
+BROADCAST_CHARS = 32_000_000
+# letters and digits, and every character beyond ASCII
+TOKEN = r"[0-9A-Za-z\u0080-\x{10FFFF}]+"
+ALPHABET = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 # The site rules asked for, and the patterns that decide elsewhere.
 SITE_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -36,24 +41,26 @@ PATTERN_RULES = (
 
 @dataclass(frozen=True)
 class Rule:
+    """``literal``: text whose tokens every url has that the expression matches."""
+
     text: str
     verdict: str
     regex: str
-    tokens: tuple[str, ...]
+    literal: str
     site: bool
 
 
 def site_rule(verdict: str, text: str) -> Rule:
     """The host itself or any subdomain, then the path prefix, against ``//host path``."""
     host, slash, path = text.partition("/")
-    host = host.lower()
-    regex = r"^//(?:[^/]*\.)?" + re.escape(host) + re.escape(slash + path)
-    return Rule(text, verdict, regex, tuple(re.findall(TOKEN, host)), True)
+    host = host.translate(ALPHABET)
+    regex = r"^//(?:[^/]*\.)?" + re.escape(host) + (re.escape(slash + path) if slash else "(?:/|$)")
+    return Rule(text, verdict, regex, host, True)
 
 
 def pattern_rule(token: str, regex: str) -> Rule:
-    """``token``: a literal, lower case, that every url the pattern matches has as a token of its host or path."""
-    return Rule(regex, "block", regex, (token,), False)
+    """``token``: a literal that every url the pattern matches has as a token of its host or path."""
+    return Rule(regex, "block", regex, token, False)
 
 
 def host_of(url: Column) -> Column:
@@ -67,43 +74,51 @@ def path_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.regexp_extract(rest, r"^[^?#]*", 0)).otherwise(F.lit(""))
 
 
-def _tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(host, F.lit("/"), path)), F.lit(f"({TOKEN})"), 1))
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1))
+
+
+def rule_index(spark, rules: list[Rule], urls: DataFrame) -> DataFrame:
+    """text, verdict, regex, site, token: each rule under its token with the fewest urls (then the smallest token)."""
+    listed = spark.createDataFrame([(r.text, r.verdict, r.regex, r.literal, r.site) for r in rules],
+                                   "text string, verdict string, regex string, literal string, site boolean")
+    wanted = settle(listed.select("text", "verdict", "regex", "site", F.explode(F.when(F.size(_tokens(F.col("literal"))) > 0, _tokens(F.col("literal")))
+                                                                                 .otherwise(F.array(F.lit("")))).alias("token")))
+    kinds = small(wanted.select("token").distinct(), rules)
+    counts = urls.select(F.explode(url_tokens()).alias("token")).join(kinds, "token").groupBy("token").count()
+    counted = wanted.join(counts, "token", "left").withColumn("n", F.coalesce("count", F.lit(0)))
+    return settle(counted.groupBy("text", "verdict", "regex", "site").agg(F.min_by("token", F.struct("n", "token")).alias("token")))
+
+
+def url_tokens() -> Column:
+    """The tokens of host and path, and the blank."""
+    return F.concat(F.array(F.lit("")), _tokens(F.concat(F.col("host"), F.lit("/"), F.col("path"))))
 
 
-def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[str, str]:
-    """Rule text to its token with the fewest urls; tokens that no url has count 0. Reads every url, returns a row a token."""
-    wanted = sorted({t.lower() for r in rules for t in r.tokens})
-    known = F.array(*[F.lit(t) for t in wanted])
-    counts = urls.select(F.explode(F.array_intersect(_tokens(F.col("host"), F.col("path")), known)).alias("token")) \
-        .groupBy("token").count()
-    n = {r["token"]: r["count"] for r in counts.collect()}
-    return {r.text: min((t.lower() for t in r.tokens), key=lambda t: (n.get(t, 0), t)) for r in rules}
+def small(table: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Hinted for broadcast where the rules' characters are few; a longer list is left to an equi-join."""
+    size = sum(len(r.text) + len(r.regex) + len(r.literal) for r in rules)
+    return F.broadcast(table) if size <= BROADCAST_CHARS else table
 
 
 def judge(pages: DataFrame, row: list[str], url_col: str = "url", site_rules=SITE_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
     """Columns: row (a struct of the named columns), host, path, rule (site rule or null), pattern (or null), verdict."""
-    rules = [site_rule(v, t) for v, t in site_rules] + [pattern_rule(t, p) for t, p in pattern_rules]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit an index inside the plan")
+    verdicts: dict[str, str] = {}
+    for verdict, text in site_rules:
+        if verdicts.setdefault(text, verdict) != verdict:
+            raise ValueError(f"two verdicts for the rule {text!r}")
+    rules = list(dict.fromkeys([site_rule(v, t) for v, t in site_rules] + [pattern_rule(t, p) for t, p in pattern_rules]))
     url = F.coalesce(F.col(url_col), F.lit(""))
     split = pages.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     if not rules:
         return split.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("pattern"), F.lit("allow").alias("verdict"))
-    filed: dict[str, list[Rule]] = {}
-    for text, token in rarest_tokens(split, rules).items():
-        filed.setdefault(token, []).append(next(r for r in rules if r.text == text))
-    entry = lambda r: F.struct(F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"),
-                               F.lit(r.site).alias("site"))
-    index = F.create_map(*[x for token, rs in sorted(filed.items()) for x in (F.lit(token), F.array(*[entry(r) for r in rs]))])
-    keys = F.array(*[F.lit(t) for t in sorted(filed)])
     whole = F.concat(F.lit("//"), F.col("host"), F.col("path"))
-    fetched = F.flatten(F.transform(F.array_intersect(_tokens(F.col("host"), F.col("path")), keys), lambda t: F.element_at(index, t)))
-    found = split.withColumn("hits", F.filter(fetched, lambda r: F.rlike(F.when(r["site"], whole).otherwise(F.lower(whole)), r["regex"])))
-    longest = F.array_min(F.transform(F.filter("hits", lambda r: r["site"]),
-                                      lambda r: F.struct((-F.length(r["text"])).alias("n"), r["text"].alias("text"), r["verdict"].alias("verdict"))))
-    pattern = F.array_min(F.transform(F.filter("hits", lambda r: ~r["site"]), lambda r: r["text"]))
-    return found.withColumn("best", longest).withColumn("pattern", pattern).select(
+    index = small(rule_index(pages.sparkSession, rules, split), rules)
+    fetched = split.select("host", "path", F.explode(url_tokens()).alias("token")).join(index, "token")
+    hits = fetched.where(F.rlike(F.when(F.col("site"), whole).otherwise(F.lower(whole)), F.col("regex")))
+    longest = F.min(F.when(F.col("site"), F.struct((-F.length("text")).alias("n"), "text", "verdict")))
+    found = hits.groupBy("host", "path").agg(longest.alias("best"), F.min(F.when(~F.col("site"), F.col("text"))).alias("pattern"))
+    return split.join(found, ["host", "path"], "left").select(
         "row", "host", "path", F.col("best.text").alias("rule"), "pattern",
         F.coalesce(F.col("best.verdict"), F.when(F.col("pattern").isNotNull(), "block").otherwise("allow")).alias("verdict"))
 
