@@ -25,7 +25,7 @@ FEW = 16
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     wide = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    return wide.unpivot(list(by), list(cols), "column_name", "_v").filter(
+    return wide.unpivot([F.col(f"`{c}`") for c in by], [F.col(f"`{c}`") for c in cols], "column_name", "_v").filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
