@@ -199,3 +199,30 @@ def test_registered_searches_take_the_defaults(monkeypatch):
         assert set(args[5]) == {"BayesianRidge", "Lasso", "ElasticNet", "LinearRegression", "Ridge"}
     fitting.search_grid_tree(None, "")
     assert seen.pop()[1] == {}
+
+
+def test_rows_with_gaps_count_in_every_fit(spark, tmp_path):
+    from tidemill.sources import model_store
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 2))
+    y = 2 * x[:, 0] + x[:, 1] + 0.1 * rng.normal(size=200)
+    x[::2, 1] = np.nan
+    df = spark.createDataFrame([(i, float(a), None if np.isnan(b) else float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))],
+                               "t int, a double, `b.1` double, y double")
+    filled = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+    coef, start = ridge_any(filled, y, 0.5)
+    fitted = models.fit_ridge(df, ["a", "b.1"], "y", alpha=0.5)
+    assert list(fitted.model.coefficients) == pytest.approx(coef, rel=1e-6)
+    model_store.save_model(spark, fitted, str(tmp_path / "m"))
+    for model in (fitted, model_store.load_model(spark, str(tmp_path / "m"))):
+        got = {r["t"]: r["prediction"] for r in model.transform(df).collect()}
+        assert [got[i] for i in range(200)] == pytest.approx(filled @ coef + start)
+    for fit in (models.fit_tree, models.fit_linear, models.fit_lasso):
+        assert fit(df, ["a", "b.1"], "y").transform(df).where("prediction IS NULL").count() == 0
+
+
+def ridge_any(x, y, alpha):
+    xc = x - x.mean(0)
+    b = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ (y - y.mean()))
+    return b, y.mean() - x.mean(0) @ b

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.ml.gram import LinearFit, fit_from_gram, gram_blocks
-from tidemill.operators.layout import LEN, POS, complete_rows, number_rows
+from tidemill.operators.layout import LEN, POS, number_rows
 
 # The library's limit, and the depth that stands for "no limit" (None).
 MAX_TREE_DEPTH = 30
@@ -28,13 +28,14 @@ def tree_depth(depth: int | None) -> int:
 
 @dataclass
 class Fitted:
-    """A fitted pipeline with the plain names of its inputs."""
+    """A fitted pipeline with the plain names of its inputs and what stands for their gaps: the means of the train rows."""
 
     pipeline: PipelineModel
     features: tuple[str, ...]
+    fill: tuple[float, ...] = ()
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        got = self.pipeline.transform(_inputs(df, self.features)).drop("_x", *_safe(self.features))
+        got = self.pipeline.transform(_inputs(df, self.features, self.fill)).drop("_x", *_safe(self.features))
         return got if out == "prediction" else got.withColumnRenamed("prediction", out)
 
     @property
@@ -46,32 +47,40 @@ def _safe(features: Sequence[str]) -> list[str]:
     return [f"_in{i}" for i in range(len(features))]
 
 
-def _inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Feature names may hold dots and dashes, which MLlib does not take."""
-    return df.withColumns({n: F.col(f"`{f}`").cast("double") for n, f in zip(_safe(features), features)})
+def _inputs(df: DataFrame, features: Sequence[str], fill: Sequence[float] = ()) -> DataFrame:
+    """Feature names may hold dots and dashes, which MLlib does not take; a null or NaN takes the value in ``fill``."""
+    xs = [F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")) for f in features]
+    if fill:
+        xs = [F.coalesce(x, F.lit(float(v))) for x, v in zip(xs, fill)]
+    return df.withColumns(dict(zip(_safe(features), xs)))
 
 
 def _fit(train: DataFrame, features: Sequence[str], y: str, estimator) -> Fitted:
-    rows = _inputs(train, features).select(*_safe(features), F.col(f"`{y}`").cast("double").alias("_y"))
-    rows = complete_rows(rows)
+    """Every row with a target counts; gaps in features take the feature's mean over those rows."""
+    target = F.nanvl(F.col(f"`{y}`").cast("double"), F.lit(None).cast("double"))
+    known = train.withColumn("_y", target).filter("_y IS NOT NULL")
+    means = _inputs(known, features).agg(*[F.avg(c) for c in _safe(features)]).first()
+    fill = tuple(float(m or 0.0) for m in means)
+    rows = _inputs(known, features, fill).select(*_safe(features), "_y")
     assembler = VectorAssembler(inputCols=_safe(features), outputCol="_x", handleInvalid="keep")
     model = estimator.setFeaturesCol("_x").setLabelCol("_y").setPredictionCol("prediction").fit(assembler.transform(rows))
-    return Fitted(PipelineModel(stages=[assembler, model]), tuple(features))
+    return Fitted(PipelineModel(stages=[assembler, model]), tuple(features), fill)
 
 
 def fit_linear(train: DataFrame, features: Sequence[str], y: str) -> Fitted:
     return _fit(train, features, y, LinearRegression(regParam=0.0, solver="normal"))
 
 
-def _target_spread(train: DataFrame, features: Sequence[str], y: str) -> tuple[int, float]:
-    """Complete rows and the target's spread; MLlib's L2 penalty is relative to that spread."""
-    n, sd = complete_rows(train, [*features, y]).agg(F.count(F.lit(1)), F.stddev_pop(f"`{y}`")).first()
+def _target_spread(train: DataFrame, y: str) -> tuple[int, float]:
+    """Rows with a target and its spread; MLlib's L2 penalty is relative to that spread."""
+    target = F.nanvl(F.col(f"`{y}`").cast("double"), F.lit(None).cast("double"))
+    n, sd = train.agg(F.count(target), F.stddev_pop(target)).first()
     return max(n, 1), float(sd or 0.0)
 
 
 def fit_ridge(train: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> Fitted:
     """L2 penalty ``alpha * |b|^2`` against the sum of squares; MLlib penalises the mean."""
-    n, sd = _target_spread(train, features, y)
+    n, sd = _target_spread(train, y)
     return _fit(train, features, y, LinearRegression(
         regParam=float(alpha) * sd / n, elasticNetParam=0.0, standardization=False, solver="normal"))
 
@@ -85,7 +94,7 @@ def fit_lasso(train: DataFrame, features: Sequence[str], y: str, alpha: float =
 def fit_elasticnet(train: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, l1_ratio: float = 0.5,
                    tol: float = 1e-10, max_iter: int = 1000) -> Fitted:
     """``alpha * (l1_ratio * |b| + (1 - l1_ratio) / 2 * b^2)`` against half the mean square."""
-    _, sd = _target_spread(train, features, y)
+    _, sd = _target_spread(train, y)
     l1, l2 = float(alpha) * l1_ratio, float(alpha) * (1 - l1_ratio) * sd
     total = l1 + l2
     return _fit(train, features, y, LinearRegression(

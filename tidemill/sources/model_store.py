@@ -29,7 +29,7 @@ def load(path: str) -> PipelineModel:
 def save_model(spark: SparkSession, model: Fitted | LinearFit | MultiOutput | NearestNeighbours, path: str) -> None:
     if isinstance(model, Fitted):
         save(model.pipeline, f"{path}/pipeline")
-        about = {"kind": "pipeline", "features": model.features}
+        about = {"kind": "pipeline", "features": model.features, "fill": model.fill}
     elif isinstance(model, LinearFit):
         about = {"kind": "linear", "fits": [asdict(model)]}
     elif isinstance(model, MultiOutput):
@@ -47,7 +47,7 @@ def load_model(spark: SparkSession, path: str) -> Fitted | LinearFit | MultiOutp
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     kind = about.pop("kind")
     if kind == "pipeline":
-        return Fitted(load(f"{path}/pipeline"), tuple(about["features"]))
+        return Fitted(load(f"{path}/pipeline"), tuple(about["features"]), tuple(about.get("fill", ())))
     if kind == "neighbours":
         return NearestNeighbours(spark.read.parquet(f"{path}/train"), tuple(about.pop("features")), **about)
     fits = [LinearFit(tuple(f["features"]), tuple(f["coef"]), f["intercept"], tuple(f["fill"])) for f in about["fits"]]
