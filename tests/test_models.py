@@ -226,3 +226,36 @@ def ridge_any(x, y, alpha):
     xc = x - x.mean(0)
     b = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ (y - y.mean()))
     return b, y.mean() - x.mean(0) @ b
+
+
+def smooth_plain(x, horizon, steps=9):
+    rates = np.linspace(0.1, 0.9, steps)
+    best = None
+    for b in np.concatenate([[0.0], rates]):
+        for a in rates:
+            level, trend, sse = x[0], 0.0, 0.0
+            for v in x[1:]:
+                ahead = level + trend
+                sse += (v - ahead) ** 2
+                new = a * v + (1 - a) * ahead
+                level, trend = new, b * (new - level) + (1 - b) * trend
+            if best is None or sse < best[0]:
+                best = sse, level, trend
+    return [best[1] + h * best[2] for h in range(1, horizon + 1)]
+
+
+def test_smoothing_composed_of_pieces_equals_the_whole_run(spark):
+    rng = np.random.default_rng(4)
+    series = {"long": 700, None: 90, "one": 1, "two": 2, "flat": 50}
+    data = {k: (np.full(n, 3.0) if k == "flat" else 1000 + np.cumsum(rng.normal(size=n)) + np.arange(n) * 0.3) for k, n in series.items()}
+    rows = [(k, i, float(v)) for k, x in data.items() for i, v in enumerate(x)]
+    # points without a value are left out; a series of none gives no rows
+    rows += [("long", 10_000, None), ("long", -5, float("nan")), ("empty", 1, None)]
+    df = spark.createDataFrame(rows, "s string, t int, x double").repartition(4)
+    for args in ({}, {"piece_rows": 7, "fan": 3}, {"piece_rows": 1, "fan": 10}, {"piece_rows": 20, "fan": 2, "max_rows": 40}):
+        got = models.fit_expsmooth(df, ["s"], "t", "x", 5, **args).toPandas()
+        assert set(got["s"].where(got["s"].notna(), None)) == set(data) and len(got) == 5 * len(data)
+        for k, x in data.items():
+            mine = got[got["s"].isna() if k is None else got["s"] == k].sort_values("horizon")
+            assert list(mine["prediction"]) == pytest.approx(smooth_plain(x, 5), rel=1e-9), (k, args)
+    assert models.fit_expsmooth(df.limit(0), ["s"], "t", "x", 5).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import joins, timeseries as ts
-from tidemill.operators.layout import LEN, POS, number_rows
+from tidemill.operators.layout import LEN, POS, cut_series, number_rows
 from tidemill.operators.reshape import month_to_weeks, reshape_asfreq
 
 S, O = ["s"], "t"
@@ -63,6 +63,40 @@ def test_cut_series_give_the_same_rows(frame, name):
     same(values(run(frame, None), *cols), values(run(frame, 50), *cols))
 
 
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """A hot series most of whose rows have one time or none, told apart by further columns, one of them text."""
+    rng = np.random.default_rng(3)
+    rows = [("hot", None if i % 10 == 0 else 5 if i % 10 < 8 else int(rng.integers(0, 900)), None if i % 7 == 0 else i % 3, f"{i:07d}",
+             None if rng.random() < 0.1 else float(rng.normal())) for i in range(1500)]
+    rows += [("a", i, 0, "x", float(i)) for i in range(20)]
+    return spark.createDataFrame(rows, "s string, t long, u int, v string, x double").repartition(5).cache()
+
+
+def test_rows_of_one_time_are_cut_by_the_rest_of_the_key(crowded):
+    key = ["t", "u", "v"]
+    cut = cut_series(crowded, S, key, 50)
+    sizes = {r[1]: r[2] for r in cut.per_piece(S, F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == 1500 and max(sizes.values()) <= 120 and len(sizes) <= cut.rows
+    # pieces follow the key
+    rows = cut.df.filter("s = 'hot'").orderBy(*[F.col(c).asc_nulls_last() for c in key]).select("_piece").collect()
+    assert [r[0] for r in rows] == sorted(r[0] for r in rows)
+
+    def by_key(df, *cols):
+        return {tuple(r[:4]): tuple(r[4:]) for r in df.select("s", *key, *cols).collect()}
+
+    ops = {
+        "place": (lambda m: number_rows(crowded, S, key, m), [POS, LEN]),
+        "ffill": (lambda m: ts.win_ffill(crowded, S, key, ["x"], m), ["x"]),
+        "bfill": (lambda m: ts.win_bfill(crowded, S, key, ["x"], m), ["x"]),
+        "lags": (lambda m: ts.win_lag_features(crowded, S, key, ["x"], 3, dropna=False, max_rows=m), ["x-1", "x-3"]),
+        "expanding": (lambda m: ts.win_expanding_mean(crowded, S, key, "x", max_rows=m), ["past_values"]),
+    }
+    for name, (run, cols) in ops.items():
+        cols = [f"`{c}`" for c in cols]
+        same(by_key(run(None), *cols), by_key(run(50), *cols))
+
+
 def test_smoothers_match_pandas(frame):
     pdf = frame.filter("s = 'hot'").toPandas().sort_values("t").set_index("t")["x"]
     df = frame.filter("s = 'hot'")

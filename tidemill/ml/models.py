@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.ml.gram import LinearFit, fit_from_gram, gram_blocks
-from tidemill.operators.layout import LEN, POS, number_rows
+from tidemill.operators.layout import LEN, POS, names, number_rows
+from tidemill.session import settle
 
 # The library's limit, and the depth that stands for "no limit" (None).
 MAX_TREE_DEPTH = 30
@@ -171,39 +172,91 @@ def fit_seasonal_naive(train: DataFrame, s: Sequence[str], o: str, y: str, horiz
     return out.withColumn("horizon", F.col("horizon").cast("int"))
 
 
-def fit_expsmooth(train: DataFrame, s: Sequence[str], o: str, y: str, horizon: int, max_points: int = 1_000_000,
-                  steps: int = 9) -> DataFrame:
-    """Exponential smoothing with trend, a fit per series; rows ``(series, horizon, prediction)``.
+def _rates(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a level rate and a trend rate."""
+    rates = np.linspace(0.1, 0.9, steps)
+    a, b = (m.ravel() for m in np.meshgrid(rates, np.concatenate([[0.0], rates])))
+    return a, b
+
+
+def _advance(values: np.ndarray, steps: int, level: np.ndarray, trend: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run the recursion of every rate pair over ``values``.
 
-    The recursion is sequential, so a series is one task's work. It is meant for series on a
-    calendar grid; ``max_points`` rejects anything longer before it is gathered.
+    Level and trend are rows of coefficients, one row a rate pair, of what is not known yet; the last one is
+    the constant. Returns both in that form, (pairs, 2, n), and the errors' sum of products, (pairs, n, n).
     """
-    sizes = train.groupBy(*s).agg(F.count(F.lit(1)).alias("_n"))
-    longest = sizes.agg(F.max("_n")).first()[0] or 0
-    if longest > max_points:
-        raise ValueError(f"a series has {longest} points; bring it to a coarser grid first")
-    fields = {f.name: f.dataType.simpleString() for f in train.schema.fields}
-    schema = ", ".join([*[f"`{c}` {fields[c]}" for c in s], "horizon int", "prediction double"])
-    keys, order, target = list(s), o, y
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[target].dropna().to_numpy(dtype=float)
-        if len(x) == 0:
-            return pd.DataFrame({**{k: [] for k in keys}, "horizon": [], "prediction": []})
-        rates = np.linspace(0.1, 0.9, steps)
-        a, b = (m.ravel() for m in np.meshgrid(rates, np.concatenate([[0.0], rates])))
-        # All rate pairs advance together, one vector step a point.
-        level, trend = np.full(len(a), x[0]), np.zeros(len(a))
-        sse = np.zeros(len(a))
-        for value in x[1:]:
+    a, b = (m[:, None] for m in _rates(steps))
+    constant = np.zeros(level.shape[1])
+    constant[-1] = 1.0
+    cost = np.zeros((len(a), level.shape[1], level.shape[1]))
+    for start in range(0, len(values), 256):
+        part = values[start:start + 256]
+        errors = np.empty((len(part), *level.shape))
+        for i, value in enumerate(part):
             ahead = level + trend
-            sse += (value - ahead) ** 2
-            new = a * value + (1 - a) * ahead
+            errors[i] = value * constant - ahead
+            new = a * value * constant + (1 - a) * ahead
             trend = b * (new - level) + (1 - b) * trend
             level = new
-        best = int(np.argmin(sse))
-        h = np.arange(1, horizon + 1)
-        out = {k: [pdf[k].iloc[0]] * horizon for k in keys}
-        return pd.DataFrame({**out, "horizon": h, "prediction": level[best] + h * trend[best]})
+        cost += np.einsum("nki,nkj->kij", errors, errors)
+    return np.stack([level, trend], axis=1), cost
+
+
+def _compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two neighbouring pieces as one: maps chain, the later errors are rewritten in the earlier piece's unknowns."""
+    (move, cost), (later, later_cost) = first, then
+    n = move.shape[2]
+    constant = np.zeros((len(move), 1, n))
+    constant[:, 0, -1] = 1.0
+    entry = np.concatenate([move, constant], axis=1)
+    return later @ entry, cost + entry.transpose(0, 2, 1) @ later_cost @ entry
 
-    return train.select(*s, o, y).groupBy(*s).applyInPandas(smooth, schema)
+
+def fit_expsmooth(train: DataFrame, s: Sequence[str], o: str | Sequence[str], y: str, horizon: int, max_rows: int | None = None,
+                  piece_rows: int = 10_000, fan: int = 64, steps: int = 9) -> DataFrame:
+    """Exponential smoothing with trend, a fit per series; rows ``(series, horizon, prediction)``.
+
+    For fixed rates a run of points maps (level, trend) affinely, and its squared error is a quadratic form
+    of them. So a long series is worked off in pieces of ``piece_rows`` points side by side, and neighbouring
+    pieces are composed, ``fan`` at a time, until one a series is left. The first piece knows its state, so
+    a series of one piece is an ordinary run. The rate pair with the smallest error forecasts. Points
+    without a value are left out; rows of one time are ordered by value. ``max_rows`` is that of `number_rows`.
+    """
+    x = F.nanvl(F.col(f"`{y}`").cast("double"), F.lit(None).cast("double"))
+    known = train.select(*s, *names(o), x.alias("_x")).filter("_x IS NOT NULL")
+    fields = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    keys, order = [f"`{c}` {fields[c]}" for c in s], [*names(o), "_x"]
+    cut = number_rows(known, s, order, max_rows).select(*s, "_x", POS, LEN, F.floor(F.col(POS) / piece_rows).alias("_part"))
+    pairs = len(_rates(steps)[0])
+    schema = ", ".join([*keys, "_part long", f"{LEN} long", "move array<double>", "cost array<double>"])
+
+    def row(pdf: pd.DataFrame, part: int, move: np.ndarray, cost: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**{c: pdf[c].iloc[:1].to_numpy() for c in s}, "_part": [part], LEN: pdf[LEN].iloc[:1].to_numpy(),
+                             "move": [move.ravel()], "cost": [cost.ravel()]})
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values(POS)["_x"].to_numpy(dtype=float)
+        part = int(pdf["_part"].iloc[0])
+        # The first piece enters with its first value and no trend; the others with both unknown.
+        entry = np.array([[values[0]], [0.0]]) if part == 0 else np.eye(2, 3)
+        level, trend = (np.repeat(e[None], pairs, axis=0) for e in entry)
+        return row(pdf, part, *_advance(values, steps, level, trend))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for move, cost in pdf.sort_values("_part")[["move", "cost"]].itertuples(index=False):
+            move = np.asarray(move).reshape(pairs, 2, -1)
+            piece = move, np.asarray(cost).reshape(pairs, move.shape[2], -1)
+            total = piece if total is None else _compose(total, piece)
+        return row(pdf, int(pdf["_part"].min()) // fan, *total)
+
+    done = settle(cut.groupBy(*s, "_part").applyInPandas(summarise, schema))
+    last = done.agg(F.max("_part")).first()[0] or 0
+    whole, open_ = done.filter(F.col(LEN) <= piece_rows), done.filter(F.col(LEN) > piece_rows)
+    while last > 0:
+        open_ = settle(open_.groupBy(*s, F.floor(F.col("_part") / fan).alias("_group")).applyInPandas(merge, schema))
+        last //= fan
+    best = F.array_position("cost", F.array_min("cost")).cast("int")
+    state = whole.unionByName(open_).select(*s, F.element_at("move", 2 * best - 1).alias("_level"), F.element_at("move", 2 * best).alias("_trend"))
+    ahead = state.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return ahead.select(*s, "horizon", (F.col("_level") + F.col("horizon") * F.col("_trend")).alias("prediction"))

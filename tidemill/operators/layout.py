@@ -9,14 +9,16 @@ equal-depth pieces of time and work per piece:
 * running values take the total of all earlier pieces from a small table (`running`, `fill`).
 
 Both give exactly the rows of the ordinary window. Rows of a series must be told apart by the order
-columns; the first of them sets the cut, so rows of one time stay in one piece. The number of pieces is
-the longest series' rows over ``max_rows``.
+columns. The first of them sets the cut; a time that alone holds several pieces' rows is a piece of its own
+and is cut again by the columns after it, and so on through the whole key. (Text is cut by its first seven
+bytes, and rows equal in those stay together.) The number of pieces is the longest series' rows over
+``max_rows``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from math import ceil
 
@@ -74,6 +76,24 @@ class CutPoints:
     # Pieces of each long series, and how many long series there are.
     pieces: int = 1
     series: int = 0
+    # How pieces of a single time are cut by the rest of the key, where any is too long.
+    rest: CutPoints | None = None
+
+    @property
+    def width(self) -> int:
+        """Numbers a piece's parts may take."""
+        return self.rest.span if self.rest else 1
+
+    @property
+    def span(self) -> int:
+        """Numbers all pieces of a series may take: times between two points, times on a point, no time."""
+        return (2 * self.pieces + 1) * self.width
+
+    @property
+    def rows(self) -> int:
+        """A bound of the pieces of all long series together."""
+        inner = self.rest.rows if self.rest else 0
+        return self.series * (2 * self.pieces + 1) + inner
 
 
 def row_bytes(kind: T.DataType) -> int:
@@ -102,36 +122,74 @@ class Cut:
         return self.df.filter(F.col(PIECE) >= 0).groupBy(*s, PIECE).agg(*aggs)
 
 
+def _axis(df: DataFrame, col: str) -> Column:
+    """A column that percentiles can be taken of, in the order of ``col``."""
+    if not isinstance(df.schema[col].dataType, T.StringType):
+        return F.col(col)
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def plan_cut(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int) -> CutPoints:
-    """Find the long series and the times that split them into about equally many rows.
+    """Find the long series and the keys that split them into about equally many rows.
 
     The longest series sets the number of pieces: its rows over ``max_rows``."""
-    first = names(o)[0]
+    first, *others = names(o)
     hot = settle(long_series(df, s, max_rows))
     n_hot, longest = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
     if n_hot == 0:
         return CutPoints(max_rows, None)
     pieces = ceil(longest / max_rows)
-    levels = ",".join(f"{i / pieces!r}D" for i in range(1, pieces))
-    hot_rows = join_null_safe(df.select(*s, first), F.broadcast(hot) if fits_broadcast(n_hot, hot.schema) else hot, s)
-    points = settle(hot_rows.groupBy(*s).agg(
-        F.expr(f"percentile_approx(`{first}`, array({levels}), {10 * pieces})").alias("_points")))
-    return CutPoints(max_rows, points, pieces, n_hot)
+    hot_rows = join_null_safe(df.select(*s, *names(o)), F.broadcast(hot) if fits_broadcast(n_hot, hot.schema) else hot, s)
+    levels = f"transform(sequence(1, {max(pieces - 1, 1)}), i -> i / {pieces}D)"
+    keyed = hot_rows.withColumn("_key", _axis(df, first))
+    points = settle(keyed.groupBy(*s).agg(
+        F.expr(f"coalesce(percentile_approx(_key, {levels}, {10 * pieces}), array())").alias("_points"),
+        F.count_if(F.col("_key").isNull()).alias("_nulls")))
+    plan = CutPoints(max_rows, points.drop("_nulls"), pieces, n_hot)
+    repeated = F.size(F.array_distinct("_points")) < F.size("_points")
+    if not others or isinstance(df.schema[first].dataType, T.StringType) \
+            or points.filter(repeated | (F.col("_nulls") > max_rows)).isEmpty():
+        return plan
+    place = _place_name(others)
+    single = _place(hot_rows.drop("_n"), s, first, plan, place).filter("_on_point")
+    rest = plan_cut(single.select(*s, place, *others), [*s, place], others, max_rows)
+    return replace(plan, rest=rest if rest.points is not None else None)
+
+
+def _place_name(others: Sequence[str]) -> str:
+    """A name for each depth of the cut."""
+    return f"_place{len(others)}"
+
+
+def _place(df: DataFrame, s: Sequence[str], first: str, plan: CutPoints, out: str) -> DataFrame:
+    """Add ``out``, the place among the points (-1 for ordinary series), and whether the row lies on one."""
+    small = plan.series * plan.pieces * 16 <= BROADCAST_BYTES
+    joined = join_null_safe(df, F.broadcast(plan.points) if small else plan.points, s, "left")
+    value, pts = _axis(df, first), F.col("_points")
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, plan.pieces.bit_length())))])
+    passed = F.aggregate(strides, F.lit(0), lambda found, stride: found + F.when(
+        F.coalesce(F.get(pts, found + stride - 1) <= value, F.lit(False)), stride).otherwise(F.lit(0)))
+    on_point = value.isNull() | F.coalesce(F.get(pts, F.col("_passed") - 1) == value, F.lit(False))
+    outer = F.when(pts.isNull(), -1).when(value.isNull(), 2 * plan.pieces) \
+        .otherwise(2 * F.col("_passed") - F.when(on_point, 1).otherwise(0))
+    return joined.withColumn("_passed", passed).withColumns({out: outer.cast("long"), "_on_point": pts.isNotNull() & on_point}) \
+        .drop("_points", "_passed")
 
 
 def cut_series(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int | CutPoints) -> Cut:
-    """Cut long series into increasing pieces of time: a binary search for each row's piece."""
+    """Cut long series into increasing pieces of the order key: a binary search for each row's piece."""
     plan = max_rows if isinstance(max_rows, CutPoints) else plan_cut(df, s, o, max_rows)
     if plan.points is None:
-        return Cut(df.withColumn(PIECE, F.lit(-1)), 0)
-    small = plan.series * plan.pieces * 16 <= BROADCAST_BYTES
-    joined = join_null_safe(df, F.broadcast(plan.points) if small else plan.points, s, "left")
-    value, pts = F.col(names(o)[0]), F.col("_points")
-    strides = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, (plan.pieces - 1).bit_length())))])
-    passed = F.aggregate(strides, F.lit(0), lambda found, stride: found + F.when(
-        F.coalesce(F.get(pts, found + stride - 1) <= value, F.lit(False)), stride).otherwise(F.lit(0)))
-    piece = F.when(pts.isNull(), -1).when(value.isNull(), plan.pieces).otherwise(passed)
-    return Cut(joined.withColumn(PIECE, piece.cast("int")).drop("_points"), plan.series * (plan.pieces + 1))
+        return Cut(df.withColumn(PIECE, F.lit(-1).cast("long")), 0)
+    first, *others = names(o)
+    place = _place_name(others) if plan.rest else PIECE
+    placed = _place(df, s, first, plan, place).drop("_on_point")
+    if plan.rest is None:
+        return Cut(placed, plan.rows)
+    inner = cut_series(placed, [*s, place], others, plan.rest).df
+    within = F.greatest(F.col(PIECE), F.lit(0))
+    piece = F.when(F.col(place) < 0, F.col(place)).otherwise(F.col(place) * plan.width + within)
+    return Cut(inner.withColumn(PIECE, piece).drop(place), plan.rows)
 
 
 def _piece_window(s: Sequence[str], start: int, end: int) -> WindowSpec:
@@ -242,8 +300,8 @@ def fill(
         w = series_window(s, o).rowsBetween(*frame)
         return _add(df, {n: pick(c, ignorenulls=True).over(w) for n, c in values.items()})
     cut = cut_series(df, s, o, max_rows)
-    # Null order values sort last in the window; the flag makes the struct sort the same way.
-    rank = F.struct(F.col(names(o)[0]).isNull(), *[F.col(c) for c in names(o)])
+    # Null order values sort last in the window; the flags make the struct sort the same way.
+    rank = F.struct(*[x for c in names(o) for x in (F.col(c).isNull(), F.col(c))])
     edge = F.max_by if forward else F.min_by
     ends = cut.per_piece(s, *[edge(c, F.when(c.isNotNull(), rank)).alias(f"_t_{n}") for n, c in values.items()])
     side = _piece_window(s, Window.unboundedPreceding, -1) if forward else _piece_window(s, 1, Window.unboundedFollowing)

@@ -340,7 +340,20 @@ def fit_seasonal_naive(spark, d):
     return models.fit_seasonal_naive(weekly_panel(spark, d), S, O, Y, 78, 52)
 
 
-@query("fit_expsmooth")
+def smooth_sql(rows: str) -> str:
+    """The recursion itself over ``rows`` (key, rn, x), for every rate pair; then the pair with the smallest error."""
+    return f"""rates AS (SELECT i * 9 + j AS pair, 0.1::DOUBLE + j * 0.1::DOUBLE AS a, CASE WHEN i = 0 THEN 0 ELSE 0.1::DOUBLE + (i - 1) * 0.1::DOUBLE END AS b
+  FROM range(0, 10) r(i), range(0, 9) q(j)),
+run AS (SELECT key, rn, pair, a, b, x AS level, 0::DOUBLE AS trend, 0::DOUBLE AS sse FROM {rows}, rates WHERE rn = 1
+  UNION ALL SELECT key, rn, pair, a, b, new, b * (new - level) + (1 - b) * trend, sse + err * err
+  FROM (SELECT r.key, p.rn, pair, a, b, level, trend, sse, p.x - (level + trend) AS err, a * p.x + (1 - a) * (level + trend) AS new
+    FROM run r JOIN {rows} p ON p.key = r.key AND p.rn = r.rn + 1)),
+ends AS (SELECT key, arg_min(level, (sse, pair)) AS level, arg_min(trend, (sse, pair)) AS trend
+  FROM run JOIN (SELECT key, max(rn) AS rn FROM {rows} GROUP BY key) USING (key, rn) GROUP BY key)"""
+
+
+@query("fit_expsmooth", f"""WITH RECURSIVE {PLACED}, points AS (SELECT series AS key, rn, CAST(litres AS DOUBLE) AS x FROM placed), {smooth_sql("points")}
+SELECT key AS series, CAST(h AS INTEGER) AS horizon, {rsql("level + h * trend", 2, "prediction")} FROM ends, range(1, 53) r(h)""")
 def fit_expsmooth(spark, d):
     out = models.fit_expsmooth(weekly_panel(spark, d), S, O, Y, 52)
     return out.withColumn("prediction", half_up("prediction", 2))
