@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidemill.streaming import sensor
-from tidemill.sources.upsert import read_keyed
+from tidemill.sources.upsert import Folder, Run, keep_first, merge_keyed, read_keyed, read_recent
 
 
 def hours(n, start=dt.datetime(2024, 3, 1)):
@@ -65,3 +65,44 @@ def test_late_rows_and_repeats(spark, tmp_path):
     writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck"))
     sensor.st_hourly(writer, available_now=True).start().awaitTermination()
     assert spark.read.parquet(out).agg(F.count("*")).first()[0] == 50
+
+
+def test_merges_write_only_their_own_rows_and_old_runs_go(spark, tmp_path):
+    path, key, cols = str(tmp_path / "table"), ["series", "time"], ["a", "b"]
+    schema = "series string, time timestamp, a double, b double, seq long"
+    start = dt.datetime(2024, 3, 1)
+    batches, seq = [], 0
+    for n in range(10):
+        rows = []
+        for i in range(30):
+            seq += 1
+            at = start + dt.timedelta(hours=(n * 17 + i * 5) % 120)
+            rows.append((None if i % 11 == 0 else "s", at, None if (i + n) % 3 else float(seq), None if i % 2 else -float(seq), seq))
+        batches.append([*rows, ("s", None, 1.0, 1.0, 0)])
+    folder = Folder(spark, path)
+    for n, rows in enumerate(batches):
+        before = {r.name for r in folder.runs()[0]}
+        batch = spark.createDataFrame(rows, schema)
+        merge_keyed(batch, path, key, cols, "time", "seq", fan=3)
+        merge_keyed(batch, path, key, cols, "time", "seq", fan=3)
+        live, stale = folder.runs()
+        assert len(live) <= 6 and len(stale) <= 7
+        if n == 0:
+            assert [r.level for r in live] == [0, 0]
+            keys = {(s, t) for s, t, *_ in rows if t is not None}
+            assert folder.read(live[:1]).count() == len(keys)
+        assert before != {r.name for r in live}
+    assert [r.level for r in folder.runs()[0]] == [2, 2, 0, 0]
+    known = spark.createDataFrame([r for b in batches for r in b], schema).filter("time IS NOT NULL")
+    want = {tuple(r) for r in keep_first(known, key, cols, ["seq"]).collect()}
+    assert {tuple(r) for r in read_keyed(spark, path).collect()} == want
+    day = (start + dt.timedelta(days=3)).date()
+    assert {tuple(r) for r in read_recent(spark, path, day).collect()} == {r for r in want if r[1].date() >= day}
+    # what a lost writer leaves behind does not count, and goes with the next merge
+    lost = Run(1, 20, 3)
+    folder.write(folder.read(folder.runs()[0][:1]).select("_key", "_value", "part_date").limit(1), lost)
+    folder._fs.delete(folder._at(f"{path}/{lost.name}/_SUCCESS"), False)
+    assert {tuple(r) for r in read_keyed(spark, path).collect()} == want
+    merge_keyed(spark.createDataFrame(batches[0], schema).limit(0), path, key, cols, "time", "seq", fan=3)
+    assert {tuple(r) for r in read_keyed(spark, path).collect()} == want
+    assert lost not in folder.runs()[1]

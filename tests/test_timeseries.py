@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import joins, timeseries as ts
+from tidemill.operators import joins, layout, timeseries as ts
 from tidemill.operators.layout import LEN, POS, cut_series, number_rows
 from tidemill.operators.reshape import month_to_weeks, reshape_asfreq
 
@@ -97,6 +97,23 @@ def test_rows_of_one_time_are_cut_by_the_rest_of_the_key(crowded):
         same(by_key(run(None), *cols), by_key(run(50), *cols))
 
 
+def test_cuts_of_few_points_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(layout, "FAN", 4)
+    # 1,500 rows in pieces of 40, of which one time holds 300 and 30 rows have no time
+    rows = [("hot", None if i < 30 else 500 if i < 330 else i, i, float(i % 7)) for i in range(1500)] + [("cold", i, i, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "s string, t int, n int, x double").repartition(5)
+    plan = layout.plan_cut(df, S, ["t", "n"], 40)
+    assert plan.pieces == 4 and plan.finer is not None and plan.rest is not None
+    cut = layout.cut_series(df, S, ["t", "n"], plan)
+    got = cut.df.filter("s = 'hot'").orderBy(F.col("t").asc_nulls_last(), "n").select("_piece").collect()
+    pieces = [r[0] for r in got]
+    assert len(pieces) == 1500 and pieces == sorted(pieces) and min(pieces) >= 0
+    assert max(pieces.count(p) for p in set(pieces)) <= 80 and len(set(pieces)) <= cut.rows
+    assert {r[0] for r in cut.df.filter("s = 'cold'").select("_piece").collect()} == {-1}
+    one, many = (ts.win_expanding_mean(df, S, ["t", "n"], "x", max_rows=m).select("s", "n", "past_values").collect() for m in (None, plan))
+    assert {(r.s, r.n): round(r.past_values, 9) for r in one} == {(r.s, r.n): round(r.past_values, 9) for r in many}
+
+
 def test_smoothers_match_pandas(frame):
     pdf = frame.filter("s = 'hot'").toPandas().sort_values("t").set_index("t")["x"]
     df = frame.filter("s = 'hot'")

@@ -11,8 +11,8 @@ equal-depth pieces of time and work per piece:
 Both give exactly the rows of the ordinary window. Rows of a series must be told apart by the order
 columns. The first of them sets the cut; a time that alone holds several pieces' rows is a piece of its own
 and is cut again by the columns after it, and so on through the whole key. (Text is cut by its first seven
-bytes, and rows equal in those stay together.) The number of pieces is the longest series' rows over
-``max_rows``.
+bytes, and rows equal in those stay together.) A cut makes at most ``FAN`` pieces; those still longer than
+``max_rows`` are cut again in the same way, so no row meets more than ``FAN`` cut points at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from tidemill.session import settle
 PIECE, POS, LEN, BLOCK = "_piece", "_pos", "_len", "_block"
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+FAN = 256
 
 
 def names(cols: str | Sequence[str]) -> list[str]:
@@ -78,11 +79,13 @@ class CutPoints:
     series: int = 0
     # How pieces of a single time are cut by the rest of the key, where any is too long.
     rest: CutPoints | None = None
+    # How pieces between two points are cut again by the whole key, where any is too long.
+    finer: CutPoints | None = None
 
     @property
     def width(self) -> int:
         """Numbers a piece's parts may take."""
-        return self.rest.span if self.rest else 1
+        return max([1, *[p.span for p in (self.rest, self.finer) if p]])
 
     @property
     def span(self) -> int:
@@ -92,7 +95,7 @@ class CutPoints:
     @property
     def rows(self) -> int:
         """A bound of the pieces of all long series together."""
-        inner = self.rest.rows if self.rest else 0
+        inner = sum(p.rows for p in (self.rest, self.finer) if p)
         return self.series * (2 * self.pieces + 1) + inner
 
 
@@ -132,33 +135,37 @@ def _axis(df: DataFrame, col: str) -> Column:
 def plan_cut(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows: int) -> CutPoints:
     """Find the long series and the keys that split them into about equally many rows.
 
-    The longest series sets the number of pieces: its rows over ``max_rows``."""
+    The longest series sets the number of pieces: its rows over ``max_rows``, ``FAN`` at a time."""
     first, *others = names(o)
     hot = settle(long_series(df, s, max_rows))
     n_hot, longest = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
     if n_hot == 0:
         return CutPoints(max_rows, None)
-    pieces = ceil(longest / max_rows)
+    wanted = ceil(longest / max_rows)
+    pieces = min(wanted, FAN)
     hot_rows = join_null_safe(df.select(*s, *names(o)), F.broadcast(hot) if fits_broadcast(n_hot, hot.schema) else hot, s)
-    levels = f"transform(sequence(1, {max(pieces - 1, 1)}), i -> i / {pieces}D)"
+    levels = [i / pieces for i in range(1, max(pieces, 2))]
     keyed = hot_rows.withColumn("_key", _axis(df, first))
     points = settle(keyed.groupBy(*s).agg(
-        F.expr(f"coalesce(percentile_approx(_key, {levels}, {10 * pieces}), array())").alias("_points"),
+        F.coalesce(F.percentile_approx("_key", levels, 10 * pieces), F.array()).alias("_points"),
         F.count_if(F.col("_key").isNull()).alias("_nulls")))
     plan = CutPoints(max_rows, points.drop("_nulls"), pieces, n_hot)
+    text = isinstance(df.schema[first].dataType, T.StringType)
+    place = _place_name(s)
+    placed = _place(hot_rows.drop("_n"), s, first, plan, place)
+    here = [*s, place]
+    rest = finer = None
     repeated = F.size(F.array_distinct("_points")) < F.size("_points")
-    if not others or isinstance(df.schema[first].dataType, T.StringType) \
-            or points.filter(repeated | (F.col("_nulls") > max_rows)).isEmpty():
-        return plan
-    place = _place_name(others)
-    single = _place(hot_rows.drop("_n"), s, first, plan, place).filter("_on_point")
-    rest = plan_cut(single.select(*s, place, *others), [*s, place], others, max_rows)
-    return replace(plan, rest=rest if rest.points is not None else None)
+    if others and not text and (wanted > FAN or not points.filter(repeated | (F.col("_nulls") > max_rows)).isEmpty()):
+        rest = plan_cut(placed.filter("_on_point").select(*here, *others), here, others, max_rows)
+    if wanted > FAN:
+        finer = plan_cut(placed.filter("NOT _on_point").select(*here, *names(o)), here, o, max_rows)
+    return replace(plan, **{k: p for k, p in (("rest", rest), ("finer", finer)) if p is not None and p.points is not None})
 
 
-def _place_name(others: Sequence[str]) -> str:
+def _place_name(s: Sequence[str]) -> str:
     """A name for each depth of the cut."""
-    return f"_place{len(others)}"
+    return f"_place{sum(c.startswith('_place') for c in s)}"
 
 
 def _place(df: DataFrame, s: Sequence[str], first: str, plan: CutPoints, out: str) -> DataFrame:
@@ -182,14 +189,16 @@ def cut_series(df: DataFrame, s: Sequence[str], o: str | Sequence[str], max_rows
     if plan.points is None:
         return Cut(df.withColumn(PIECE, F.lit(-1).cast("long")), 0)
     first, *others = names(o)
-    place = _place_name(others) if plan.rest else PIECE
-    placed = _place(df, s, first, plan, place).drop("_on_point")
-    if plan.rest is None:
-        return Cut(placed, plan.rows)
-    inner = cut_series(placed, [*s, place], others, plan.rest).df
-    within = F.greatest(F.col(PIECE), F.lit(0))
-    piece = F.when(F.col(place) < 0, F.col(place)).otherwise(F.col(place) * plan.width + within)
-    return Cut(inner.withColumn(PIECE, piece).drop(place), plan.rows)
+    if plan.rest is None and plan.finer is None:
+        return Cut(_place(df, s, first, plan, PIECE).drop("_on_point"), plan.rows)
+    place = _place_name(s)
+    out, within = _place(df, s, first, plan, place).drop("_on_point"), []
+    for inner, key in ((plan.rest, others), (plan.finer, names(o))):
+        if inner is not None:
+            within.append(f"_in{len(within)}{place}")
+            out = cut_series(out, [*s, place], key, inner).df.withColumnRenamed(PIECE, within[-1])
+    piece = F.when(F.col(place) < 0, F.col(place)).otherwise(F.col(place) * plan.width + F.greatest(F.lit(0), *within))
+    return Cut(out.withColumn(PIECE, piece).drop(place, *within), plan.rows)
 
 
 def _piece_window(s: Sequence[str], start: int, end: int) -> WindowSpec:

@@ -137,16 +137,17 @@ def st_rolling_loop(spark, d):
 @query("st_rolling_readings", """SELECT event_type AS series, date_trunc('hour', ts) AS "time", arg_min(value, event_id) AS elec_prices_metric
 FROM events GROUP BY event_type, date_trunc('hour', ts)""")
 def st_rolling_readings(spark, d):
-    """The loop over several micro-batches, a file each: hours keep the value that came first, whatever the batches merge."""
+    """The loop over several micro-batches: hours keep the value that came first, whatever the batches merge."""
     path, checkpoint, files = scratch(spark, "loop"), scratch(spark, "loop-checkpoint"), scratch(spark, "loop-files")
     events = table(spark, d, "events")
     lo, hi = events.agg(F.min("event_id"), F.max("event_id")).first()
     part = F.floor((F.col("event_id") - lo) * 3 / (hi - lo + 1))
+    model = retrained(spark, d)
     for k in range(3):
-        # One after the other: the stream takes files by their time.
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(files)
-    stream_ = sensor.st_source(spark, files, events.schema, max_files=1)
-    rows = stream_.select(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("time"), "event_id", F.col("value").alias(sensor.ACTUAL))
-    sensor.run_rolling_forecast(rows, path, checkpoint, retrained(spark, d), S, available_now=True, seq_col="event_id").awaitTermination()
+        # The loop stops when it has read a part and goes on from its checkpoint with the next.
+        events.filter(part == k).write.mode("append").parquet(files)
+        stream_ = sensor.st_source(spark, files, events.schema)
+        rows = stream_.select(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("time"), "event_id", F.col("value").alias(sensor.ACTUAL))
+        sensor.run_rolling_forecast(rows, path, checkpoint, model, S, available_now=True, seq_col="event_id").awaitTermination()
     return read_keyed(spark, path).filter(F.col(sensor.ACTUAL).isNotNull()).select(
         "series", F.col("time").cast("timestamp_ntz").alias("time"), sensor.ACTUAL)
