@@ -36,7 +36,7 @@ def met_mae(y: Column | str, p: Column | str) -> Column:
 
 
 def met_medae(y: Column | str, p: Column | str) -> Column:
-    """Exact median; for groups beyond memory use ``operators.quantiles.exact_quantiles``."""
+    """Exact median; for groups of any size there is ``operators.evaluate.median_error``."""
     return F.median(abs_error(y, p))
 
 

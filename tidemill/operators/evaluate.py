@@ -13,14 +13,19 @@ from tidemill.operators.layout import join_null_safe
 from tidemill.operators.quantiles import exact_quantiles
 
 
+def median_error(pairs: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred", max_rows: int = 5_000_000) -> DataFrame:
+    """Median absolute error per group, ``(by.., medae)``, of groups of any size; those without a pair are left out."""
+    found = exact_quantiles(pairs.select(*by, abs_error(y, p).alias("_e")), ["_e"], [0.5], by, max_rows)
+    return found.select(*by, F.col("quantiles")[0].alias("medae"))
+
+
 def score_pairs(pairs: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred",
                 max_rows: int = 5_000_000) -> DataFrame:
-    """All metrics per group. The median comes from `exact_quantiles`, so no group is too large."""
+    """All metrics per group. The median is that of `median_error`, so no group is too large."""
     plain = pairs.groupBy(*by).agg(
         F.count(abs_error(y, p)).alias("n"), met_mape(y, p).alias("mape"), met_mae(y, p).alias("mae"),
         met_me(y, p).alias("me"), met_mse(y, p).alias("mse"), met_rmse(y, p).alias("rmse"), met_r2(y, p).alias("r2"))
-    medians = exact_quantiles(pairs.select(*by, abs_error(y, p).alias("_e")), ["_e"], [0.5], by, max_rows)
-    medians = medians.select(*by, F.col("quantiles")[0].alias("medae"))
+    medians = median_error(pairs, by, y, p, max_rows)
     if not by:
         return plain.withColumn("medae", medians.scalar())
     return join_null_safe(plain, medians, by, "left")

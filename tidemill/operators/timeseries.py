@@ -226,17 +226,21 @@ def win_ffill(df, s, o, cols, max_rows=None):
 
 
 def win_interpolate(df: DataFrame, s: Sequence[str], o: str, cols: Sequence[str], step: str = "W-MON",
-                    anchors: str = "grid", max_rows: int | CutPoints | None = None) -> DataFrame:
+                    anchors: str = "grid", max_rows: int | CutPoints | None = None, seq: str | None = None) -> DataFrame:
     """Series on a regular grid, gaps filled on the straight line between known neighbours.
 
     ``anchors='grid'`` knows only values whose time is itself a grid point (month starts that are
     not Mondays are lost); ``'all'`` lets every value pull the line. A leading gap stays null, a
-    trailing gap holds the last value.
+    trailing gap holds the last value. Of the values of one time the first known one counts: the first
+    by ``seq``, or the smallest where no order of arrival is named.
     """
     cols = names(cols)
     grid = series_grid(df, s, o, step, end_after=True)
     kind = grid.schema[o].dataType
-    rows = df.select(*s, F.col(o).cast(kind).alias(o), *[F.col(c).cast("double").alias(c) for c in cols])
+    arrival = [F.col(seq)] if seq else []
+    firsts = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    rows = df.groupBy(*s, F.col(o).cast(kind).alias(o)).agg(*[
+        F.min_by(v, F.when(v.isNotNull(), F.struct(*arrival, v))).alias(c) for c, v in firsts.items()])
     if anchors == "grid":
         both = join_null_safe(grid, rows, [*s, o], "left").withColumn("_grid", F.lit(True))
     elif anchors == "all":

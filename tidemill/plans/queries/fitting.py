@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.ml import knn, models, registry, search
 from tidemill.plans.queries.sources import scratch
@@ -160,10 +161,18 @@ def score_importance(spark, d):
     return score.score_importance(weekly_panel(spark, d), SCORED, Y).withColumn("score", half_up("score", 6))
 
 
-@query("select_kbest", f"WITH {PANEL} SELECT series, ts, litres, num_suppliers, n_orders FROM panel")
+KBEST_LONG = " UNION ALL ".join(f"SELECT series, ts, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM panel" for c in SCORED)
+
+
+@query("select_kbest", f"""WITH {PANEL}, s AS ({F_SQL}), best AS (SELECT feature FROM s ORDER BY score DESC, feature LIMIT 2),
+long AS ({KBEST_LONG}) SELECT series, ts, feature, value FROM long JOIN best USING (feature)""")
 def select_kbest(spark, d):
-    chosen, _ = score.select_kbest(weekly_panel(spark, d), ["n_orders", "num_suppliers", "week"], Y, "F_regression", 2, keys=["series", "ts"])
-    return chosen.select("series", "ts", "litres", "num_suppliers", "n_orders")
+    """All numeric columns compete; the rows name those that were kept."""
+    panel = weekly_panel(spark, d)
+    numeric = [f.name for f in panel.schema if isinstance(f.dataType, T.NumericType) and f.name != Y]
+    chosen, kept = score.select_kbest(panel, numeric, Y, "F_regression", 2, keys=["series", "ts"])
+    return chosen.select("series", "ts", *[F.col(c).cast("double").alias(c) for c in kept]) \
+        .unpivot(["series", "ts"], kept, "feature", "value")
 
 
 @query("udf_scorer", f"""WITH {PANEL} SELECT 'n_orders' AS feature, {rsql("covar_pop(n_orders, litres)", 2, "score")} FROM panel
