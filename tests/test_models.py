@@ -138,6 +138,39 @@ def test_knn_in_many_dimensions_with_equal_rows(spark):
         assert [t for _, t in sorted(got[q])] == [t for _, t in want]
 
 
+def test_knn_visits_few_blocks_of_grouped_rows(spark):
+    """Ten groups in a hundred dimensions: with several pivots nearly all blocks of other groups are passed over."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(scale=20.0, size=(10, 100))[np.arange(600) % 10] + rng.standard_normal((600, 100))
+    names = [f"f{i}" for i in range(100)]
+    df = spark.createDataFrame([(i, float(i), *map(float, row)) for i, row in enumerate(x)], ["id", "y", *names])
+    train, ask = df.filter("id >= 60"), df.filter("id < 60")
+    near = knn.fit_knn(train, names, "y", "id", 3)
+    blocks, table, home = near.blocks(ask, "id", 20)
+    assert table.agg({"_n": "max"}).first()[0] <= 40 and table.agg({"_n": "sum"}).first()[0] == 540
+    found = near.neighbours(ask, "id", 20).toPandas()
+    far = found.groupby("id")["distance"].max()
+    reach = spark.createDataFrame([(int(i), float(v) * (1 + 1e-9), [-1]) for i, v in far.items()], "_key long, _far double, _seen array<long>")
+    visited = near.choose(home.join(reach, "_key"), table, 20, again=True)
+    assert visited.join(table, "_b").agg({"_n": "sum"}).first()[0] <= 0.3 * 60 * 540
+    for q in range(60):
+        d = np.sqrt(((x[60:] - x[q]) ** 2).sum(1))
+        assert sorted(found[found["id"] == q]["train_key"]) == sorted(60 + np.argsort(d, kind="stable")[:3])
+
+
+def test_knn_fills_gaps_and_takes_few_rows(spark):
+    rows = [(0, 1.0, 2.0, 5.0), (1, None, 4.0, 7.0), (2, 3.0, None, 9.0), (3, 5.0, 6.0, None)]
+    train = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    ask = spark.createDataFrame([(7, None, 3.0), (8, 2.0, 4.0)], "id int, a double, b double")
+    got = knn.fit_knn(train, ["a", "b"], "y", "id", 2).neighbours(ask, "id").collect()
+    filled = {0: (1.0, 2.0), 1: (2.0, 4.0), 2: (3.0, 3.0)}
+    for q, at in ((7, (2.0, 3.0)), (8, (2.0, 4.0))):
+        want = sorted((((a - at[0]) ** 2 + (b - at[1]) ** 2) ** 0.5, t) for t, (a, b) in filled.items())[:2]
+        assert sorted((r.distance, r.train_key) for r in got if r.id == q) == [(pytest.approx(d), t) for d, t in want]
+    none = knn.fit_knn(train.limit(0), ["a", "b"], "y", "id", 2)
+    assert none.neighbours(ask, "id").count() == 0 and knn.fit_knn(train, ["a", "b"], "y", "id", 9).neighbours(ask, "id").count() == 6
+
+
 def test_trees_deeper_than_the_library_are_refused():
     assert models.tree_depth(None) == models.MAX_TREE_DEPTH and models.tree_depth(4) == 4
     with pytest.raises(ValueError):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import calendar as cal, metrics as m
-from tidemill.operators import clean, evaluate as ev, scale
+from tidemill.operators import aggregates as agg, clean, evaluate as ev, scale
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.split import split_tail, split_ts_cv
 from tidemill.sources.upsert import merge_keyed, read_keyed, sink_upsert
@@ -114,3 +114,19 @@ def test_scalers_against_numpy(spark):
     np.testing.assert_allclose(out, both, atol=1e-12)
     constant = scale.fit_scaler(df.select(F.lit(3.0).alias("x")), ["x"], "minmax")
     assert scale.apply_scaler(df.select(F.lit(3.0).alias("x")), ["x"], constant).first().x == 0.0
+
+
+def test_correlation_and_sums_of_rows_that_know_both(spark):
+    rows = [(1, 1e9 + 1, 2.0, 3.0), (1, 1e9 + 2, None, 5.0), (2, 1e9 + 4, 7.0, float("nan")), (2, 1e9 + 3, 1.0, 8.0), (None, None, 4.0, 2.0)]
+    df = spark.createDataFrame([(*r, 0.1) for r in rows], "g int, a double, b double, y double, same double")
+    pdf = df.toPandas()
+    got = {(r.feature_a, r.feature_b): r.corr for r in agg.agg_corr_matrix(df, ["a", "b", "y", "same"]).collect()}
+    # the plain library loses digits beside a large constant
+    want = pdf[["a", "b", "y"]].sub({"a": 1e9, "b": 0, "y": 0}).corr()
+    for i in ("a", "b", "y"):
+        assert got[i, "same"] is None
+        for j in ("a", "b", "y"):
+            assert abs(got[i, j] - want.loc[i, j]) < 1e-9
+    sums = {(r.g, r.a, r.b): r.v for r in agg.agg_gram(df.withColumn("y", F.nanvl("y", F.lit(None).cast("double"))), ["b"], "y", "g").collect()}
+    assert sums[1, "1", "1"] == 2 and sums[1, "1", "b"] == 2 and sums[1, "b", "y"] == 6 and sums[2, "1", "y"] == 8 and sums[None, "b", "b"] == 16
+    assert agg.agg_corr_matrix(df.limit(0), ["a", "b"]).count() == 4
