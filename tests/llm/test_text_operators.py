@@ -164,6 +164,16 @@ def test_mixing(spark):
     assert mix(frame(spark, [(1, None, None, None), (2, " ", None, "a")]), ["doc_id"]).selectExpr("sum(taken)").first()[0] == 0
 
 
+def test_mixing_deals_rows_without_an_id_and_takes_the_same_texts_again(spark):
+    rows = [(None if k % 2 else 5, f"w{k} x y", None, "a") for k in range(200)] + [(k, "z " * 40, None, "b") for k in range(100)]
+    docs = frame(spark, rows)
+    taken = [Counter(tuple(r) for r in mix(df, docs.columns, cell_rows=10).select("row.text", "times").collect())
+             for df in (docs, docs.repartition(7), docs.orderBy("text"))]
+    assert taken[0] == taken[1] == taken[2]
+    times = [n for (text, n) in taken[0].elements() if text.startswith("w")]
+    assert len(times) == 200 and set(times) <= {0, 1, 2, 3}
+
+
 URLS = [None, "", "no scheme", "http://", "https://Example.NET/en/1", "https://a.example.net/en", "http://x.example.net/en/1?q#f", "http://example.com/de/", "http://m.EXAMPLE.com/de/7#x",
         "http://notexample.com/de/", "http://a.org/fr/x", "http://org/fr/", "http://net", "http://net/", "http://a.b.net/zz", "ftp://h?q=/en/", "http://h#a://b/c",
         "http://casino-win.example.com/en/1", "http://a.com/EN/casino/1", "http://spam-farm.example.org/fr/2", "http://x.com/spam", "a://b.net:80/x", "x://y://z.net/en/",

@@ -13,7 +13,8 @@ as independent draws would. Cells hold about ``cell_rows`` documents, so a sourc
 with a third of all rows is dealt to many tasks.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times (0 words); a null source is a
-source of its own, last in order; repeated rows are drawn one by one; an empty table gives no rows.
+source of its own, last in order; a row is drawn by its id and its text, so rows without an id are dealt
+like all others, and of rows that share an id a rerun takes the same texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,16 +62,17 @@ def mix(docs: DataFrame, row: list[str], id_col: str = "doc_id", source_col: str
         weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", cell_rows: int = 2_000) -> DataFrame:
     """Columns: row (a struct of the named columns), size, source_size, target, times, taken."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), F.col(id_col).cast("string").alias("_id"),
-                        F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"))
+                        F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"),
+                        F.coalesce(F.md5(F.col(text_col)), F.lit("")).alias("_mark"))
     sizes = settle(keyed.select("_source", "size"))
     targets = settle(source_targets(sizes, "_source", "size", weights, max_epochs))
     key = F.coalesce(F.col("_id"), F.lit(""))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     cells = F.ceil(F.col("n_docs") / cell_rows)
     joined = keyed.withColumnRenamed("_source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("_source")))
-    celled = joined.withColumn("rate", rate).withColumn("draw", uniform(F.lit(seed), key)) \
+    celled = joined.withColumn("rate", rate).withColumn("draw", uniform(F.lit(seed), key, F.col("_mark"))) \
         .withColumn("cell", F.floor(F.col("draw") * cells))
-    within = Window.partitionBy("_s", "cell").orderBy(F.col("size").desc(), "draw", "_id")
+    within = Window.partitionBy("_s", "cell").orderBy(F.col("size").desc(), "draw", "_id", "_mark")
     part = F.col("rate") - F.floor("rate")
     start = uniform(F.lit(seed), F.coalesce(F.col("_s"), F.lit("")), F.col("cell").cast("string"))
     chosen = F.floor(F.col("nth") * F.col("part") + F.col("start")) - F.floor((F.col("nth") - 1) * F.col("part") + F.col("start"))
@@ -81,7 +83,7 @@ def mix(docs: DataFrame, row: list[str], id_col: str = "doc_id", source_col: str
     missed = ranked.withColumn("gap", F.sum("size").over(cell) * part - F.sum(F.col("size") * F.col("first")).over(cell))
     able = F.col("first") == F.when(F.col("gap") > 0, 0).otherwise(1)
     ready = missed.withColumn("able", able & (F.col("part") > 0))
-    smallest = Window.partitionBy("_s", "cell", "able").orderBy("size", "draw", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    smallest = Window.partitionBy("_s", "cell", "able").orderBy("size", "draw", "_id", "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turned = ready.withColumn("turn", F.col("able") & (F.sum("size").over(smallest) <= F.abs("gap")))
     extra = F.when(F.col("turn"), 1 - F.col("first")).otherwise(F.col("first"))
     times = F.when(F.col("size") > 0, F.floor("rate") + extra).otherwise(F.lit(0))
@@ -96,7 +98,7 @@ def repeat_rows(mixed: DataFrame) -> DataFrame:
 
 MIX_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, coalesce(md5(text), '') AS mark, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 per AS (
   SELECT source AS s, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
 ranked AS (
@@ -113,13 +115,13 @@ targets AS (
          (SELECT arg_min(level, place) FROM levels WHERE cap / weight >= level) * weight) AS target FROM levels),
 celled AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS draw,
+         CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || d.mark), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS draw,
          ceil(t.n_docs / 2000) AS cells
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.s),
 placed AS (
   SELECT *, CAST(floor(draw * cells) AS BIGINT) AS cell FROM celled),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size DESC, draw, doc_id) AS nth,
+  SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size DESC, draw, doc_id, mark) AS nth,
          CASE WHEN size > 0 THEN rate - floor(rate) ELSE 0.0 END AS part,
          CAST(CAST('0x' || substr(md5('mix|' || coalesce(source, '') || '|' || CAST(cell AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS start
   FROM placed),
@@ -130,7 +132,7 @@ missed AS (
 ready AS (
   SELECT *, pick = CASE WHEN gap > 0 THEN 0 ELSE 1 END AND part > 0 AS able FROM missed),
 turned AS (
-  SELECT *, able AND sum(size) OVER (PARTITION BY source, cell, able ORDER BY size, draw, doc_id
+  SELECT *, able AND sum(size) OVER (PARTITION BY source, cell, able ORDER BY size, draw, doc_id, mark
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= abs(gap) AS turn FROM ready)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size > 0 THEN size * (floor(rate) + CASE WHEN turn THEN 1 - pick ELSE pick END) ELSE 0 END AS BIGINT) AS taken
