@@ -89,3 +89,49 @@ def test_default_threshold_keeps_short_clean_texts_and_lets_strange_ones_go(spar
     unknown = [(2000, "中文 字符", None, "s1"), (2001, "12 34", None, "s1")]
     kept = {r["doc_id"] for r in stages.keep_known_languages(spark, frame(spark, rows + short + unknown), "").collect()}
     assert {r[0] for r in rows + short} <= kept and 2001 not in kept
+
+
+def test_texts_of_no_learned_language_go_and_labelled_ones_stay(spark):
+    import string
+
+    _, tongues, rng = texts(11)
+    rows = [(k, " ".join(rng.choice(tongues[lang]) for _ in range(rng.randint(20, 90))), lang, "s0") for k, lang in enumerate(sorted(tongues) * 60)]
+    noise = [" ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(40)) for _ in range(5)]
+    strange = [(1000 + k, t, None, "s1") for k, t in enumerate(["中文 字符", "это русский текст", "zqxj wyzt hjgq", *noise])]
+    # one text of a language of its own, and a copy without its label
+    rows += [(2000, "ελληνικά γράμματα", "gr", "s0"), (2001, "ελληνικά γράμματα", None, "s0")]
+    docs = frame(spark, rows + strange)
+    assert sorted(r["doc_id"] for r in stages.keep_known_languages(spark, docs, "").collect()) == sorted(r[0] for r in rows)
+    assert stages.keep_known_languages(spark, docs, "", least_share=0.0).count() == len(rows + strange)
+    # nothing tells the level of a language with one text, so nothing speaks against a text
+    alone = frame(spark, [(1, "abc def", "aa", None), (2, "xyz", None, None), (3, "12", None, None)])
+    assert sorted(r["doc_id"] for r in stages.keep_known_languages(spark, alone, "").collect()) == [1, 2]
+
+
+def test_likeness_equals_a_plain_count():
+    import numpy as np
+
+    from tidemill.llm import langid
+
+    class Sample:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def collect(self):
+            return [dict(zip(("lang", "n", "text"), r)) for r in self.rows]
+
+    rows = [("aa", 1, "abab cdcd"), ("aa", 2, "abcd dcba"), ("aa", 3, "bada"), ("bb", 1, "klmn mnkl"), ("bb", 2, "kknn")]
+    model = langid.fit(Sample(rows), landmarks=4)
+    spectrum = langid.Spectrum(model.letters)
+    grams = {r: set(spectrum.codes(r[2]).tolist()) for r in rows}
+    marks = [r for r in rows if r[1] <= 2]
+    def share(text, lang, but=None):
+        own = set(spectrum.codes(text).tolist())
+        return len(own & set().union(*[grams[m] for m in marks if m[0] == lang and m != but])) / len(own)
+    level = {lang: np.median([share(r[2], lang, r) for r in rows if r[0] == lang]) for lang in ("aa", "bb")}
+    assert np.allclose(model.levels, [level["aa"], level["bb"]]) and model.levels.min() > 0
+    like = []
+    asked = ["abab", None, "klab ba", "12", "zz", "abab cdcd"]
+    langs, _ = langid.predict(model, spectrum, asked, like)
+    want = [max(share(t, lang) / level[lang] for lang in level) if t and t != "12" else 0.0 for t in asked]
+    assert np.allclose(like, want) and langs[1] == langs[3] == langid.UND

@@ -28,14 +28,14 @@ def whole_row(docs: DataFrame) -> Column:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, least_share: float = LEAST_SHARE) -> DataFrame:
     """Documents without a letter, and those that look like no learned language, go.
 
-    A text that says nothing about its language scores 1 / (number of languages); one whose best score is below
-    ``least_share`` of that speaks against every language. The model learns from labelled rows; where there are none,
-    nothing is judged but the letters."""
+    A text is in a language if its n-grams are known there nearly as often as those of the language's own texts: its
+    likeness, as ``langid`` defines it, is ``least_share`` or more. The score cannot tell: the best of n scores that add
+    up to 1 is never below 1 / n. The model learns from labelled rows; where there are none, nothing is judged but the letters."""
     model = fit(labelled_sample(docs, F.lit(True)))
     if model is None:
         return docs.where(F.rlike(F.col("text"), F.lit(r"\p{L}")))
-    judged = docs.select(whole_row(docs), classifier(spark, model)("text").alias("p"))
-    return judged.where((F.col("p.lang") != UND) & (F.col("p.score") >= least_share / len(model.langs))).select("row.*")
+    judged = docs.select(whole_row(docs), classifier(spark, model, with_likeness=True)("text").alias("p"))
+    return judged.where((F.col("p.lang") != UND) & (F.col("p.likeness") >= least_share)).select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
