@@ -58,6 +58,26 @@ def test_codec_decodes_as_the_tokenizer_and_forgets_within_its_bound(monkeypatch
             at += n
 
 
+def test_codec_compares_arrays_and_learns_odd_words_among_plain_ones(monkeypatch):
+    with open(TOKENIZER, "rb") as f:
+        codec = pieces.Codec(f.read(), 1)
+    library, asked = codec.check, []
+
+    class Check:
+        def encode(self, texts, **kwargs):
+            asked.append(library.encode(texts, **kwargs))
+            return asked[-1]
+
+    codec.check = Check()
+    plain = [" ".join(f"word{k}{j}" for j in range(30)) for k in range(40)]
+    odd = ["  a  b ", "c ", " ", "   ", "", "d▁e ▁", "word00  word11", " a\n ", "f"]
+    for batch in (plain, odd, plain[:3] + odd + ["new1 new2  new3 ", "new4 new5"]):
+        ids, sizes, same = codec.encode(batch)
+        assert same.all() and all(isinstance(a, np.ndarray) for a in asked[-1])
+        for text, part in zip(batch, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert part.tolist() == library.encode(text)
+
+
 def test_unigram_models_keep_their_scores(tmp_path):
     # a hand-made unigram model file: pieces with scores and byte fallback off
     def field(n, kind, payload):

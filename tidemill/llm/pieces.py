@@ -157,7 +157,7 @@ class Codec:
         self.model = parse_model(raw)
         self.tokenizer = build(self.model)
         self.check = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.words = re.compile(r" *[^ ]+(?: +\Z)?| +") if splits_at_words(self.model) else None
+        self.words = re.compile(r" *+[^ ]++(?: ++\Z)?+| ++") if splits_at_words(self.model) else None
         self.forget()
         self.heads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode()
@@ -176,9 +176,12 @@ class Codec:
         Those with one leading blank and no other marker go to the tokenizer joined to texts, since each of
         them begins with the only pieces that begin with a marker; the tokenizer puts the first marker itself.
         """
-        plain, other = [], []
-        for w in words:
-            (plain if w[0] == " " and w[1:2] != " " and w[-1] != " " and MARK not in w else other).append(w)
+        joined = "".join(words)
+        plain, other = words, []
+        # words of one leading blank and no other, as nearly all are, show it when joined; only others are looked at one by one
+        if "  " in joined or joined[-1:] == " " or joined.count(" ") != len(words) or MARK in joined:
+            plain = [w for w in words if w[0] == " " and w[1:2] != " " and w[-1] != " " and MARK not in w]
+            other = list(set(words).difference(plain))
         lots = [plain[k:k + WORDS_A_TEXT] for k in range(0, len(plain), WORDS_A_TEXT)] + [[w] for w in other]
         texts = ["".join(lot)[1:] for lot in lots]
         ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -194,10 +197,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, each text's number of them, and whether the other library's ids are the same."""
-        theirs = self.check.encode(texts, num_threads=self.threads)
+        theirs = self.check.encode(texts, num_threads=self.threads, return_type="numpy")
         if self.words is None:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [a == b for a, b in zip(found, theirs)]
+            same = [np.array_equal(a, b) for a, b in zip(found, theirs)]
             return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64), np.array(same)
         cut = [self.words.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.memo)
@@ -210,7 +213,7 @@ class Codec:
         sizes = np.diff(starts)[places]
         ids = gather(np.array(self.ids, dtype=np.int32), starts[places], sizes)
         bounds = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0] + [len(words) for words in cut])]
-        same = [ids[a:b].tolist() == other for a, b, other in zip(bounds[:-1], bounds[1:], theirs)]
+        same = [np.array_equal(ids[a:b], other) for a, b, other in zip(bounds[:-1], bounds[1:], theirs)]
         return ids, np.diff(bounds), np.array(same, dtype=bool)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
