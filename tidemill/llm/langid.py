@@ -15,7 +15,7 @@ more than ``MAX_TEXTS`` are gathered. A language that has only longer texts is l
 characters. Every text is scored, and whole.
 
 The scores of a text add up to 1 whatever it is, so they compare languages and do not say whether the text is in any of
-them. That is said by its likeness: the share of its n-grams that a language's landmarks have, divided by the median
+them. That is said by its likeness: the share of its n-grams, repeats included, that a language's landmarks have, divided by the median
 share of the language's learning texts (of a landmark: by the other landmarks), for the language where this is largest.
 A language with a single text, or with texts that share nothing, has no such median and takes the lowest of the others.
 
@@ -80,11 +80,18 @@ class Spectrum:
         self.table = _symbols(letters)
 
     def codes(self, text: str) -> np.ndarray:
+        return np.unique(self.all_codes(text))
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and how often each occurs."""
+        return np.unique(self.all_codes(text), return_counts=True)
+
+    def all_codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         s = np.concatenate(([BLANK], self.table[points], [BLANK]))
         s = s[np.concatenate(([True], (s[1:] != BLANK) | (s[:-1] != BLANK)))]
         two = s[:-1] << POINT_BITS | s[1:]
-        return np.unique(np.concatenate((s[s != BLANK], two, two[:-1] << POINT_BITS | s[2:])))
+        return np.concatenate((s[s != BLANK], two, two[:-1] << POINT_BITS | s[2:]))
 
 
 def has_letter(text: str | None) -> bool:
@@ -139,7 +146,7 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = 0.1) -> La
                           np.zeros((len(sets), len(langs))), np.zeros(len(langs)), mark_langs, speakers,
                           np.searchsorted(of_gram, np.arange(len(grams) + 1)), np.zeros(len(langs)))
     model.levels = levels(model, spectrum, rows, each)
-    own = np.stack([shared(model, places(model, s)) for s in sets]) / np.outer(model.norms, model.norms)
+    own = np.stack([shared(model, places(model, s)[0]) for s in sets]) / np.outer(model.norms, model.norms)
     values, vectors = np.linalg.eigh(own)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -165,18 +172,19 @@ def levels(model: LanguageModel, spectrum: Spectrum, rows: list[tuple[str, int,
         low, high = np.searchsorted(model.mark_langs, (model.langs.index(lang), model.langs.index(lang) + 1))
         own = int(n <= each)
         if high - low > own:
-            codes = spectrum.codes(text)
-            at = places(model, codes) * marks
-            holders = np.searchsorted(held, at + high) - np.searchsorted(held, at + low)
-            shares[lang].append(np.count_nonzero(holders > own) / len(codes))
+            codes, counts = spectrum.counts(text)
+            at, known = places(model, codes)
+            holders = np.searchsorted(held, at * marks + high) - np.searchsorted(held, at * marks + low)
+            shares[lang].append(counts[known][holders > own].sum() / counts.sum())
     found = {lang: float(np.median(some)) for lang, some in shares.items() if some and np.median(some) > 0}
     return np.array([found.get(lang, min(found.values(), default=0.0)) for lang in model.langs])
 
 
-def places(model: LanguageModel, codes: np.ndarray) -> np.ndarray:
-    """Places of the n-grams that the model knows."""
+def places(model: LanguageModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the n-grams that the model knows, and which of the given ones these are."""
     at = np.searchsorted(model.grams, codes)
-    return at[model.grams[np.minimum(at, len(model.grams) - 1)] == codes]
+    known = model.grams[np.minimum(at, len(model.grams) - 1)] == codes
+    return at[known], known
 
 
 def shared(model: LanguageModel, at: np.ndarray) -> np.ndarray:
@@ -185,12 +193,14 @@ def shared(model: LanguageModel, at: np.ndarray) -> np.ndarray:
     return np.bincount(gather(model.owners, starts, model.starts[at + 1] - starts), minlength=len(model.norms))
 
 
-def likeness(model: LanguageModel, at: np.ndarray, n: int) -> float:
-    """How far a text is in one of the languages; about 1 if it is. Its known n-grams are at these places, and it has ``n``.
+def likeness(model: LanguageModel, at: np.ndarray, counts: np.ndarray, n: int) -> float:
+    """How far a text is in one of the languages; about 1 if it is. Its known n-grams are at these places, and occur so
+    often; all its n-grams together are ``n``.
 
     Where no language's level is known nothing speaks against a text, and it is 1."""
     starts = model.speaker_starts[at]
-    known = np.bincount(gather(model.speakers, starts, model.speaker_starts[at + 1] - starts), minlength=len(model.langs))
+    sizes = model.speaker_starts[at + 1] - starts
+    known = np.bincount(gather(model.speakers, starts, sizes), weights=np.repeat(counts, sizes), minlength=len(model.langs))
     told = model.levels > 0
     return float((known[told] / n / model.levels[told]).max()) if told.any() else 1.0
 
@@ -199,11 +209,11 @@ def kernel(model: LanguageModel, spectrum: Spectrum, texts: list[str], like: lis
     """Kernel values of texts with the landmarks. The texts' likenesses are added to ``like``."""
     out = np.empty((len(texts), len(model.norms)))
     for k, text in enumerate(texts):
-        codes = spectrum.codes(text)
-        at = places(model, codes)
+        codes, counts = (spectrum.codes(text), None) if like is None else spectrum.counts(text)
+        at, known = places(model, codes)
         out[k] = shared(model, at) / np.sqrt(max(len(codes), 1)) / model.norms
         if like is not None:
-            like.append(likeness(model, at, max(len(codes), 1)))
+            like.append(likeness(model, at, counts[known], max(int(counts.sum()), 1)))
     return out
 
 
