@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -78,6 +79,48 @@ def test_codec_compares_arrays_and_learns_odd_words_among_plain_ones(monkeypatch
             assert part.tolist() == library.encode(text)
 
 
+def test_codec_asks_the_memo_once_a_word_and_cuts_plain_texts_without_the_pattern():
+    with open(TOKENIZER, "rb") as f:
+        codec = pieces.Codec(f.read(), 1)
+    asked, looked = [], []
+
+    class Memo(type(codec.memo)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+        def __contains__(self, word):
+            looked.append(word)
+            return super().__contains__(word)
+
+    codec.memo = Memo(codec.memo.default_factory)
+    batch = ["plain words, plain text", "  two  blanks ", "a▁b", "", " ", "plain\nwords x", "\u3000é 中 x"]
+    words = [codec.cut(t) for t in batch]
+    assert words[:5] == [["plain", "words,", "plain", "text"], ["  two", " blanks "], ["a", "b"], [], [" "]]
+    for text, mine in zip(batch, words):
+        assert "".join(" " + w for w in mine) == (" " + text.replace("▁", " ") if text else "")
+        assert [" " + w for w in mine] == (pieces.WORDS.findall(" " + text.replace("▁", " ")) if text else [])
+    for _ in range(2):
+        ids, sizes, same = codec.encode(batch)
+        assert same.all()
+        for text, part in zip(batch, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert part.tolist() == codec.check.encode(text)
+    assert asked == 2 * [w for mine in words for w in mine] and not looked
+    assert list(codec.memo) == list(dict.fromkeys(w for mine in words for w in mine)) and len(codec.sizes) == len(codec.memo)
+
+
+def test_codec_is_right_after_learning_was_broken_off(monkeypatch):
+    with open(TOKENIZER, "rb") as f:
+        codec = pieces.Codec(f.read(), 1)
+    assert codec.encode(["some words"])[2].all()
+    with monkeypatch.context() as m:
+        m.setattr(codec, "heads", ~codec.heads)  # no word begins where it should
+        with pytest.raises(AssertionError):
+            codec.encode(["more words and yet more", "  odd  ones "])
+    ids, sizes, same = codec.encode(["yet more words and", "  odd  ones ", "some"])
+    assert same.all() and ids.tolist() == [i for t in ("yet more words and", "  odd  ones ", "some") for i in codec.check.encode(t)]
+
+
 def test_unigram_models_keep_their_scores(tmp_path):
     # a hand-made unigram model file: pieces with scores and byte fallback off
     def field(n, kind, payload):

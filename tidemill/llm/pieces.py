@@ -7,8 +7,9 @@ model gets its merges from them (every split of a piece into two known pieces, i
 No piece of such a model holds a word marker after another character, so words with their leading
 blanks can be encoded one by one (this is checked; a model with other pieces is encoded text by text).
 Only words not seen before go to the tokenizer, in multithreaded batches; the memo of known words is
-bounded. Such a model takes a literal marker for a blank, so texts are cut at both. The ``sentencepiece``
-library encodes every text whole, and ``parity`` says whether its ids are the text's final ids.
+bounded: it starts anew before the run of texts that finds it full. Such a model takes a literal marker for
+a blank, so texts are cut at both. The ``sentencepiece`` library encodes every text whole, and ``parity``
+says whether its ids are the text's final ids.
 
 Defined cases: a null or empty text has no tokens and is lossless; texts are never cut; repeated rows
 are encoded one by one; an empty table gives no rows.
@@ -21,10 +22,11 @@ import os
 import re
 import struct
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values:
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
 CHARS_AT_ONCE = 250_000
 WORDS_A_TEXT = 500
+WORDS = re.compile(r" *+[^ ]++(?: ++\Z)?+| ++")  # each begins with a blank, once a text has one before it
 SCHEMA = "ids array<int>, n_tokens long, decoded_sha256 string, lossless boolean, parity boolean, decoded string"
 NAMES = ["ids", "n_tokens", "decoded_sha256", "lossless", "parity", "decoded"]
 
@@ -157,7 +160,9 @@ class Codec:
         self.model = parse_model(raw)
         self.tokenizer = build(self.model)
         self.check = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.words = re.compile(r" *+[^ ]++(?: ++\Z)?+| ++") if splits_at_words(self.model) else None
+        self.words = WORDS if splits_at_words(self.model) else None
+        if self.words is not None:
+            self.tokenizer.normalizer = None  # it would only put markers for blanks, as learn does
         self.forget()
         self.heads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode()
@@ -167,33 +172,48 @@ class Codec:
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
 
     def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.ids, self.starts = array("i"), array("q", [0])
+        self.memo = defaultdict(count().__next__)  # a word without its first blank, and its number
+        self.ids, self.starts, self.sizes = array("i"), array("q"), array("q")
+
+    def cut(self, text: str) -> list[str]:
+        """A text's words, each without the blank it begins with."""
+        text = text.replace(MARK, " ")
+        if self.words is WORDS and "  " not in text and text[:1] != " " and text[-1:] != " ":
+            return text.split(" ") if text else []
+        return [word[1:] for word in self.words.findall(" " + text)] if text else []
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words.
+        """Encode new words, in the order of their numbers.
 
-        Those with one leading blank and no other marker go to the tokenizer joined to texts, since each of
-        them begins with the only pieces that begin with a marker; the tokenizer puts the first marker itself.
+        Those without a further blank go to the tokenizer joined to texts, since each of them begins with the
+        only pieces that begin with a marker.
         """
-        joined = "".join(words)
-        plain, other = words, []
-        # words of one leading blank and no other, as nearly all are, show it when joined; only others are looked at one by one
-        if "  " in joined or joined[-1:] == " " or joined.count(" ") != len(words) or MARK in joined:
-            plain = [w for w in words if w[0] == " " and w[1:2] != " " and w[-1] != " " and MARK not in w]
-            other = list(set(words).difference(plain))
-        lots = [plain[k:k + WORDS_A_TEXT] for k in range(0, len(plain), WORDS_A_TEXT)] + [[w] for w in other]
-        texts = ["".join(lot)[1:] for lot in lots]
+        order = None
+        # that no word has a further blank, as nearly always, shows when they are joined; only otherwise they are looked at one by one
+        if " " in "".join(words) or "" in words:
+            order = sorted(range(len(words)), key=lambda k: not words[k] or " " in words[k])
+            plain = sum(1 for w in words if w and " " not in w)
+            words = [words[k] for k in order]
+        else:
+            plain = len(words)
+        lots = [words[k:min(k + WORDS_A_TEXT, plain)] for k in range(0, plain, WORDS_A_TEXT)] + [[w] for w in words[plain:]]
+        texts = [MARK + (MARK.join(lot) if len(lot) > 1 else lot[0].replace(" ", MARK)) for lot in lots]
         ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        at, starts, sizes = len(self.ids), [], []
         for lot, e in zip(lots, ours):
             ids = np.array(e.ids, dtype=np.int32)
             cuts = np.flatnonzero(self.heads[ids]) if len(lot) > 1 else np.zeros(1, dtype=np.int64)
             if len(cuts) != len(lot):
                 raise AssertionError("words and their first pieces do not agree")
-            start = len(self.ids)
             self.ids.frombytes(ids.tobytes())
-            self.starts.extend((start + np.append(cuts[1:], len(ids))).tolist())
-            self.memo.update(zip(lot, range(len(self.memo), len(self.memo) + len(lot))))
+            starts.append(at + cuts)
+            sizes.append(np.diff(cuts, append=len(ids)))
+            at += len(ids)
+        for mine, found in ((self.starts, starts), (self.sizes, sizes)):
+            numbers = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            if order is not None:
+                numbers[order] = numbers.copy()
+            mine.frombytes(numbers.tobytes())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, each text's number of them, and whether the other library's ids are the same."""
@@ -202,16 +222,14 @@ class Codec:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             same = [np.array_equal(a, b) for a, b in zip(found, theirs)]
             return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64), np.array(same)
-        cut = [self.words.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.memo)
-        if new and len(self.memo) + len(new) > MEMO_WORDS:
+        if len(self.memo) >= MEMO_WORDS or len(self.memo) != len(self.sizes):  # full, or learning was broken off
             self.forget()
-            new = set(chain.from_iterable(cut))
-        self.learn(list(new))
+        known, cut = len(self.memo), [self.cut(t) for t in texts]
+        # a word asked for the first time gets the next number
         places = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
-        starts = np.array(self.starts, dtype=np.int64)
-        sizes = np.diff(starts)[places]
-        ids = gather(np.array(self.ids, dtype=np.int32), starts[places], sizes)
+        self.learn(list(islice(reversed(self.memo), len(self.memo) - known))[::-1])
+        sizes = np.array(self.sizes, dtype=np.int64)[places]
+        ids = gather(np.array(self.ids, dtype=np.int32), np.array(self.starts, dtype=np.int64)[places], sizes)
         bounds = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0] + [len(words) for words in cut])]
         same = [np.array_equal(ids[a:b], other) for a, b, other in zip(bounds[:-1], bounds[1:], theirs)]
         return ids, np.diff(bounds), np.array(same, dtype=bool)
